@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .packing import op5_best_fit_packing
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
+from .token_files import op9_token_files
 from .url_filter import ORACLE as URL_ORACLE
 from .url_filter import op8_url_filters
 
 
 def queries() -> dict:
-    found = [op2_sharding, op8_url_filters, op10_quality_rules]
+    found = [op2_sharding, op5_best_fit_packing, op8_url_filters, op9_token_files, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
