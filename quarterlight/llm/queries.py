@@ -5,15 +5,18 @@ from __future__ import annotations
 from .packing import op5_best_fit_packing
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
+from .simhash import op1_simhash
 from .token_files import op9_token_files
+from .topk import ORACLE as TOPK_ORACLE
+from .topk import op4_exact_topk
 from .url_filter import ORACLE as URL_ORACLE
 from .url_filter import op8_url_filters
 
 
 def queries() -> dict:
-    found = [op2_sharding, op5_best_fit_packing, op8_url_filters, op9_token_files, op10_quality_rules]
+    found = [op1_simhash, op2_sharding, op4_exact_topk, op5_best_fit_packing, op8_url_filters, op9_token_files, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filters": URL_ORACLE}
+    return {"op4_exact_topk": TOPK_ORACLE, "op8_url_filters": URL_ORACLE}
