@@ -15,7 +15,7 @@ fingerprint there is within three bits of that one, so a star to it links all wi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -26,8 +26,6 @@ SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
 CROWD = 32
 SLICE = 256
-#: Fingerprints whose balls are held at once in a task.
-GROUP = 2048
 
 
 def _bits_of(hashes):
@@ -83,19 +81,29 @@ def _rests() -> list[tuple[int, list[int]]]:
     return out
 
 
-def _emit(batches):
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> BITS - 1 else x
+
+
+def _numbers(values: list[int]) -> Column:
+    """A constant array of longs, folded from one string rather than compiled value by value."""
+    return F.split(F.lit(",".join(str(_signed(v)) for v in values)), ",").cast("array<bigint>")
+
+
+def _balls(fps: DataFrame) -> DataFrame:
     """left_out, variant, fp: all variants within distance 1 in the bits that are kept."""
-    import numpy as np
-    import pyarrow as pa
+    rests = F.array(*[F.struct(F.lit(k).cast("byte").alias("k"), F.lit(_signed(m)).alias("mask"), _numbers([0, *bits]).alias("flips")) for k, (m, bits) in enumerate(_rests())])
+    each = fps.select("fp", F.explode(rests).alias("r"))
+    return each.select(F.col("r.k").alias("left_out"), F.explode("r.flips").alias("_flip"), "fp", F.col("r.mask").alias("_mask")).select("left_out", F.col("fp").bitwiseAND(F.col("_mask")).bitwiseXOR(F.col("_flip")).alias("variant"), "fp")
 
-    rests = [(np.uint64(m), np.array([0, *bits], np.uint64)) for m, bits in _rests()]
-    for b in batches:
-        fp = b.column("fp").to_numpy().view(np.uint64)
-        for i in range(0, len(fp), GROUP):
-            own = fp[i : i + GROUP]
-            for k, (mask, flips) in enumerate(rests):
-                v = ((own & mask)[:, None] ^ flips[None, :]).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int8)), pa.array(v), pa.array(np.repeat(own, len(flips)).view(np.int64))], names=["left_out", "variant", "fp"])
+
+def _whole_balls(fps: DataFrame) -> DataFrame:
+    """variant, fp, odd: radius 2 for fingerprints with an even number of ones, radius 1 (without itself) for the others."""
+    one = [1 << i for i in range(BITS)]
+    two = [1 << i | 1 << j for i in range(BITS) for j in range(i)]
+    odd = F.bit_count("fp") % 2 == 1
+    flips = F.when(odd, _numbers(one)).otherwise(_numbers([0, *one, *two]))
+    return fps.select("fp", odd.alias("odd"), F.explode(flips).alias("_flip")).select(F.col("fp").bitwiseXOR(F.col("_flip")).alias("variant"), "fp", "odd")
 
 
 def _count(x):
@@ -167,38 +175,20 @@ def _meet(batches):
         yield out(*held)
 
 
-def _whole_balls(batches):
-    """variant, fp, odd: radius 2 for fingerprints with an even number of ones, radius 1 (without itself) for the others."""
-    import numpy as np
-    import pyarrow as pa
-
-    one = np.array([1 << i for i in range(BITS)], np.uint64)
-    two = np.array([1 << i | 1 << j for i in range(BITS) for j in range(i)], np.uint64)
-    flips = {False: np.concatenate([np.zeros(1, np.uint64), one, two]), True: one}
-    for b in batches:
-        fp = b.column("fp").to_numpy().view(np.uint64)
-        odd = _count(fp) % 2 == 1
-        for kind, by in flips.items():
-            own = fp[odd == kind]
-            for i in range(0, len(own), 64):
-                v = (own[i : i + 64, None] ^ by[None, :]).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.repeat(own[i : i + 64], len(by)).view(np.int64)), pa.array(np.full(len(v), kind))], names=["variant", "fp", "odd"])
-
-
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join all of the distinct fingerprints fps (fp) within distance RADIUS: every pair that
     differs by so much is connected through links, and every link is such a pair."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    balls = fps.select("fp").mapInArrow(_emit, "left_out byte, variant long, fp long")
-    met = cut(balls.repartition(n, "left_out", "variant").sortWithinPartitions("left_out", "variant").mapInArrow(_meet, "a long, b long, crowded boolean"))
+    met = cut(_balls(fps).repartition(n, "left_out", "variant").sortWithinPartitions("left_out", "variant").mapInArrow(_meet, "a long, b long, crowded boolean"))
     pairs = met.where("NOT crowded").select("a", "b")
     crowd = met.where("crowded").select(F.col("a").alias("fp")).distinct()
-    parity = crowd.mapInArrow(_whole_balls, "variant long, fp long, odd boolean")
+    parity = _whole_balls(crowd)
     # At a variant with an odd number of ones only radius 1 meets: all within two bits. At the others, an odd
     # fingerprint is the hub. Either way one aggregate gives the hub, and the members join it.
     even_variant = F.bit_count("variant") % 2 == 0
     hubs = parity.groupBy("variant").agg(F.min(F.when(~even_variant | F.col("odd"), F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("n")).where("hub IS NOT NULL AND n > 1").select("variant", "hub")
-    stars = parity.join(hubs, "variant").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    # Planned sizes know nothing of the balls, so no side may be broadcast on their account.
+    stars = parity.join(hubs.hint("merge"), "variant").where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
     return pairs.unionByName(stars)
 
 
