@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_text import op3_html_extraction
 from .mixing import op7_mixing
+from .ngram import op6_lm_scoring
 from .packing import op5_best_fit_packing
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
@@ -16,7 +17,7 @@ from .url_filter import op8_url_filters
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_sharding, op3_html_extraction, op4_exact_topk, op5_best_fit_packing, op7_mixing, op8_url_filters, op9_token_files, op10_quality_rules]
+    found = [op1_simhash, op2_sharding, op3_html_extraction, op4_exact_topk, op5_best_fit_packing, op6_lm_scoring, op7_mixing, op8_url_filters, op9_token_files, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
