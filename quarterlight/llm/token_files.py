@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, prefix_sums, scratch, table
+from .common import cut, dealt, prefix_sums, scratch, table
 from .tokens import Encoder
 
 END_ID = 2
@@ -71,7 +71,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_in_file"), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "row_in_file", "n_tokens", "ids_crc32"])
 
     thin = read_token_files(spark, path).mapInArrow(run, "doc_id long, row_in_file long, n_tokens long, ids_crc32 long")
-    return prefix_sums(thin, ["doc_id", "row_in_file"], {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return prefix_sums(cut(thin), ["doc_id", "row_in_file"], {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
