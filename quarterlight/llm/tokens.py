@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import os
 import re
-import zlib
+from array import array
 
 #: White space as the tokenizers' patterns have it: Python's also counts four separators that they don't.
 _BLANK, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-MAX_KNOWN = 400_000
+#: Latin letters and digits, and ASCII marks without the apostrophe: between the two every pattern parts.
+_WORD, _MARK = r"[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]", r"[!-&(-/:-@\[-`{-~]"
+_PIECE = rf"{_WORD}++(?={_MARK}|{_BLANK}|\Z)|{_MARK}++(?={_WORD}|{_BLANK}|\Z)|{_SOLID}+"
+#: Pieces that are kept for good, and further ones before these are forgotten: about 200 bytes each.
+KEPT, LATER = 500_000, 150_000
 _open: dict[str, "Encoder"] = {}
 
 
@@ -17,9 +21,9 @@ class Encoder:
     """Gives each text's ids as little-endian unsigned 32-bit integers.
 
     Two kinds of tokenizer never join what white space parts: byte-level ones without a normalizer keep it
-    at the start of the next word, word-end ones drop it. For these a text is the sequence of its words, so
-    each word is encoded once and remembered (MAX_KNOWN words at most, then it starts anew). Any other
-    tokenizer encodes whole texts.
+    at the start of the next word, word-end ones drop it. Nor do they join a word and the marks after it. For
+    these a text is the sequence of such pieces, so each is encoded once and remembered: the first ones, which
+    the common words are among, for good, later ones for a while. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -32,10 +36,11 @@ class Encoder:
         pre, norm = said.get("pre_tokenizer") or {}, said.get("normalizer") or {}
         self.words = None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
-            self.words = re.compile(f"{_BLANK}*{_SOLID}+|{_BLANK}+").findall
+            self.words = re.compile(f"{_BLANK}*(?:{_PIECE})|{_BLANK}+").findall
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("type") == "Split" and pre["pretokenizers"][0].get("invert") and {n["type"] for n in norm.get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"}:
-            self.words = re.compile(f"{_SOLID}+").findall
+            self.words = re.compile(_PIECE).findall
         self.known: dict[str, bytes] = {}
+        self.later: list[str] = []
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -44,28 +49,25 @@ class Encoder:
         return _open[path]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """In slices: what the library says of a text takes far more room than its ids."""
+        found = []
+        for i in range(0, len(texts), 4096):
+            found += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self.words is None:
             return self._raw(texts)
-        out, known = [], self.known
-        for t in texts:
-            words = self.words(t)
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in known]
-                if len(known) + len(new) > MAX_KNOWN:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                known.update(zip(new, self._raw(new), strict=True))
-                out.append(b"".join([known[w] for w in words]))
-        return out
-
-
-def crc32(ids: bytes | memoryview) -> int:
-    return zlib.crc32(ids)
+        known, later = self.known, self.later
+        if len(later) > LATER:
+            for w in later:
+                del known[w]
+            later.clear()
+        parted = [self.words(t) for t in texts]
+        new = [w for w in set().union(*parted) if w not in known]
+        if new:
+            if len(known) >= KEPT:
+                later += new
+            known.update(zip(new, self._raw(new), strict=True))
+        return [b"".join(map(known.__getitem__, p)) for p in parted]
