@@ -229,7 +229,10 @@ def keep_good(df: DataFrame) -> DataFrame:
     stats = cut(measured(df.select("text", "lang", "source")).drop("text"))
     names, best, fits = fit(stats)
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text", "lang", "source")
-    return judge(measured(inner), names, best, fits).where("kept").select("_row.*")
+    # A projection with a row number takes no pushed filter: below it, the verdict's terms would be computed anew
+    # wherever they are named, inside the functions of arrays too.
+    held = measured(inner).withColumn("_at", F.monotonically_increasing_id())
+    return judge(held, names, best, fits).where("kept AND _at >= 0").select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
