@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import oracles
+from .plans.queries import ALL
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
