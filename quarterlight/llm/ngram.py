@@ -30,6 +30,8 @@ START_ID, UNKNOWN_ID = 0xFFFFFFFF, 0xFFFFFFFE
 FLUSH_WORDS, FLUSH_PAIRS, SCORE_TOKENS = 300_000, 3_000_000, 1_000_000
 #: Words whose numbers a worker remembers for good, and further ones before it forgets these.
 KEPT, LATER = 400_000, 100_000
+#: Words of one file of contexts: what the shards of pairs add to a file is one row each, whatever their number.
+GROUP = 1 << 17
 SLICE = 64
 
 
@@ -184,6 +186,11 @@ class Vocabulary:
     def size(self) -> int:
         return self.starts[-1]
 
+    @property
+    def groups(self) -> list[int]:
+        """Where the files of contexts start, and V; one more file, numbered last, is the start's."""
+        return [*range(0, self.size, GROUP), self.size]
+
 
 class _Words:
     """A worker's view of the vocabulary."""
@@ -232,17 +239,18 @@ class _Words:
         sizes = [len(p) for p in parted]
         return np.fromiter((x for p in parted for x in map(known.__getitem__, p)), np.uint32, sum(sizes)), np.array(sizes)
 
-    def gather(self, numbers, read, width: int):
-        """read(shard) rows of each number; zeros for the start and for unknown words."""
+    @staticmethod
+    def gather(numbers, starts: list[int], read, width: int):
+        """read(file) rows of each number, files beginning at starts; zeros for the start and for unknown words."""
         import numpy as np
 
         once, back = np.unique(numbers, return_inverse=True)
         out = np.zeros((len(once), width))
-        edges = np.searchsorted(once, np.array(self.v.starts, np.uint64))
+        edges = np.searchsorted(once, np.array(starts, np.uint64))
         for s, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if b > a:
-                out[a:b] = read(s)[once[a:b].astype(np.int64) - self.v.starts[s]]
-        return out[back], once, back
+                out[a:b] = read(s)[once[a:b].astype(np.int64) - starts[s]]
+        return out[back]
 
 
 def _pairs(numbers, sizes):
@@ -295,14 +303,14 @@ def _count_pairs(v: Vocabulary):
 
 
 def _write_pairs(v: Vocabulary):
-    """Writes pairs-<shard> (hashes, counts up to 255, the rest's places and counts); gives, by shard of the words,
+    """Writes pairs-<shard> (hashes, counts up to 255, the rest's places and counts); gives, by file of contexts,
     what the pairs add to contexts (kind 0: tokens and pairs of count 1, 2, more) and to words (kind 1: words before)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        starts = np.array(v.starts, np.uint64)
+        starts = np.array(v.groups, np.uint64)
         names, kinds = ["shard", "kind", "numbers", "a", "b", "c", "d", "of1", "of2", "of3", "of4"], [pa.int32(), pa.int32()] + [pa.binary()] * 5 + [pa.int64()] * 4
 
         for shard, rows in _shards(batches, ["shard", "keys", "counts"]):
@@ -313,7 +321,7 @@ def _write_pairs(v: Vocabulary):
             pair = _unmix(keys)
             before, word = (pair >> np.uint64(32)).astype(np.uint64), pair & np.uint64(0xFFFFFFFF)
             of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            found = [(len(v.starts), 2, b"", b"", b"", b"", b"", *of)]
+            found = [(-1, 2, b"", b"", b"", b"", b"", *of)]
             for kind, ids, sums in ((0, before, [counts, counts == 1, counts == 2, counts > 2]), (1, word, [np.ones(len(keys), np.uint64)])):
                 order = np.argsort(ids, kind="stable")
                 ids = ids[order]
@@ -331,14 +339,14 @@ def _write_pairs(v: Vocabulary):
 
 
 def _write_contexts(v: Vocabulary, discounts: list[float]):
-    """Writes contexts-<shard>: tokens after each word, what its pairs' discounts give back, words before it."""
+    """Writes contexts-<file>: tokens after each word, what its pairs' discounts give back, words before it."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for shard, rows in _shards(batches, ["shard", "kind", "numbers", "a", "b", "c", "d"]):
-            n = v.starts[shard + 1] - v.starts[shard] if shard < len(v.starts) - 1 else 1
+            n = v.groups[shard + 1] - v.groups[shard] if shard < len(v.groups) - 1 else 1
             out = np.zeros((n, 3))
             for kind, ids, *data in rows:
                 at = np.cumsum(_from_planes(ids, "<u8"), dtype="<u8").astype(np.int64)
@@ -453,15 +461,15 @@ class _Scorer:
         n, total = v.size, v.tokens
         known = numbers < UNKNOWN_ID
         keys, before = _pairs(numbers, sizes)
-        counts, _, _ = self.words.gather(numbers, lambda s: self.words.shard(s)[1][:, None], 1)
+        counts = self.words.gather(numbers, v.starts, lambda s: self.words.shard(s)[1][:, None], 1)
         base = np.log10((counts[:, 0] + 1) / (total + (n + 1)))
         if not n:
             score = np.zeros(len(numbers))
         else:
-            k = self.words.gather(numbers, self.context, 3)[0][:, 2]
+            k = self.words.gather(numbers, v.groups, self.context, 3)[:, 2]
             one = (k - np.where(k > 0, np.array([0.0, *m.singles])[np.minimum(k, 3).astype(int)], 0) + m.back / (n + 1)) / m.k
-            context = self.words.gather(before, self.context, 3)[0]
-            context[before == START_ID] = self.context(len(v.starts) - 1)[0]
+            context = self.words.gather(before, v.groups, self.context, 3)
+            context[before == START_ID] = self.context(len(v.groups) - 1)[0]
             c = np.zeros(len(numbers))
             both = known & (before != UNKNOWN_ID)
             c[both] = self.pair_counts(keys[both])
@@ -472,13 +480,14 @@ class _Scorer:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (any columns, text) without text, with n_tokens, n_known, train_tokens, base_score, score and perplexity.
+    """docs (text, and any columns, those of the new names replaced) without text, with n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     Null text is empty: its one token is the end. Each row is scored for itself, so repeated rows score alike.
     """
-    names = [c for c in docs.columns if c != "text"]
+    new = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double", "perplexity": "double"}
+    names = [c for c in docs.columns if c != "text" and c not in new]
     schema = docs.select(*[f"`{c}`" for c in names]).schema
-    for c, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"), ("perplexity", "double")):
+    for c, kind in new.items():
         schema = schema.add(c, kind)
 
     def run(batches):
