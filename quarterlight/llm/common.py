@@ -41,10 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
-
-
 def word_list(text: Column) -> Column:
     """Maximal runs without white space; none for null."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -55,12 +51,6 @@ def crc32_text(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str], n_small: int, how: str = "left") -> DataFrame:
-    """An equi-join that keeps the big side in place while the small one has at most BROADCAST_KEYS rows
-    (n_small, counted by the caller); above, both sides are shuffled and adaptive execution splits hot keys."""
-    return big.join(F.broadcast(small) if n_small <= BROADCAST_KEYS else small, list(on), how)
-
-
 def dealt(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

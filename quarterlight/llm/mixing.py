@@ -9,10 +9,10 @@ the chunks' open documents fly together, and the last few land on the choice nea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, NOT_SPACE, cut, join_small, table
+from .common import BROADCAST_KEYS, NOT_SPACE, cut, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -114,11 +114,11 @@ def _flight(last: bool):
     return run
 
 
-def _is_open() -> DataFrame:
+def _is_open() -> Column:
     return (F.col("pi") > EPS) & (F.col("pi") < 1 - EPS)
 
 
-def balanced_sample(rows: DataFrame, n_rows: int) -> DataFrame:
+def balanced_sample(rows: DataFrame) -> DataFrame:
     """rows (_id, source, size, pi, _order) with pi moved to 0 or 1.
 
     A chunk is a task's group of about CHUNK rows and leaves two open, so the open rows shrink two
@@ -126,7 +126,7 @@ def balanced_sample(rows: DataFrame, n_rows: int) -> DataFrame:
     source is if it is smaller.
     """
     schema = rows.select("_id", "source", "size", "pi", "_order").schema
-    done, now, most = None, rows.select(*schema.names), n_rows
+    done, now = None, rows.select(*schema.names)
     while True:
         counts = now.where(_is_open()).groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
         largest = counts.agg(F.max("_n")).first()[0] or 0
@@ -170,8 +170,8 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     side = F.broadcast(small) if small.count() <= BROADCAST_KEYS else small
     rated = rows.join(side, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     drawn = rated.select(F.col("doc_id").alias("_id"), "source", "size", (F.col("_r") - F.floor("_r")).alias("pi"), F.xxhash64("doc_id", "size", F.lit(SEED)).alias("_order"), "source_size", "target", F.floor("_r").alias("_times"))
-    # Rows that are alike in all of this are told apart by a number, which both sides give in the same way.
-    found = balanced_sample(drawn, 0)
+    found = balanced_sample(drawn)
+    # Rows that are alike share their hits: a number tells them apart.
     side = found.groupBy("_id", "source", "size").agg(F.sum(F.round("pi").cast("long")).alias("_hits"))
     again = drawn.groupBy("_id", "source", "size", "source_size", "target", "_times").agg(F.count(F.lit(1)).alias("_n"))
     met = again.join(side.select(F.col("_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_hits"), F.col("_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
@@ -189,7 +189,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with docs' columns. A doc_id has to be one document."""
     times = mix(counted(docs)).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_i")
     met = docs.join(times, docs["doc_id"].eqNullSafe(times["_i"]))
-    return met.withColumn("_k", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    return met.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.explode(F.sequence(F.lit(1), times["_times"]))).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

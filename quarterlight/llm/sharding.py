@@ -36,10 +36,10 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
 def write_shards(docs: DataFrame, shards: int = SHARDS, path: str | None = None) -> str:
     """Writes whole rows as one folder of Parquet for each shard, in order of doc_id, and gives the folder.
 
-    doc_id has to be unique here, as rows meet their shard by it.
+    doc_id has to be unique here, as rows meet their shard by it; columns named shard or slot are replaced.
     """
     path = path or scratch(docs.sparkSession, "shards")
-    out = docs.join(assign_shards(sized(docs), shards).select("doc_id", "shard", "slot"), "doc_id")
+    out = docs.drop("shard", "slot").join(assign_shards(sized(docs), shards).select("doc_id", "shard", "slot"), "doc_id")
     out.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
 

@@ -64,7 +64,7 @@ def filter_words(n: int) -> int:
 def judge_urls(df: DataFrame, listed: DataFrame, default: str = "allow", url: str = "url", words: int | None = None) -> DataFrame:
     """df with host, path, rule (host + path of the entry that wins, else null) and verdict (the entry's, else default).
 
-    Columns of df keep their names but for those four, which are replaced. Repeated rows stay repeated; a null
+    Columns of df (none a map) keep their names but for those four, which are replaced. Repeated rows stay repeated; a null
     or malformed URL has an empty host and path and fits no entry, nor does anything if the list is empty.
     List entries that are null in host or path are ignored; of equal entries the smallest verdict counts.
     Only rows whose keys pass the filter are shuffled (their own columns and the winner, not the keys).
@@ -72,7 +72,8 @@ def judge_urls(df: DataFrame, listed: DataFrame, default: str = "allow", url: st
     listed = listed.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     words = words or filter_words(listed.count())
     own = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = canonical(df.select(*[F.col(f"`{c}`") for c in own]), url)
+    # df's columns travel as one, so that their names can't meet those used here.
+    rows = canonical(df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{url}`").alias("_url")), "_url").drop("_url")
     sizes = listed.agg(F.sort_array(F.collect_set(F.length("host"))).alias("h"), F.sort_array(F.collect_set(F.length("path"))).alias("p"))
     rows = rows.withColumns({"_f": build_filter(listed, words).scalar(), "_hs": sizes.select("h").scalar(), "_ps": sizes.select("p").scalar()})
     fits = F.filter("_hs", lambda n: (n > 0) & ((n == F.length("host")) | ((n < F.length("host")) & (F.substring(F.col("host"), F.length("host") - n, F.lit(1)) == "."))))
@@ -91,11 +92,11 @@ def judge_urls(df: DataFrame, listed: DataFrame, default: str = "allow", url: st
     entries = listed.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("verdict").alias("_v"))
     met = some.join(entries, (F.col("_k.h") == F.col("_h")) & (F.col("_k.p") == F.col("_p")), "left")
     best = F.max(F.when(F.col("_h").isNotNull(), F.struct((F.length("_h") + F.length("_p")).alias("n"), F.length("_h").alias("m"), F.concat("_h", "_p").alias("rule"), F.col("_v").alias("verdict"))))
-    won = met.groupBy(*[F.col(f"`{c}`") for c in own], "host", "path", "_n").agg(best.alias("_b"), F.count(F.lit(1)).alias("_c"))
+    won = met.groupBy("_row", "host", "path", "_n").agg(best.alias("_b"), F.count(F.lit(1)).alias("_c"))
     # Equal rows met in one group; each comes back as often as it was there.
     won = won.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("_c") / F.col("_n")).cast("long"))))
     won = won.withColumns({"rule": F.col("_b.rule"), "verdict": F.coalesce("_b.verdict", F.lit(default))})
-    return none.unionByName(won.select(none.columns))
+    return none.unionByName(won.select(none.columns)).select("_row.*", "host", "path", "rule", "verdict")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
