@@ -11,7 +11,8 @@ KEEPS, ESCAPES = 0.6, 0.4
 
 def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     """Bounds of the 95 % score interval; (0, 1) without trials."""
-    p = successes / F.nullif(n, F.lit(0))
+    n = F.nullif(n, F.lit(0.0))
+    p = successes / n
     scale = 1 + z * z / n
     centre, half = (p + z * z / (2 * n)) / scale, z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
     return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(1.0))

@@ -77,8 +77,9 @@ def prov_json(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     r = relations.join(inside.withColumnRenamed("id", "subject"), "subject", "left_semi").join(inside.withColumnRenamed("id", "object"), "object", "left_semi")
     by_kind = nodes.groupBy("kind").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("id", F.struct("label").alias("v"))))).alias("m"))
     rel = r.groupBy("kind").agg(F.array_sort(F.collect_set(F.struct("subject", "object", "is_revision"))).alias("m"))
-    a = by_kind.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "m")))).alias("nodes"))
-    b = rel.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "m")))).alias("relations"))
+    by_name = lambda x, y: F.when(x["kind"] < y["kind"], -1).when(x["kind"] > y["kind"], 1).otherwise(0)
+    a = by_kind.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "m")), by_name)).alias("nodes"))
+    b = rel.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "m")), by_name)).alias("relations"))
     return a.select("nodes", b.scalar().alias("relations")).select(F.to_json(F.struct("nodes", "relations")).alias("prov"))
 
 

@@ -125,7 +125,7 @@ def document_findings(documents: DataFrame) -> DataFrame:
         (F.col("convention") == "interval_end_ambiguous", finding("CONVENTION_AMBIGUOUS", "warning", "source_document", t, F.lit("interval ends without an example"))),
         (F.col("page_year") != F.col("registry_year"), finding("YEAR_MISMATCH", "error", "source_document", t, F.lit("the page names another year"))),
         (F.col("upload") & ~F.col("same_name"), finding("DSO_MISMATCH", "warning", "source_document", t, F.lit("the page names another operator"))),
-        (F.col("upload") & (F.col("n_windows") + F.col("n_empty") == 0), finding("NO_HLZF_TABLE", "error", "source_document", t, F.lit("no table was found"))),
+        (F.col("upload") & (F.col("n_windows") + F.col("n_empty") == 0), finding("NO_WINDOW_TABLE", "error", "source_document", t, F.lit("no table was found"))),
         (F.length(F.trim("correction_note")) > 0, finding("CORRECTION_NOTED", "info", "source_document", t, F.col("correction_note"))),
     ]
     return union([documents.where(c).select("document_id", *f) for c, f in rules])

@@ -90,7 +90,7 @@ def reconcile_cells(current_cells: DataFrame, readings: DataFrame, keys: list[st
         .unionByName(readings.select(*keys, "start_min", "end_min", F.lit(True).alias("new")))
     )
     fields = current_cells.select(*keys).schema
-    for n, t in (("change", "string"), ("start_min", "int"), ("end_min", "int"), ("new_start", "int"), ("new_end", "int")):
+    for n, t in (("change", "string"), ("start_min", "integer"), ("end_min", "integer"), ("new_start", "integer"), ("new_end", "integer")):
         fields = fields.add(n, t)
 
     def run(key, rows):

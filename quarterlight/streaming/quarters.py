@@ -9,8 +9,11 @@ from ..functions.clock import floor_quarter
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet files of a folder."""
+    """A stream of the Parquet files of a folder, or of the one file at path."""
     schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
