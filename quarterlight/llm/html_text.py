@@ -31,6 +31,10 @@ MARKS = frozenset(
     "header masthead topbar footer colophon contentinfo complementary cookie cookies consent gdpr notice notices notification alert disclaimer newsletter subscribe subscription signup login "
     "search searchbox share sharing social related recommended recommendations comment comments reply replies respond discussion disqus pagination pager skip toolbar tags".split()
 )
+#: The same inside longer words.
+MARKED = re.compile(r"(comment|reply|replies)(s|list|box|form|area|section|thread|block)$|^(advert|adsby|cookie|sidebar|newsletter|breadcrumb|disqus|sponsor|promo)|(nav|menu|banner|sidebar|footer|toolbar)$")
+#: Blocks that a later one ends, if their own end tag is missing.
+OPEN_ENDED = frozenset("p li dt dd h1 h2 h3 h4 h5 h6".split())
 OWN = frozenset(("article", "main"))
 #: An article's classes often name its topics; only these take it out.
 REPLIES = frozenset("comment comments reply replies respond discussion disqus".split())
@@ -50,7 +54,7 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and value and any(w.lower() in (REPLIES if tag in OWN else MARKS) for w in _WORD.findall(value)):
+        if name in ("class", "id", "role") and value and any(w in REPLIES if tag in OWN else w in MARKS or MARKED.search(w) for w in map(str.lower, _WORD.findall(value))):
             return True
     return False
 
@@ -88,6 +92,8 @@ class _Blocks(HTMLParser):
                 self._open(tag, attrs)
             return
         self._end_block()
+        while self.holders and (top := self.holders[-1][0]) in OPEN_ENDED and (top == "p" or top == tag):
+            self.holders.pop()
         if tag in VOID:
             return
         if tag in HOLDERS or _marked(tag, attrs):

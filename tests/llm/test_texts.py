@@ -90,6 +90,7 @@ def test_article_of_a_page():
         ("<nav>a</nav>", ""),
         ("<p>a<p>b", "a\nb"),
         ("<div class=x><p>Some text that is long.</p><p>More &lt;text&gt;</p></div><div class=sidebar>side</div>", "Some text that is long.\nMore <text>"),
+        ("<div><p class=notice>Mind the step.<p>The text goes on here for long.<ol class=commentlist><li>hi</ol></div>", "The text goes on here for long."),
         ("<p>unclosed <b>bold <i>text", "unclosed bold text"),
         ("<main><p>one</p><!-- <p>no</p> --><p>two</p></main><p>three</p>", "one\ntwo"),
         ("<article>" + "<p>word</p>" * 3000 + "</article>", "\n".join(["word"] * 3000)),
