@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prefix_sums, table
+from .common import cut, prefix_sums, small_batches, table
 from .tokens import Encoder
 
 SIZE = 4096
@@ -199,7 +199,8 @@ def pack(lengths: DataFrame, size: int = SIZE, tie: tuple[str, ...] = ("doc_id",
     """
     import numpy as np
 
-    stored = cut(lengths.withColumn("_h", F.xxhash64(*tie)))
+    with small_batches(lengths.sparkSession):
+        stored = cut(lengths.withColumn("_h", F.xxhash64(*tie)))
     histogram = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys, sequence, offset = slots(plan(histogram, size))
     known = sorted(histogram)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .components import components
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 3
@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id get a class but never name it (null if the class has no other); repeated rows come out as often;
     other columns are ignored; an empty table gives an empty result.
     """
-    rows = cut(fingerprints(docs))
+    with small_batches(docs.sparkSession):
+        rows = cut(fingerprints(docs))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(links(fps))
     named = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
