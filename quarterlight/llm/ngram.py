@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared_files
-from .common import cut, dealt, scratch, table
+from .common import cut, dealt, scratch, small_batches, table
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word has white space
 START_ID, UNKNOWN_ID = 0xFFFFFFFF, 0xFFFFFFFE
 #: Distinct words, then bigram tokens, that a task sums up before it sends them on; tokens scored at once.
-FLUSH_WORDS, FLUSH_PAIRS, SCORE_TOKENS = 300_000, 3_000_000, 1_000_000
+FLUSH_WORDS, FLUSH_PAIRS, SCORE_TOKENS = 300_000, 2_000_000, 600_000
 #: Words whose numbers a worker remembers for good, and further ones before it forgets these.
-KEPT, LATER = 400_000, 100_000
+KEPT, LATER = 350_000, 100_000
 #: Words of one file of contexts: what the shards of pairs add to a file is one row each, whatever their number.
 GROUP = 1 << 17
 SLICE = 64
@@ -392,8 +392,11 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     the session's shuffle partitions. Without rows the model knows no word.
     """
     spark = docs.sparkSession
-    folder = folder or scratch(spark, "ngram")
-    n = dealt(spark)
+    with small_batches(spark, 4096):
+        return _train(spark, docs, folder or scratch(spark, "ngram"), dealt(spark))
+
+
+def _train(spark: SparkSession, docs: DataFrame, folder: str, n: int) -> Model:
     bits = max(1, (2 * n - 1).bit_length())
     sharded = "shard int, keys binary, counts binary"
     met = lambda df: df.repartition(n, "shard").sortWithinPartitions("shard")
@@ -521,6 +524,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     docs = docs.select("doc_id", (fold == HELD_OUT).alias("held_out"), "text")
     model = train(docs.where("NOT held_out"))
-    out = cut(score(docs, model))  # so that the model can go
+    with small_batches(spark, 4096):
+        out = cut(score(docs, model))  # so that the model can go
     shared_files.remove(spark, model.folder)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
