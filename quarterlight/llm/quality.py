@@ -26,8 +26,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 SCALE = 4096
 STATS = ("z0", "z1", "z2", "z3")
 #: Standard deviations that an estimate can't fall below, in the order of STATS: prose whose counts are all
-#: zero has no scatter, and without a floor any count above zero would be an outlier.
-FLOORS = (0.25, 0.15, 0.15, 0.15)
+#: zero has no scatter, and without a floor any count above zero would be an outlier. Repeats up to the base
+#: rule's share are no outliers by themselves (its arcsine is 0.58), so theirs are wide.
+FLOORS = (0.25, 0.15, 0.25, 0.25)
 #: Mean word length is drawn to the prior by this many words of this length: short texts scatter more.
 PRIOR_WORDS, PRIOR_CHARS = 50, 5
 #: Share of a group that an estimate rests on, steps of concentration, and the chi-square tail of the verdict.
