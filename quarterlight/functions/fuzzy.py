@@ -29,26 +29,36 @@ def ratio_of(a: str, b: str) -> float:
     return 100.0 if not a and not b else 200.0 * _lcs(a, b) / (len(a) + len(b))
 
 
-def partial_of(a: str, b: str) -> tuple[float, int, int]:
-    """(best score, from, to) of the shorter against windows of the longer, ends of it too."""
+def partial_of(a: str, b: str, least: float = 0.0) -> tuple[float, int, int]:
+    """(best score, from, to) of the shorter against windows of the longer, ends of it too; zeros if below least.
+
+    A window that moves on by d has at most d more in common, so windows that can't beat the best are skipped.
+    """
     short, long = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(short)
+    n, m = len(short), len(long)
     if not n:
-        return (100.0 if not long else 0.0), 0, 0
+        return (100.0 if not m else 0.0), 0, 0
     if (at := long.find(short)) >= 0:
         return 100.0, at, at + n
     places: dict[str, int] = {}
     for k, c in enumerate(short):
         places[c] = places.get(c, 0) | 1 << k
-    best = (0.0, 0, 0)
-    for end in range(1, len(long) + n):
-        lo, hi = max(0, end - n), min(end, len(long))
-        if long[lo] not in places and long[hi - 1] not in places:
-            continue
-        score = 200.0 * _lcs(short, long[lo:hi], places) / (n + hi - lo)
-        if score > best[0]:
-            best = (score, lo, hi)
-    return best
+    best, found = least - 1e-9 if least else 0.0, (0.0, 0, 0)
+    end, common = 0, 0
+    while True:
+        step = 1
+        while (last := end + step) < m + n:
+            size = min(last, m) - max(0, last - n)
+            if 200.0 * min(common + step, size) > best * (n + size):
+                break
+            step += 1
+        if last >= m + n:
+            return found
+        end, lo, hi = last, max(0, last - n), min(last, m)
+        common = _lcs(short, long[lo:hi], places)
+        score = 200.0 * common / (n + hi - lo)
+        if score > best:
+            best, found = score, (score, lo, hi)
 
 
 def token_set_of(a: str, b: str) -> float:
@@ -67,9 +77,14 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else partial_of(x, y)[0] for x, y in zip(a, b, strict=True)], dtype="float64")
+def partial_ratio(a, b, least: float = 0.0):
+    """The partial score, 0 if it is below least."""
+
+    @F.pandas_udf(DoubleType())
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else partial_of(p, q, least)[0] for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return score(a, b)
 
 
 @F.pandas_udf(DoubleType())

@@ -42,7 +42,7 @@ def ground_fuzzy(quotes: DataFrame, lines: DataFrame, on: list[str], threshold:
     met = q.join(t, on).where((F.col("_q") != "") & numbers_in(F.col("_q"), F.col("_t")))
     exact = F.contains(F.col("_t"), F.col("_q"))
     long = (F.length("_q") >= MIN_FUZZY) & (F.length("_t") + 2 >= F.length("_q"))
-    scored = met.where(exact | long).withColumn("score", F.when(exact, 100.0).otherwise(fuzzy.partial_ratio("_q", "_t")))
+    scored = met.where(exact | long).withColumn("score", F.when(exact, 100.0).otherwise(fuzzy.partial_ratio("_q", "_t", threshold)))
     return scored.where(F.col("score") >= threshold).select(*on, "quote_id", "line_no", F.round("score", 1).alias("score"))
 
 

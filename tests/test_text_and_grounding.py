@@ -78,7 +78,9 @@ def test_scores():
         short, long = sorted((a, b), key=len)
         if short:
             windows = [long[max(0, e - len(short)) : min(e, len(long))] for e in range(1, len(long) + len(short))]
-            assert abs(s - max([200 * brute_lcs(short, w) / (len(short) + len(w)) for w in windows if w], default=0)) < 1e-9
+            best = max([200 * brute_lcs(short, w) / (len(short) + len(w)) for w in windows if w], default=0)
+            assert abs(s - best) < 1e-9
+            assert abs(fuzzy.partial_of(a, b, 70.0)[0] - (best if best >= 70 else 0)) < 1e-9
     assert fuzzy.token_set_of("netz ostheim gmbh", "ostheim netz") == 100.0
     assert fuzzy.ratio_of("07:45-09:00", "07:45-19:00") > 90
 
