@@ -9,8 +9,10 @@ from array import array
 
 #: White space as the tokenizers' patterns have it: Python's also counts four separators that they don't.
 _BLANK, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
-#: Latin letters and digits, and ASCII marks without the apostrophe: between the two every pattern parts.
-_WORD, _MARK = r"[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u024f]", r"[!-&(-/:-@\[-`{-~]"
+#: Latin letters, without the one that is a letter and a mark in lower case.
+_LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+#: These and digits, and ASCII marks without the apostrophe: between the two every pattern parts.
+_WORD, _MARK = f"[{_LETTERS}0-9]", r"[!-&(-/:-@\[-`{-~]"
 _PIECE = rf"{_WORD}++(?={_MARK}|{_BLANK}|\Z)|{_MARK}++(?={_WORD}|{_BLANK}|\Z)|{_SOLID}+"
 #: Pieces that are kept for good, and further ones before these are forgotten: about 200 bytes each.
 KEPT, LATER = 500_000, 150_000
@@ -28,17 +30,24 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
         with open(path) as f:
             said = json.load(f)
         pre, norm = said.get("pre_tokenizer") or {}, said.get("normalizer") or {}
         self.words = None
+        # Latin letters alone, or after one space, are one word to both kinds: for them the patterns can be left out.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
-            self.words = re.compile(f"{_BLANK}*(?:{_PIECE})|{_BLANK}+").findall
+            self.words = re.compile(f" ?{_WORD}++(?=[ .,])|{_BLANK}*(?:{_PIECE})|{_BLANK}+").findall
+            self.lone = re.compile(f" ?[{_LETTERS}]+").fullmatch
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("type") == "Split" and pre["pretokenizers"][0].get("invert") and {n["type"] for n in norm.get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"}:
             self.words = re.compile(_PIECE).findall
+            self.letters.normalizer = normalizers.Lowercase()
+            self.lone = re.compile(f"[{_LETTERS}]+").fullmatch
         self.known: dict[str, bytes] = {}
         self.later: list[str] = []
 
@@ -48,17 +57,25 @@ class Encoder:
             _open[path] = cls(path)
         return _open[path]
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
         """In slices: what the library says of a text takes far more room than its ids."""
         found = []
         for i in range(0, len(texts), 4096):
-            found += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+            found += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        return found
+
+    def _pieces(self, new: list[str]) -> dict[str, bytes]:
+        lone = [w for w in new if self.lone(w)]
+        found = dict(zip(lone, self._ids(self.letters, lone), strict=True))
+        rest = [w for w in new if w not in found]
+        found.update(zip(rest, self._ids(self.tokenizer, rest), strict=True))
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self.words is None:
-            return self._raw(texts)
+            return self._ids(self.tokenizer, texts)
         known, later = self.known, self.later
         if len(later) > LATER:
             for w in later:
@@ -69,5 +86,5 @@ class Encoder:
         if new:
             if len(known) >= KEPT:
                 later += new
-            known.update(zip(new, self._raw(new), strict=True))
+            known.update(self._pieces(new))
         return [b"".join(map(known.__getitem__, p)) for p in parted]
