@@ -29,7 +29,7 @@ START_ID, UNKNOWN_ID = 0xFFFFFFFF, 0xFFFFFFFE
 #: Distinct words, then bigram tokens, that a task sums up before it sends them on; tokens scored at once.
 FLUSH_WORDS, FLUSH_PAIRS, SCORE_TOKENS = 300_000, 2_000_000, 600_000
 #: Words whose numbers a worker remembers for good, and further ones before it forgets these.
-KEPT, LATER = 350_000, 100_000
+KEPT, LATER = 300_000, 100_000
 #: Words of one file of contexts: what the shards of pairs add to a file is one row each, whatever their number.
 GROUP = 1 << 17
 SLICE = 64
@@ -70,17 +70,17 @@ def _from_planes(b: bytes, kind: str):
     return np.ascontiguousarray(np.frombuffer(b, "u1").reshape(width, -1).T).view(kind).ravel()
 
 
-def _squeezed(keys, counts) -> tuple[bytes, bytes]:
-    """Sorted keys as their steps, and counts, as planes."""
+def _squeezed(keys, counts, kind: str = "<u4") -> tuple[bytes, bytes]:
+    """Sorted keys as their steps, and counts, as planes; what a task counts between two flushes fits 32 bits."""
     import numpy as np
 
-    return _planes(np.diff(keys, prepend=np.zeros(1, keys.dtype)), keys.dtype.str), _planes(counts, "<u8")
+    return _planes(np.diff(keys, prepend=np.zeros(1, keys.dtype)), keys.dtype.str), _planes(counts, kind)
 
 
-def _unsqueezed(keys: bytes, counts: bytes, kind: str = "<u8"):
+def _unsqueezed(keys: bytes, counts: bytes):
     import numpy as np
 
-    return np.cumsum(_from_planes(keys, kind), dtype=kind), _from_planes(counts, "<u8")
+    return np.cumsum(_from_planes(keys, "<u8"), dtype="<u8"), _from_planes(counts, "<u4").astype("<u8")
 
 
 def _summed(keys, counts):
@@ -331,7 +331,7 @@ def _write_pairs(v: Vocabulary):
                 for s, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
                     if y > x:
                         base = starts[s] if s < len(starts) - 1 else ids[x]
-                        data = [_squeezed(ids[x:y] - base, c[x:y]) for c in sums]
+                        data = [_squeezed(ids[x:y] - base, c[x:y], "<u8") for c in sums]
                         found.append((s, kind, data[0][0], *(d[1] for d in data), *[b""] * (4 - len(data)), 0, 0, 0, 0))
             yield _rows(found, names, kinds)
 
@@ -392,7 +392,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     the session's shuffle partitions. Without rows the model knows no word.
     """
     spark = docs.sparkSession
-    with small_batches(spark, 4096):
+    with small_batches(spark, 128):
         return _train(spark, docs, folder or scratch(spark, "ngram"), dealt(spark))
 
 
@@ -524,7 +524,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     docs = docs.select("doc_id", (fold == HELD_OUT).alias("held_out"), "text")
     model = train(docs.where("NOT held_out"))
-    with small_batches(spark, 4096):
+    with small_batches(spark, 1024):
         out = cut(score(docs, model))  # so that the model can go
     shared_files.remove(spark, model.folder)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
