@@ -1,0 +1,180 @@
+"""Near-duplicates by the Jaccard similarity of five-word shingles: MinHash finds pairs, the texts decide.
+
+Each distinct text has BANDS keys of ROWS minima each; texts that share a key are candidates. A pair of similarity
+0.8 shares none with probability (1 - 0.8^5)^32, 3 in a million, and more similar pairs less often. A candidate
+pair counts only if its sets of shingles are that similar.
+
+A group of near copies shares keys, so its pairs would grow with its square. Members are held against one hub of
+their key first, and what that links is one class. Pairs within a class change nothing and are left out; when few
+enough are left, or a round links nothing, all pairs across classes are held against each other. So classes are
+those of all candidate pairs, whatever the hubs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import BROADCAST_KEYS, cut, small_batches
+from .components import components
+
+SHINGLE, SIMILAR, SEED = 5, 0.8, 42
+BANDS, ROWS = 32, 5
+#: Pairs across classes are formed at once up to this many for each member of a key.
+PAIRS_EACH = 8
+SLICE = 1024
+
+
+def shingles(text: str | None, n: int = SHINGLE):
+    """Sorted distinct hashes of all n-word shingles, A-Z in lower case; shorter texts are one shingle, empty ones none."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    whole = b" ".join(words)
+    if len(words) <= n:
+        return np.array([xxh64_intdigest(whole, SEED)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    return np.unique(np.array([xxh64_intdigest(whole[a : b - 1], SEED) for a, b in zip([0, *ends], ends[n - 1 :], strict=False)], np.uint64))
+
+
+def _mixers():
+    import numpy as np
+
+    rnd = np.random.default_rng(SEED)
+    flips, factors = rnd.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    return flips, factors * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(found, mixers):
+    """BANDS longs of a set of shingles."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    flips, factors = mixers
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), SLICE):
+        x = (found[i : i + SLICE, None] ^ flips) * factors
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, x.min(axis=0), out=least)
+    return np.array([xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _keys(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    mixers = _mixers()
+    for b in batches:
+        for i in range(0, b.num_rows, 128):
+            part = b.slice(i, 128)
+            flat = np.concatenate([band_keys(shingles(t), mixers) for t in part.column("text").to_pylist()])
+            bands = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS, pa.array(flat))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), bands], names=["doc_id", "key", "bands"])
+
+
+def _sets(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        for i in range(0, b.num_rows, 128):
+            part = b.slice(i, 128)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([shingles(t).tobytes() for t in part.column("text").to_pylist()], pa.binary())], names=["key", "found"])
+
+
+def _verified(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        good = []
+        for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            p, q = (np.frombuffer(v.as_py() or bytes(8), np.uint64) for v in (x, y))
+            # Sizes alone can rule a pair out.
+            if min(len(p), len(q)) < SIMILAR * max(len(p), len(q)):
+                good.append(False)
+                continue
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            good.append(both >= SIMILAR * (len(p) + len(q) - both))
+        at = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(at), b.column("b").filter(at)], names=["a", "b"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingles are similar enough. A hub is in many pairs, so the joins may be split but not broadcast."""
+    one = sets.select(F.col("key").alias("a"), F.col("found").alias("x"))
+    two = sets.select(F.col("key").alias("b"), F.col("found").alias("y"))
+    with small_batches(pairs.sparkSession, 256):
+        return cut(pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text) and root, which names the class, of every row; the class is what links of
+    similarity SIMILAR or more reach. Null and empty texts are copies of each other."""
+    texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    with small_batches(docs.sparkSession):
+        rows = cut(texts.mapInArrow(_keys, "doc_id long, key long, bands array<long>"))
+    bands = rows.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    members = cut(bands.join(shared.hint("merge"), "band"))
+    some = members.select("key").distinct()
+    with small_batches(docs.sparkSession):
+        some = F.broadcast(some) if some.count() <= BROADCAST_KEYS else some
+        sets = cut(texts.select("key", "text").join(some, "key", "left_semi").mapInArrow(_sets, "key long, found binary").dropDuplicates(["key"]))
+    links, labelled, last = None, members.withColumn("root", F.col("key")), False
+    for turn in range(1_000_000):
+        sizes = labelled.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+        spread = sizes.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        across, held = spread.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        if not held:
+            break
+        at = cut(labelled.join(spread.select("band").hint("merge"), "band"))
+        last = last or across <= PAIRS_EACH * held
+        if last:
+            other = at.select("band", F.col("key").alias("b"), F.col("root").alias("_other"))
+            pairs = at.withColumnRenamed("key", "a").join(other.hint("merge"), "band").where("a < b AND root <> _other").select("a", "b").distinct()
+        else:
+            hub = at.groupBy("band").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(turn))).alias("hub"))
+            met = at.join(hub.hint("merge"), "band").where("root <> hub.root")
+            pairs = met.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")).distinct()
+        new = _similar(pairs, sets)
+        none = not new.limit(1).count()
+        if not none:
+            links = new if links is None else links.unionByName(new)
+        if last:
+            break
+        # A round without links leaves the rest to all pairs.
+        last = none
+        if not none:
+            labels = cut(components(links))
+            labelled = members.join(labels, members["key"] == labels["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    keyed = rows.select("doc_id", "key")
+    if links is None:
+        return keyed.withColumn("root", F.col("key"))
+    labels = components(links)
+    return keyed.join(labels, keyed["key"] == labels["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the first of their class, one for each class, with docs' columns.
+
+    First is the smallest doc_id, rows without one come last. Rows of one doc_id count as one document: where
+    doc_ids repeat, one of their rows stays. Rows without a doc_id are told apart by class and text.
+    """
+    found = cut(classes(docs).groupBy("doc_id", "key", "root").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")
+    first = found.groupBy("root").agg(F.min(order).alias("o")).select("o.*")
+    named = first.where("NOT none").groupBy("doc_id").agg(F.min(F.struct("key", "n")).alias("o")).select("doc_id", "o.*")
+    first = cut(named.unionByName(first.where("none").select("doc_id", "key", "n")))
+    keyed = docs.withColumn("_key", text_key(F.col("text")))
+    same = keyed["doc_id"].eqNullSafe(first["doc_id"]) & (keyed["_key"] == first["key"])
+    kept = keyed.join(first.drop("n"), same, "left_semi")
+    kept = kept.dropDuplicates(["doc_id", "_key"]) if first.where("n > 1").limit(1).count() else kept
+    return kept.drop("_key")
