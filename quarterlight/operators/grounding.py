@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy
+from ..functions import locate
 from ..functions.text import plain_key
 
 THRESHOLD = 90.0
-MIN_FUZZY = 12
 
 
 def numbers(key: Column) -> Column:
@@ -31,19 +30,72 @@ def ground_exact(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return p.join(F.broadcast(q), F.contains(F.col("_t"), F.col("_q"))).select("quote_id", "page_id")
 
 
+#: So many quotes are held against a page at once.
+BLOCK = 512
+#: Only at such junctions is the key of two lines other than their keys with a space between.
+LINE_END, LINE_START = r"[-:.0-9]$", r"^[-:.0-9]"
+
+
+def _page_keys(pages: DataFrame) -> DataFrame:
+    """Adds to pages (_l: array of structs n, text) _k, the keyed lines that aren't blank, _odd, the key of a line and
+    the next where it isn't their keys with a space between, and _whole, the page's key if it has any such."""
+    keyed = pages.withColumn("_k", F.filter(F.transform("_l", lambda x: F.struct(x["n"].alias("n"), x["text"].alias("text"), plain_key(x["text"]).alias("key"))), lambda x: x["key"] != ""))
+    after = lambda i: F.get(F.col("_k"), i + 1)
+    meets = lambda x, i: x["key"].rlike(LINE_END) & after(i)["key"].rlike(LINE_START) | x["key"].rlike("[-:]$") | after(i)["key"].rlike("^[-:]")
+    odd = F.transform("_k", lambda x, i: F.when(after(i).isNotNull() & meets(x, i), plain_key(F.concat(x["text"], F.lit(" "), after(i)["text"]))))
+    keyed = keyed.withColumn("_odd", odd)
+    whole = F.when(F.exists("_odd", lambda x: x.isNotNull()), plain_key(F.array_join(F.transform("_k", lambda x: x["text"]), " ")))
+    return keyed.withColumn("_whole", whole).withColumn("_k", F.transform("_k", lambda x: F.struct(x["n"].alias("n"), x["key"].alias("key")))).drop("_l")
+
+
+def _page(row: dict) -> tuple[list, list, list, str]:
+    lines = [(x["n"], x["key"]) for x in row["_k"] or ()]
+    odd = list(row["_odd"] or ())
+    pairs = [o if o is not None else f"{a[1]} {b[1]}" for o, a, b in zip(odd, lines, lines[1:])]  # noqa: B905
+    return lines, pairs, [o for o in odd if o is not None], row["_whole"] if row["_whole"] is not None else " ".join(t for _, t in lines)
+
+
 def ground_fuzzy(quotes: DataFrame, lines: DataFrame, on: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """Places where a quote is found on its own page: quotes (on, quote_id, quote), lines (on, line_no, text).
 
-    Every number of the quote has to be in the line, which is tested first and in the JVM; a line much shorter
-    than the quote can't hold it. A short quote counts only if it is there exactly.
+    Single lines and pairs of consecutive ones (multiline) count, each place once; every number of the quote has to
+    be there. A quote without such a place is looked for in the whole page's text: line_no is then null.
+    """
+    pages = lines.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").cast("int").alias("n"), F.coalesce("text", F.lit("")).alias("text")))).alias("_l"))
+    met = _page_keys(pages).join(quotes.select(*on, "quote_id", plain_key(F.col("quote")).alias("_q")), on).where("_q <> ''")
+
+    @F.udf("array<struct<line_no: int, multiline: boolean, score: double>>")
+    def score(q, k, odd, whole):
+        lines, pairs, _, page = _page({"_k": k, "_odd": odd, "_whole": whole})
+        return locate.places(q, lines, pairs, page, threshold)
+
+    return met.select(*on, "quote_id", F.explode(score("_q", "_k", "_odd", "_whole")).alias("p")).select(*on, "quote_id", "p.*")
+
+
+def ground_everywhere(quotes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Places of quotes (quote_id, quote) on all pages (page_id, text), as of ground_fuzzy.
+
+    The quotes, a stated query set, go to every task and are taken in blocks; pages lie where they are. Only pages
+    that share enough pieces with a quote are scored, which loses no place of score 90 or more.
     """
-    q = quotes.withColumn("_q", plain_key(F.col("quote")))
-    t = lines.withColumn("_t", plain_key(F.col("text")))
-    met = q.join(t, on).where((F.col("_q") != "") & numbers_in(F.col("_q"), F.col("_t")))
-    exact = F.contains(F.col("_t"), F.col("_q"))
-    long = (F.length("_q") >= MIN_FUZZY) & (F.length("_t") + 2 >= F.length("_q"))
-    scored = met.where(exact | long).withColumn("score", F.when(exact, 100.0).otherwise(fuzzy.partial_ratio("_q", "_t", threshold)))
-    return scored.where(F.col("score") >= threshold).select(*on, "quote_id", "line_no", F.round("score", 1).alias("score"))
+    wanted = [tuple(r) for r in quotes.select("quote_id", plain_key(F.col("quote")).alias("_q")).where("_q <> ''").collect()]
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.cast("int").alias("n"), x.alias("text")))
+
+    def run(batches):
+        import pyarrow as pa
+
+        blocks = [locate.Quotes(wanted[i : i + BLOCK]) for i in range(0, len(wanted), BLOCK)]
+        for b in batches:
+            out: list = []
+            for i in range(b.num_rows):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                page = _page(row)
+                out += [(quote, row["page_id"], *place) for block in blocks for quote, *place in block.on(*page)]
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.float64())
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["quote_id", "page_id", "line_no", "multiline", "score"])
+
+    return _page_keys(pages.select("page_id", lines.alias("_l"))).mapInArrow(run, "quote_id long, page_id long, line_no int, multiline boolean, score double")
 
 
 def value_consistent(start: Column, end: Column, ranges: Column, times: Column) -> Column:

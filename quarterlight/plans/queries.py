@@ -240,11 +240,9 @@ def quote_grounding_exact(spark, d):
 
 
 def quote_grounding_fuzzy(spark, d):
-    # A document's first line is looked for, less its first word, in all of its lines.
-    docs = _t(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    q = docs.select("doc_id", F.lit(0).alias("quote_id"), F.concat(F.regexp_replace(F.left(F.get("l", F.lit(0)), F.lit(120)), r"^\S+\s", ""), F.lit(" x")).alias("quote"))
-    lines = docs.select("doc_id", F.posexplode("l").alias("line_no", "text"))
-    return grounding.ground_fuzzy(q, lines, ["doc_id"])
+    # Whole benchmark passages are looked for in all lines, pairs of lines and whole texts of all documents.
+    q = _t(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("quote_id"), F.col("text").alias("quote"))
+    return grounding.ground_everywhere(q, _t(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text"))
 
 
 def _edges(spark, d):
