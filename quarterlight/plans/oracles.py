@@ -152,6 +152,7 @@ SELECT user_id, round(sum(c), 4) AS cost_usd, CAST(sum(l) AS BIGINT) AS latency_
     health = "CASE WHEN length(t) < 15 THEN CASE WHEN img OR length(t) = 0 THEN 'empty' ELSE 'ok' END ELSE 'ok' END"
     out["text_layer_health"] = f"""SELECT kind, {health} AS health, count(*) AS n FROM (SELECT 'documents' AS kind, trim(coalesce(text, '')) AS t, false AS img FROM documents
 UNION ALL SELECT 'pages', trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), true FROM pages) GROUP BY 1, 2"""
+    out["page_text_health"] = f"""SELECT {health} AS health, count(*) AS n FROM (SELECT trim(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS t, true AS img FROM pages) GROUP BY 1"""
     out["clock_texts"] = f"""SELECT event_id, CAST(hour(q) * 60 + minute(q) AS INTEGER) AS start_min, CAST(hour(e) * 60 + minute(e) AS INTEGER) AS end_min, CAST(2 AS INTEGER) AS times, CAST(hour(q) * 60 + minute(q) AS INTEGER) AS parsed
 FROM (SELECT event_id, {QUARTER} AS q, {QUARTER} + INTERVAL 45 MINUTE AS e FROM events)"""
     out["json_shred"] = """SELECT name, count(*) AS n, count(DISTINCT v) AS n_values, min(v) AS least, max(v) AS most FROM

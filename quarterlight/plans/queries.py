@@ -21,6 +21,10 @@ ORDER_YEARS, EVENT_YEARS = (1994, 2003), (2023, 2026)
 STAMP = "yyyy-MM-dd HH:mm"
 
 
+#: What of a page is not its text.
+PAGE_MARKUP = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -214,6 +218,12 @@ def text_layer_health(spark, d):
     return a.unionByName(b).groupBy("kind", "health").agg(F.count(F.lit(1)).alias("n"))
 
 
+def page_text_health(spark, d):
+    # The whole text of a page: what is left without scripts, styles, comments and tags.
+    t = F.regexp_replace(F.regexp_replace("html", PAGE_MARKUP, " "), "[ \\t\\r\\n]+", " ")
+    return _t(spark, d, "pages").select(text_health(t, F.lit(True)).alias("health")).groupBy("health").agg(F.count(F.lit(1)).alias("n"))
+
+
 def match_key_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(plain_key(F.col("text"))).alias("key_md5"))
 
@@ -304,6 +314,6 @@ ALL = [
     quarter_hour_counts, season_rollup, day_classes, day_classes_intersection, window_membership, membership_conventions, year_mask, dst_days,
     latest_version, snapshot_diff, version_drift, coverage_gaps, overlaps_duplicates, daily_cap, grid_sanity, cross_channel, unmapped_labels,
     wilson_rates, majority_reading, verdict_ladder, document_summary, status_derivation, precision_recall, cost_rollup, content_dedupe,
-    text_layer_health, match_key_text, clock_texts, json_shred, quote_grounding_exact, quote_grounding_fuzzy, lineage_closure, lineage_chain,
+    text_layer_health, page_text_health, match_key_text, clock_texts, json_shred, quote_grounding_exact, quote_grounding_fuzzy, lineage_closure, lineage_chain,
     orphan_check, revision_current, stream_quarter_hours, holiday_calendar, budget_admission,
 ]
