@@ -143,7 +143,9 @@ def classes(docs: DataFrame) -> DataFrame:
         else:
             hub = at.groupBy("band").agg(F.min_by(F.struct("key", "root"), F.xxhash64("key", F.lit(turn))).alias("hub"))
             met = at.join(hub.hint("merge"), "band").where("root <> hub.root")
-            pairs = met.select(F.greatest("key", "hub.key").alias("a"), F.least("key", "hub.key").alias("b")).distinct()
+            # One hub for each text and round, of those of all its keys: pairs carry whole sets.
+            met = met.groupBy("key").agg(F.min_by("hub.key", F.xxhash64("hub.key", F.lit(turn))).alias("hub"))
+            pairs = met.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
         new = _similar(pairs, sets)
         none = not new.limit(1).count()
         if not none:
