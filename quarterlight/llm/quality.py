@@ -2,11 +2,16 @@
 
 Everything runs on DataFrame expressions. Each document gets four statistics that don't depend on its length
 (mean word length, symbols a word, share of repeated lines, share of words in repeated windows), transformed
-and stored as whole numbers. For each group a minimum-covariance-determinant estimate of their centre and
-scatter is found by concentration steps over all documents: distances are counted in bins, the bins that hold
-the nearest half are summed to the next estimate. Sums are of whole numbers, so results don't depend on the
-order of rows. Two starts are followed, the whole group and the half nearest its medians; the smaller
-determinant wins. A document is rejected if its squared Mahalanobis distance passes the chi-square quantile.
+and stored as whole numbers. For each language and source a minimum-covariance-determinant estimate of their centre
+and scatter is found by concentration steps over all documents: distances are counted in bins, the bins that hold
+the nearest three quarters (COVER) are summed to the next estimate, until no determinant falls any more. Sums are of
+whole numbers, so results don't depend on the order of rows. Two starts are followed, the whole group and the one
+nearest its medians; the smaller determinant wins.
+
+Few documents say little: an estimate counts as many documents as it rests on, and PRIOR_DOCUMENTS more are taken as
+spread like the language's, whose own estimate is filled up in the same way from that of all documents, and this one
+from PRIOR_SPREAD. That holds at every size: a group of one is judged nearly as its language, a large one by itself.
+A document is rejected if its squared Mahalanobis distance passes the chi-square quantile.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, table, word_list
+from .common import BROADCAST_KEYS, cut, scratch, table, word_list
 
 WINDOW_WORDS = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -32,11 +37,11 @@ FLOORS = (0.25, 0.065, 0.1, 0.12)
 #: Ratios are drawn to the prior by this many words (of this length, without symbols or repeats) and lines: short
 #: texts scatter more.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 50, 5, 10
-#: Share of a group that an estimate rests on, steps of concentration, and the chi-square tail of the verdict.
-COVER, STEPS, TAIL = 0.75, 4, 1e-5
-#: Groups below this many documents use their language's pooled small groups, these then all languages';
-#: a last pool below MIN_POOL gives no estimate and only the base rules hold there.
-MIN_GROUP, MIN_POOL = 100, 30
+#: Share of a group that an estimate rests on, most steps of concentration and the fall of a determinant's logarithm
+#: that is worth a further one, and the chi-square tail of the verdict.
+COVER, STEPS, SETTLED, TAIL = 0.75, 10, 1e-2, 1e-5
+#: Documents that the next wider group adds to an estimate, and the standard deviations that stand beyond the widest.
+PRIOR_DOCUMENTS, PRIOR_SPREAD = 50, (0.5, 0.25, 0.25, 0.25)
 BINS_PER_LOG2, MAX_BIN = 8, 400
 
 
@@ -114,24 +119,35 @@ def _sums() -> list[Column]:
     return out + [whole(F.col(a) * F.col(b)).alias(f"s_{a}{b}") for i, a in enumerate(STATS) for b in STATS[: i + 1]]
 
 
-def _estimate(sums: DataFrame, scale: float) -> DataFrame:
-    """Centre m_*, and by Cholesky's method the triangle l_** of the scatter, with the log of its determinant."""
+_PAIRS = [(a, b) for i, a in enumerate(STATS) for b in STATS[: i + 1]]
+_MOMENTS = [f"m_{a}" for a in STATS] + [f"c_{a}{b}" for a, b in _PAIRS]
+_TRIANGLE = [f"m_{a}" for a in STATS] + [f"l_{a}{b}" for a, b in _PAIRS]
+
+
+def _moments(sums: DataFrame, scale: float) -> DataFrame:
+    """Adds the centre m_* and the scatter c_**."""
     n = F.col("n").cast("double")
     out = sums.withColumns({f"m_{a}": F.col(f"s_{a}").cast("double") / n / SCALE for a in STATS})
-    cov = {}
-    for i, a in enumerate(STATS):
-        for b in STATS[: i + 1]:
-            c = (F.col(f"s_{a}{b}").cast("double") / n / (SCALE * SCALE) - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale
-            cov[a, b] = c + FLOORS[i] ** 2 if a == b else c
+    return out.withColumns({f"c_{a}{b}": (F.col(f"s_{a}{b}").cast("double") / n / (SCALE * SCALE) - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale for a, b in _PAIRS})
+
+
+def _triangle(out: DataFrame) -> DataFrame:
+    """Adds, by Cholesky's method, the triangle l_** of the scatter above its floors, with the log of its determinant."""
     for i, a in enumerate(STATS):
         for j, b in enumerate(STATS[: i + 1]):
-            rest = reduce(lambda x, k: x - F.col(f"l_{a}{k}") * F.col(f"l_{b}{k}"), STATS[:j], cov[a, b])
+            own = F.col(f"c_{a}{b}") + FLOORS[i] ** 2 if i == j else F.col(f"c_{a}{b}")
+            rest = reduce(lambda x, k: x - F.col(f"l_{a}{k}") * F.col(f"l_{b}{k}"), STATS[:j], own)
             out = out.withColumn(f"l_{a}{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{b}{b}"))
     return out.withColumn("logdet", reduce(lambda x, y: x + y, [F.log(f"l_{a}{a}") for a in STATS]))
 
 
-def _parameters() -> list[str]:
-    return [f"m_{a}" for a in STATS] + [f"l_{a}{b}" for i, a in enumerate(STATS) for b in STATS[: i + 1]]
+def _filled(own: str, wide: str) -> dict[str, Column]:
+    """Moments of a mixture: of the structs `own` (with n) and, weighing PRIOR_DOCUMENTS, `wide`."""
+    w = F.col(f"{own}.n") / (F.col(f"{own}.n") + PRIOR_DOCUMENTS)
+    at = lambda of, name: F.col(f"{of}.{name}")
+    off = {a: at(own, f"m_{a}") - at(wide, f"m_{a}") for a in STATS}
+    out = {f"m_{a}": w * at(own, f"m_{a}") + (1 - w) * at(wide, f"m_{a}") for a in STATS}
+    return out | {f"c_{a}{b}": w * at(own, f"c_{a}{b}") + (1 - w) * at(wide, f"c_{a}{b}") + w * (1 - w) * off[a] * off[b] for a, b in _PAIRS}
 
 
 def _distance() -> Column:
@@ -147,66 +163,71 @@ def _bin(d2: Column) -> Column:
     return F.least(F.lit(MAX_BIN), F.floor(F.log2(1 + 256 * d2) * BINS_PER_LOG2)).cast("int")
 
 
-def _meet(big: DataFrame, small: DataFrame, small_fits: bool) -> DataFrame:
-    return big.join(F.broadcast(small) if small_fits else small, "group")
-
-
-def grouped(stats: DataFrame, counts: DataFrame, fits: bool, lang: str, source: str) -> DataFrame:
-    """Adds group: language and source, or what a small group is pooled to; null where even that is small."""
-    key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?")) for c in (lang, source)]
-    keyed = stats.withColumns({"_lang": key[0], "_src": key[1]})
-    return keyed.join(F.broadcast(counts) if fits else counts, ["_lang", "_src"], "left").drop("_lang", "_src")
+def _meet(big: DataFrame, small: DataFrame, small_fits: bool, how: str = "inner") -> DataFrame:
+    return big.join(F.broadcast(small) if small_fits else small, "group", how)
 
 
-def group_names(stats: DataFrame, lang: str, source: str) -> DataFrame:
+def _keys(lang: str, source: str) -> tuple[Column, Column, Column]:
+    """Names of a document's group, of its language's and of all; null is a value of its own."""
     key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("?")) for c in (lang, source)]
-    n = stats.where(~F.col("base_failed")).groupBy(key[0].alias("_lang"), key[1].alias("_src")).agg(F.count(F.lit(1)).alias("_n"))
-    own = F.col("_n") >= MIN_GROUP
-    pooled = F.sum(F.when(own, 0).otherwise(F.col("_n"))).over(Window.partitionBy("_lang"))
-    n = n.withColumn("_pool", pooled)
-    name = F.when(own, F.to_json(F.array("_lang", "_src"))).when(F.col("_pool") >= MIN_GROUP, F.to_json(F.array("_lang"))).otherwise(F.lit("[]"))
-    n = n.withColumn("group", name)
-    few = (F.col("group") == "[]") & (F.sum("_n").over(Window.partitionBy("group")) < MIN_POOL)
-    return n.select("_lang", "_src", F.when(~few, F.col("group")).alias("group"))
+    return F.to_json(F.array(*key)), F.to_json(F.array(key[0])), F.lit("[]")
 
 
-def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, DataFrame, bool]:
-    """(group names, estimates, whether these fit a broadcast) from stored vectors of documents that pass the base rules.
+def estimates(rows: DataFrame, fits: bool) -> DataFrame:
+    """group, n (documents) and the moments of the best minimum-covariance-determinant estimate, of rows (group and the statistics).
 
     Every document counts in every step. A step shuffles one row for each group, start, task and bin; a hot
     source is summed in the tasks that read it. Medians come from exact counts of the stored whole numbers' bins.
     """
-    names = cut(group_names(stats, lang, source))
-    fits = names.count() <= BROADCAST_KEYS
-    rows = grouped(stats.where(~F.col("base_failed")), names, fits, lang, source).where("group IS NOT NULL").select("group", *STATS)
     # Start 1: the whole group. Start 2: centred at the medians (of bins 1/64 wide), with the floors' scatter.
-    whole = _estimate(rows.groupBy("group").agg(*_sums()), 1.0).select("group", *_parameters(), F.lit(1).alias("start"))
+    whole = _triangle(_moments(rows.groupBy("group").agg(*_sums()), 1.0)).select("group", *_TRIANGLE, F.lit(1).alias("start"))
     bins = rows.select("group", F.explode(F.array(*[F.struct(F.lit(a).alias("z"), F.floor(F.col(a) * 64 / SCALE).alias("v")) for a in STATS])).alias("e")).groupBy("group", "e.z", "e.v").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("group", "z")
     ranked = bins.withColumns({"below": F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
     medians = ranked.where(2 * F.col("below") >= F.col("all")).groupBy("group", "z").agg(F.min("v").alias("v")).groupBy("group").agg(*[(F.max(F.when(F.col("z") == a, F.col("v"))) / 64 + 1 / 128).alias(f"m_{a}") for a in STATS])
-    floors = {f"l_{a}{b}": F.lit(FLOORS[i] if a == b else 0.0) for i, a in enumerate(STATS) for b in STATS[: i + 1]}
-    middle = medians.withColumns(floors).select("group", *_parameters(), F.lit(2).alias("start"))
-    now = cut(whole.unionByName(middle))
-    for step in range(STEPS):
+    floors = {f"l_{a}{b}": F.lit(FLOORS[STATS.index(a)] if a == b else 0.0) for a, b in _PAIRS}
+    middle = medians.withColumns(floors).select("group", *_TRIANGLE, F.lit(2).alias("start"))
+    now, before = cut(whole.unionByName(middle)), None
+    for _ in range(STEPS):
         near = _meet(rows, now, fits).withColumn("bin", _bin(_distance())).groupBy("group", "start", "bin").agg(*_sums())
         w = Window.partitionBy("group", "start")
         near = near.withColumns({"_before": F.coalesce(F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("n").over(w)})
         half = near.where(F.col("_before") < F.col("_all") * COVER)
-        sums = half.groupBy("group", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in half.columns if c.startswith("s_")])
-        now = _estimate(sums, CONSISTENCY).select("group", "start", *_parameters(), "logdet")
-        now = cut(now)
-    best = now.groupBy("group").agg(F.min_by(F.struct(*_parameters()), F.struct("logdet", "start")).alias("p")).select("group", "p.*")
-    return names, cut(best), fits
-
-
-def judge(stats: DataFrame, names: DataFrame, best: DataFrame, fits: bool, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Adds distance2 and kept: false for base failures and outliers. Where no estimate is, none is rejected by distance."""
-    keyed = grouped(stats, names, fits, lang, source)
-    met = keyed.join(F.broadcast(best) if fits else best, "group", "left")
-    met = met.withColumn("distance2", _distance())
+        sums = half.groupBy("group", "start").agg(F.max("_all").alias("_all"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in half.columns if c.startswith("s_")])
+        now = cut(_triangle(_moments(sums, CONSISTENCY)).select("group", "start", "_all", *_MOMENTS, *(c for c in _TRIANGLE if c[0] == "l"), "logdet"))
+        if before is not None:
+            fell = now.join(before, ["group", "start"]).where(F.col("_was") - F.col("logdet") > SETTLED)
+            if not fell.limit(1).count():
+                break
+        before = now.select("group", "start", F.col("logdet").alias("_was"))
+    best = now.groupBy("group").agg(F.min_by(F.struct(F.col("_all").alias("n"), *_MOMENTS), F.struct("logdet", "start")).alias("p"))
+    return best.select("group", "p.*")
+
+
+def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, bool]:
+    """(group, centre and triangle of the scatter; whether these fit a broadcast) from stored vectors of documents that pass the base rules."""
+    own, wide, every = _keys(lang, source)
+    rows = stats.where(~F.col("base_failed")).select(own.alias("own"), wide.alias("wide"), *STATS)
+    names = cut(rows.select("own", "wide").distinct())
+    fits = names.count() <= BROADCAST_KEYS // 4
+    each = rows.select(F.explode(F.array("own", "wide", every)).alias("group"), *STATS)
+    found = cut(estimates(each, fits))
+    struct = lambda name: F.struct("n", *_MOMENTS).alias(name)
+    spread = {f"c_{a}{b}": F.lit(PRIOR_SPREAD[STATS.index(a)] ** 2 if a == b else 0.0) for a, b in _PAIRS}
+    top = found.where("group = '[]'").select(struct("o"), F.struct(*[F.col(f"m_{a}") for a in STATS], *[c.alias(k) for k, c in spread.items()]).alias("w"))
+    top = top.select(F.struct(*[c.alias(k) for k, c in _filled("o", "w").items()]).alias("w"))
+    langs = found.join(names.select(F.col("wide").alias("group")).distinct(), "group").select(F.col("group").alias("wide"), struct("o")).join(F.broadcast(top))  # one row
+    langs = langs.select("wide", F.struct(*[c.alias(k) for k, c in _filled("o", "w").items()]).alias("w"))
+    groups = names.withColumnRenamed("own", "group").join(found.select("group", struct("o")), "group").join(langs, "wide")
+    out = _triangle(groups.select("group", *[c.alias(k) for k, c in _filled("o", "w").items()]))
+    return cut(out.select("group", *_TRIANGLE)), fits
+
+
+def judge(stats: DataFrame, best: DataFrame, fits: bool, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Adds distance2 and kept: false for base failures and outliers."""
+    met = _meet(stats.withColumn("group", _keys(lang, source)[0]), best, fits, "left").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF)
-    return met.withColumn("kept", kept).drop("group", *_parameters())
+    return met.withColumn("kept", kept).drop("group", *_TRIANGLE)
 
 
 def measured(df: DataFrame) -> DataFrame:
@@ -226,15 +247,14 @@ def quality_rules(df: DataFrame) -> DataFrame:
 
 
 def keep_good(df: DataFrame) -> DataFrame:
-    """The rows of df that pass, with df's columns: texts are measured again rather than shuffled to meet their verdicts."""
-    own = df.columns
-    stats = cut(measured(df.select("text", "lang", "source")).drop("text"))
-    names, best, fits = fit(stats)
+    """The rows of df that pass, with df's columns. Rows are written once with their numbers to shared storage, as texts
+    cost more to measure than to store, and judged from there. Odd rows are as in quality_rules."""
+    spark, own = df.sparkSession, df.columns
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text", "lang", "source")
-    # A projection with a row number takes no pushed filter: below it, the verdict's terms would be computed anew
-    # wherever they are named, inside the functions of arrays too.
-    held = measured(inner).withColumn("_at", F.monotonically_increasing_id())
-    return judge(held, names, best, fits).where("kept AND _at >= 0").select("_row.*")
+    path = scratch(spark, "measured")
+    measured(inner).drop("text").write.parquet(path)
+    stored = spark.read.parquet(path)
+    return judge(stored, *fit(stored.drop("_row"))).where("kept").select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
