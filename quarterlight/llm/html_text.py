@@ -2,9 +2,10 @@
 
 The standard library's parser streams a page's events once. Each block (a line here) gets the ratio of its text
 to its tags; blocks in containers that say that they are menus, headers, adverts and the like have ratio zero.
-The smoothed ratios that reach the threshold are content lines; the region is the container that holds them
-(an article or main element if it has any, else the deepest element with nearly all of their text), and every
-block of the region that no such container holds is output.
+The smoothed ratios that reach the threshold are content lines, their runs the clusters. The clusters choose the region:
+the article or main elements that hold content lines, if these hold most of the clusters' text, else the deepest
+element with nearly all of it. A chosen article is output whole, but for what such containers hold; in any other
+region the lines from the first cluster to the last are, with the headings right before.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Elements whose content is never text of the page.
-UNSEEN = frozenset("script style noscript template head title textarea select option button svg math iframe object audio video canvas datalist map".split())
+#: Elements whose content is never text of the page; they part no block.
+UNSEEN = frozenset("script style noscript template head title textarea select option svg iframe object audio video canvas datalist map".split())
 #: Elements that are not the article, wherever they are.
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 #: Elements that hold blocks; everything else that isn't INLINE only starts and ends a block.
-HOLDERS = frozenset("html body article main section div aside nav header footer form menu dialog fieldset ul ol dl table tbody thead tfoot tr td th blockquote figure details center".split()) | UNSEEN
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+HOLDERS = frozenset("html body article main section div aside nav header footer form menu dialog fieldset ul ol dl table tbody thead tfoot tr td th blockquote figure details center".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mrow msqrt msub msubsup msup mtext q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+OF_HEAD = frozenset("base link meta noscript script style template title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: in an article their classes name what they are about, so only STRONG words count.
+TEXTS = HEADINGS | frozenset("p blockquote pre li dd dt td th figure figcaption".split())
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner popup modal overlay sidebar widget nav navbar navigation menu menubar breadcrumb breadcrumbs "
@@ -34,19 +39,25 @@ MARKS = frozenset(
 #: The same inside longer words.
 MARKED = re.compile(r"(comment|reply|replies)(s|list|box|form|area|section|thread|block)$|^(advert|adsby|cookie|sidebar|newsletter|breadcrumb|disqus|sponsor|promo)|(nav|menu|banner|sidebar|footer|toolbar)$")
 #: Blocks that a later one ends, if their own end tag is missing.
-OPEN_ENDED = frozenset("p li dt dd h1 h2 h3 h4 h5 h6".split())
+OPEN_ENDED = frozenset("p li dt dd".split()) | HEADINGS
 OWN = frozenset(("article", "main"))
 #: An article's classes often name its topics; only these take it out.
 REPLIES = frozenset("comment comments reply replies respond discussion disqus".split())
+#: Inside an article these words take out running text too, and the weak ones nothing: its own header and its boxes are its text.
+STRONG = REPLIES | frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies newsletter".split())
+WEAK = frozenset("header masthead alert notification disclaimer".split())
+#: How short lines at the edges of a region without an article element ask for something, instead of telling.
+ASKING = re.compile(r"(subscribe|sign up|sign in|log in|follow us|share (this|on)|read more|click here|all rights reserved|copyright|\u00a9|related (posts|articles)|you may also|leave a (comment|reply)|accept (all )?cookies)\b", re.I)
 SIGMA, REACH = 1.0, 2
-#: Share of the content lines' text that a region without an article element must hold.
-WHOLE = 0.85
+#: Shares of the clusters' text: that a region must hold, and that article elements must hold to be the region.
+WHOLE, MOST = 0.85, 0.5
 SLICE = 64
 _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
+    """inside: whether an article element is open around the tag."""
     if not attrs or tag in ("html", "body"):
         return False
     for name, value in attrs:
@@ -54,85 +65,117 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and value and any(w in REPLIES if tag in OWN else w in MARKS or MARKED.search(w) for w in map(str.lower, _WORD.findall(value))):
-            return True
+        if name in ("class", "id", "role") and value:
+            words = [w.lower() for w in _WORD.findall(value)]
+            if tag in OWN:
+                found = any(w in REPLIES for w in words)
+            elif tag in HEADINGS or inside and tag in TEXTS:
+                found = any(w in STRONG for w in words)
+            else:
+                found = any(not (inside and w in WEAK) and (w in MARKS or MARKED.search(w)) for w in words)
+            if found:
+                return True
     return False
 
 
 class _Blocks(HTMLParser):
-    """Blocks as (text, tags, linked characters, path of holders, outside)."""
+    """Blocks as (text, tags, linked characters, number of the holder, outside, heading); work is constant for each event."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.holders: list[tuple[str, int, bool, bool]] = []  # tag, its number, unseen, outside
+        self.open: dict[str, int] = {}  # holders by tag
         self.own: list[bool] = []  # by number: article or main
+        self.inside: list[bool] = []  # by number: in such an element, or one itself
         self.parent: list[int] = []
-        self.blocks: list[tuple[str, int, int, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, int, bool, bool]] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = self.links = self.pressed = self.buttons = 0
+        self.heading = False
 
     def _end_block(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
-            if text:
+            if text and len(text) > self.pressed:  # a button alone is no text
                 at = self.holders[-1] if self.holders else ("", -1, False, False)
-                self.blocks.append((text, self.tags, self.linked, at[1], at[3]))
+                self.blocks.append((text, self.tags, self.linked, at[1], at[3], self.heading))
                 self.tags = 0
-            self.linked = 0
+            self.linked = self.pressed = 0
+
+    def _pop(self) -> str:
+        tag = self.holders.pop()[0]
+        self.open[tag] -= 1
+        return tag
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if self.holders and self.holders[-1][0] == "head" and tag not in OF_HEAD:  # its end tag may be missing
+            self._pop()
+        if tag in UNSEEN:
+            self._open(tag, attrs)
+            return
         if tag in INLINE:
             if tag == "a":
                 self.links += 1
+            elif tag == "button":
+                self.buttons += 1
             elif tag == "br" and self.parts:
                 self.parts.append(" ")
-            if tag not in VOID and tag != "a" and _marked(tag, attrs):
+            if tag not in VOID and tag not in ("a", "button") and _marked(tag, attrs, self._within()):
+                self._end_block()
                 self._open(tag, attrs)
             return
         self._end_block()
         while self.holders and (top := self.holders[-1][0]) in OPEN_ENDED and (top == "p" or top == tag):
-            self.holders.pop()
+            self._pop()
         if tag in VOID:
             return
-        if tag in HOLDERS or _marked(tag, attrs):
+        self.heading = tag in HEADINGS
+        if tag in HOLDERS or _marked(tag, attrs, self._within()):
             self._open(tag, attrs)
 
+    def _within(self) -> bool:
+        return bool(self.holders) and (at := self.holders[-1][1]) >= 0 and self.inside[at]
+
     def _open(self, tag, attrs):
-        self._end_block()
         _, up, unseen, outside = self.holders[-1] if self.holders else ("", -1, False, False)
-        in_own = tag == "header" and self._inside(up)
-        outside = outside or tag in OUTSIDE or tag == "header" and not in_own or not in_own and _marked(tag, attrs)
-        self.own.append((tag in OWN or any(n == "role" and v in OWN for n, v in attrs)) and not outside)
+        within = up >= 0 and self.inside[up]
+        own_header = tag == "header" and within
+        outside = outside or tag in OUTSIDE or tag == "header" and not own_header or not own_header and _marked(tag, attrs, within)
+        own = (tag in OWN or any(n == "role" and v in OWN for n, v in attrs)) and not outside
+        self.own.append(own)
+        self.inside.append(own or within)
         self.parent.append(up)
         self.holders.append((tag, len(self.own) - 1, unseen or tag in UNSEEN, outside))
-
-    def _inside(self, number: int) -> bool:
-        while number >= 0:
-            if self.own[number]:
-                return True
-            number = self.parent[number]
-        return False
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag in INLINE:
             self.handle_starttag(tag, attrs)
+            if tag == "a":
+                self.links -= 1
+            elif tag == "button":
+                self.buttons -= 1
         else:
             self.tags += 1
-            self._end_block()
+            if tag not in UNSEEN:
+                self._end_block()
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
-        for k in range(len(self.holders) - 1, -1, -1):
-            if self.holders[k][0] == tag:
-                self._end_block()
-                del self.holders[k:]
-                return
-        if tag not in INLINE:
+        elif tag == "button":
+            self.buttons = max(0, self.buttons - 1)
+        if tag not in INLINE and tag not in UNSEEN:
             self._end_block()
+            self.heading = False
+        if self.open.get(tag):
+            if tag not in UNSEEN:
+                self._end_block()
+            while self._pop() != tag:
+                pass
 
     def handle_data(self, data):
         if self.holders and self.holders[-1][2]:
@@ -140,6 +183,8 @@ class _Blocks(HTMLParser):
         self.parts.append(data)
         if self.links:
             self.linked += len(data.strip())
+        if self.buttons:
+            self.pressed += len(data.strip())
 
 
 def _content_lines(ratios: list[float]) -> list[bool]:
@@ -158,10 +203,26 @@ def _content_lines(ratios: list[float]) -> list[bool]:
     return [s >= threshold and r > 0 for s, r in zip(smooth, ratios, strict=True)]
 
 
+def _region(page: _Blocks, content: list[bool]) -> tuple[set[int], bool]:
+    """The holders (numbers, -1 for the page) that the clusters choose, and whether these are article elements."""
+    mass = [0] * (len(page.own) + 1)  # the last is the page's
+    for block, is_content in zip(page.blocks, content, strict=True):
+        mass[block[3]] += len(block[0]) * is_content
+    total = sum(mass)
+    for k in range(len(page.own) - 1, -1, -1):  # holders stand after those around them
+        mass[page.parent[k]] += mass[k]
+    own = {k for k, is_own in enumerate(page.own) if is_own and mass[k]}
+    outermost = [k for k in own if page.parent[k] < 0 or not page.inside[page.parent[k]]]
+    if own and sum(mass[k] for k in outermost) >= MOST * total:
+        return own, True
+    return {max((k for k in range(len(page.own)) if mass[k] >= WHOLE * total), default=-1)}, False
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main region, white space folded, joined by newlines; empty for null or no text.
 
-    Malformed markup is read as the parser reads it; a page whose every block lies outside gives nothing.
+    Malformed markup is read as the parser reads it; a page whose every block lies outside gives nothing. Pages of
+    any length and depth are read whole, in time in proportion to their length.
     """
     if not html:
         return ""
@@ -172,36 +233,29 @@ def main_text(html: str | None) -> str:
     blocks = page.blocks
     if not blocks or all(b[4] for b in blocks):
         return ""
-    ratios = [0.0 if outside else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, outside in blocks]
+    ratios = [0.0 if outside else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, _, outside, _ in blocks]
     if not any(ratios):
         ratios = [0.0 if b[4] else float(len(b[0])) for b in blocks]
     content = _content_lines(ratios)
-    total, inside, own = 0, {}, set()
-    for (text, _, _, at, _), is_content in zip(blocks, content, strict=True):
-        if is_content:
-            total += len(text)
-            while at >= 0:
-                inside[at] = inside.get(at, 0) + len(text)
-                if page.own[at]:
-                    own.add(at)
-                at = page.parent[at]
-    if own:
-        region = own
-    else:
-        region = {max((k for k, v in inside.items() if v >= WHOLE * total), default=-1)}
-
-    def within(at: int) -> bool:
-        while at >= 0:
-            if at in region:
-                return True
-            at = page.parent[at]
-        return -1 in region
-
-    kept = []
-    for (text, _, linked, at, outside), is_content in zip(blocks, content, strict=True):
-        if not outside and within(at) and (own or is_content or 2 * linked <= len(text)):
-            kept.append(text)
-    return "\n".join(kept)
+    chosen, whole = _region(page, content)
+    within = [False] * len(page.own) + [-1 in chosen]
+    for k, up in enumerate(page.parent):
+        within[k] = k in chosen or within[up]
+    lines = [i for i, b in enumerate(blocks) if within[b[3]] and not b[4]]
+    if not whole:
+        first, last = next(k for k, i in enumerate(lines) if content[i]), next(k for k in range(len(lines) - 1, -1, -1) if content[lines[k]])
+        while last > first and _asks(blocks[lines[last]][0]):
+            last -= 1
+        while first < last and _asks(blocks[lines[first]][0]):
+            first += 1
+        while first and blocks[lines[first - 1]][5]:
+            first -= 1
+        lines = [i for i in lines[first : last + 1] if content[i] or 2 * blocks[i][2] <= len(blocks[i][0])]
+    return "\n".join(blocks[i][0] for i in lines)
+
+
+def _asks(text: str) -> bool:
+    return len(text) < 120 and ASKING.match(text) is not None
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -4,11 +4,12 @@ import collections
 import html as html_lib
 import math
 import re
+import time
 
 import numpy as np
 import pytest
 
-from quarterlight.llm import ngram, quality, url_filter
+from quarterlight.llm import html_text, ngram, quality, url_filter
 from quarterlight.llm.html_text import extract_text, main_text
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -100,6 +101,41 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+BODY = ["The main text of this page is long and goes on for quite some time, as it has much to tell.", "A second long paragraph goes on with it, and it is as long as the first one was before it.", "Short one."]
+TEASERS = "".join(f"<article><h3><a href=/{k}>Another story {k}</a></h3></article>" for k in range(4))
+CARDS = "".join(f"<div><a href=/{k}>Another story number {k} that is linked here</a><br><b>x</b></div>" for k in range(6))
+GOLD = [
+    ('<article><div class="article-header"><h1>Title</h1></div>{}</article>', ["Title", *BODY]),
+    ('<article><h1 class="page-header">Title</h1>{}<p class="related-work">Work of others.</p><div class="alert">Mind the step.</div></article>', ["Title", *BODY, "Work of others.", "Mind the step."]),
+    ("<article>{}<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, then <button>press</button> <script>f()</script>it.</p><button>Share</button></article>", [*BODY, "Let x=1, then press it."]),
+    ("<head><title>T</title><body><article>{}</article>", BODY),
+    ("<div class=list>" + TEASERS + "</div><article><h1>Title</h1>{}</article>", ["Title", *BODY]),
+    ("<div class=list>" + TEASERS + "</div><div><h1>Title</h1>{}</div>", ["Title", *BODY]),
+    ("<div class=list>" + CARDS + "</div><div class=text><h2>Title</h2>{}<p>Subscribe to our newsletter</p></div><div>" + CARDS + "</div>", ["Title", *BODY]),
+    ("<div><p>Menu</p><p>Home</p><p>About</p><p>x</p><p>y</p><p>z</p></div><div><h2>Title</h2>{}</div>", ["Title", *BODY]),
+]
+
+
+@pytest.mark.parametrize(("page", "lines"), GOLD)
+def test_pages_with_and_without_articles(page, lines):
+    assert main_text(page.format("".join(f"<p>{p}</p>" for p in BODY))) == "\n".join(lines)
+
+
+def test_the_threshold_chooses_the_region(monkeypatch):
+    """With every line taken for content, pages with an article element and without one come out otherwise."""
+    fill = lambda page: page.format("".join(f"<p>{p}</p>" for p in BODY))
+    monkeypatch.setattr(html_text, "_content_lines", lambda ratios: [True] * len(ratios))
+    changed = [main_text(fill(page)) != "\n".join(lines) for page, lines in GOLD]
+    assert changed[4:7] == [True] * 3
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "x" + "</p>" * 40_000 + "</div>" * 40_000, "<p><b>t" * 130_000, "<span class=ad>" * 60_000 + "</i>" * 60_000, "<ul><li>a" * 100_000])
+def test_long_malformed_pages_take_no_longer_by_the_tag(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_extraction_keeps_other_columns(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
