@@ -68,6 +68,18 @@ def dealt(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(columns: Sequence[str], name: str) -> str:
+    """A name like this one that no column has."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns of a row: rows that share it are alike in every column (maps, which have no hash, aside)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], row: str | None = None) -> DataFrame:
     """Exclusive running sums over all rows in the order of the columns `order`.
 
@@ -75,22 +87,23 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], row:
     Rows are dealt by ranges and stored once; then one small row for each range gives the sum before it,
     and each range adds its own rows up in a stream. Equal keys that differ in no column of `order` may
     stand either way round. The range count is the session's number of shuffle partitions, so the table of
-    totals has that many rows. Empty input gives empty output.
+    totals has that many rows. Columns of a new name are replaced. Empty input gives empty output.
     """
     spark = df.sparkSession
-    taken = {**sums, **({row: "_one"} if row else {})}
-    src = df.withColumn("_one", F.lit(1).cast("long")) if row else df
-    placed = cut(src.repartitionByRange(dealt(spark), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
-    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in taken.items()]).collect()  # a row a range
+    one, range_ = free(df.columns, "_one"), free(df.columns, "_range")
+    taken = {**sums, **({row: one} if row else {})}
+    src = df.withColumn(one, F.lit(1).cast("long")) if row else df
+    placed = cut(src.repartitionByRange(dealt(spark), *order).sortWithinPartitions(*order).withColumn(range_, F.spark_partition_id()))
+    totals = placed.groupBy(range_).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(taken.values())]).collect()  # a row a range
     at, before = dict.fromkeys(taken, 0), {}
-    for r in sorted(totals, key=lambda r: r["_range"]):
-        before[r["_range"]] = dict(at)
-        for n in taken:
-            at[n] += r[f"_t_{n}"] or 0
-    out_schema = src.drop("_one").schema
+    for r in sorted(totals, key=lambda r: r[range_]):
+        before[r[range_]] = dict(at)
+        for i, n in enumerate(taken):
+            at[n] += r[f"_t{i}"] or 0
+    out_schema = df.drop(*taken).schema
+    cols = list(out_schema.names)
     for n in taken:
         out_schema = out_schema.add(n, "long")
-    cols = [f.name for f in out_schema.fields][: -len(taken)]
 
     def run(batches):
         import numpy as np
@@ -101,7 +114,7 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: dict[str, str], row:
             if not b.num_rows:
                 continue
             if now is None:
-                now = dict(before[b.column("_range")[0].as_py()])
+                now = dict(before[b.column(range_)[0].as_py()])
             arrays = [b.column(c) for c in cols]
             for n, c in taken.items():
                 v = b.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
