@@ -9,7 +9,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prefix_sums, small_batches, table
+from .common import cut, free, prefix_sums, small_batches, table
 from .tokens import Encoder
 
 SIZE = 4096
@@ -195,19 +195,21 @@ def pack(lengths: DataFrame, size: int = SIZE, tie: tuple[str, ...] = ("doc_id",
     Only the histogram of lengths, at most `size` rows, goes to the driver; the plan that comes back is as
     small. A row's rank among the rows of its length, from ranges of (length, hash), picks its slot, so a
     length that a third of all rows have is dealt out like any other. Rows that are alike share nothing but
-    their order; an empty table gives an empty result.
+    their order; columns named sequence_id or offset are replaced; an empty table gives an empty result.
     """
     import numpy as np
 
     with small_batches(lengths.sparkSession):
-        stored = cut(lengths.withColumn("_h", F.xxhash64(*tie)))
+        lengths = lengths.drop("sequence_id", "offset")
+        h, row = free(lengths.columns, "_h"), free(lengths.columns, "_row")
+        stored = cut(lengths.withColumn(h, F.xxhash64(*tie)))
     histogram = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys, sequence, offset = slots(plan(histogram, size))
     known = sorted(histogram)
     first = np.concatenate([[0], np.cumsum([histogram[x] for x in known])])[: len(known)].astype(np.int64)
     known = np.array(known, np.int64)
-    placed = prefix_sums(stored, ["length", "_h", *tie], {}, row="_row")
-    schema = placed.drop("_h", "_row").schema
+    placed = prefix_sums(stored, ["length", h, *tie], {}, row=row)
+    schema = placed.drop(h, row).schema
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -215,7 +217,7 @@ def pack(lengths: DataFrame, size: int = SIZE, tie: tuple[str, ...] = ("doc_id",
 
         for b in batches:
             length = b.column("length").to_numpy()
-            rank = b.column("_row").to_numpy() - first[np.searchsorted(known, length)]
+            rank = b.column(row).to_numpy() - first[np.searchsorted(known, length)]
             key = (length << RANK_BITS) + rank
             at = np.searchsorted(keys, key, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence[at] + key - keys[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
@@ -236,6 +238,7 @@ def sequences(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = E
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096; a null or empty text is one piece, its end id."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
