@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, NOT_SPACE, cut, table
+from .common import BROADCAST_KEYS, NOT_SPACE, cut, free, row_key, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -180,17 +180,26 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     return each.select(F.col("_id").alias("doc_id"), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("_times") + F.when(F.col("_k") <= F.col("_hits"), 1).otherwise(0)).cast("int").alias("times"))
 
 
-def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+def counted(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, source and size in words of whole texts."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count(F.col(text), F.lit(f"{NOT_SPACE}+")), F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col(id_col).alias("doc_id"), "source", F.coalesce(F.regexp_count(F.col(text), F.lit(f"{NOT_SPACE}+")), F.lit(0)).cast("long").alias("size"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with docs' columns. A doc_id has to be one document."""
-    times = mix(counted(docs)).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_i")
-    met = docs.join(times, docs["doc_id"].eqNullSafe(times["_i"]))
-    return met.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.explode(F.sequence(F.lit(1), times["_times"]))).select("_row.*")
+    """The rows of docs, each as often as the mix takes it, with docs' columns.
+
+    Rows are told apart by a hash of all their columns, so null and repeated doc_ids are documents of their own. Rows
+    alike in every column share what the mix takes of them: as many of them come out.
+    """
+    key, times = free(docs.columns, "_key"), free(docs.columns, "_times")
+    keyed = docs.withColumn(key, row_key(docs))
+    drawn = cut(mix(counted(keyed, id_col=key)).groupBy("doc_id").agg(F.sum("times").alias(times), F.count(F.lit(1)).alias("n")))
+    rows = keyed.dropDuplicates([key]) if drawn.where("n > 1").limit(1).count() else keyed
+    met = rows.join(drawn.where(F.col(times) > 0).select(F.col("doc_id").alias(key), times), key)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return met.select(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; null texts have no words, null sources are one source."""
     return mix(counted(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
