@@ -7,7 +7,8 @@ differing bits one lies in some block, and without that block two remain, which
 covers: 131 variants of 42 or 43 bits. What meets is then verified on all 64 bits. Each pair counts at one
 variant only, the smallest that it shares in the first block left out for which it meets.
 
-A variant that more than CROWD fingerprints share (a large group of near copies) is not paired up. Its
+A variant that more than CROWD fingerprints share (a large group of near copies) is not paired up: that changes the
+plan, not the classes. Its
 fingerprints emit whole balls instead: those with an even number of ones radius 2, the others radius 1. Two that
 differ by three bits have unequal parity, so they meet; and everything that meets at a variant with an odd
 fingerprint there is within three bits of that one, so a star to it links all without forming pairs.
@@ -179,7 +180,8 @@ def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join all of the distinct fingerprints fps (fp) within distance RADIUS: every pair that
     differs by so much is connected through links, and every link is such a pair."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(_balls(fps).repartition(n, "left_out", "variant").sortWithinPartitions("left_out", "variant").mapInArrow(_meet, "a long, b long, crowded boolean"))
+    # What is stored may lie in one partition: the balls are to be made in many.
+    met = cut(_balls(fps.select("fp").repartition(n)).repartition(n, "left_out", "variant").sortWithinPartitions("left_out", "variant").mapInArrow(_meet, "a long, b long, crowded boolean"))
     pairs = met.where("NOT crowded").select("a", "b")
     crowd = met.where("crowded").select(F.col("a").alias("fp")).distinct()
     parity = _whole_balls(crowd)
@@ -211,17 +213,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the first of their class, one for each class, with docs' columns.
-
-    Rows of one doc_id count as one document: where doc_ids repeat, one of their rows stays. Documents without
-    a doc_id can't be told apart from others of their class: they go if the class has a first, else one stays.
-    """
-    found = near_duplicates(docs)
-    first = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    kept = docs.join(first.drop("n"), docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if first.where("n > 1").limit(1).count() else kept
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents; null and empty texts have fingerprint zero, rows without doc_id name no class."""
     return near_duplicates(table(spark, sf_dir, "documents"))
