@@ -28,8 +28,9 @@ END = b"\n"  # no word has white space
 START_ID, UNKNOWN_ID = 0xFFFFFFFF, 0xFFFFFFFE
 #: Distinct words, then bigram tokens, that a task sums up before it sends them on; tokens scored at once.
 FLUSH_WORDS, FLUSH_PAIRS, SCORE_TOKENS = 300_000, 2_000_000, 600_000
-#: Words whose numbers a worker remembers for good, and further ones before it forgets these.
-KEPT, LATER = 300_000, 100_000
+#: Words whose numbers a worker remembers for good, and further ones before it forgets these; words over LONG bytes it
+#: looks up each time.
+KEPT, LATER, LONG = 300_000, 100_000, 48
 #: Words of one file of contexts: what the shards of pairs add to a file is one row each, whatever their number.
 GROUP = 1 << 17
 SLICE = 64
@@ -234,10 +235,14 @@ class _Words:
         new = [w for w in set().union(*parted) if w not in known]
         if new:
             if len(known) >= KEPT:
-                later += new
+                later += [w for w in new if len(w) <= LONG]
             known.update(zip(new, self.find(new).tolist(), strict=True))
         sizes = [len(p) for p in parted]
-        return np.fromiter((x for p in parted for x in map(known.__getitem__, p)), np.uint32, sum(sizes)), np.array(sizes)
+        found = np.fromiter((x for p in parted for x in map(known.__getitem__, p)), np.uint32, sum(sizes))
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return found, np.array(sizes)
 
     @staticmethod
     def gather(numbers, starts: list[int], read, width: int):
@@ -405,6 +410,8 @@ def _train(spark: SparkSession, docs: DataFrame, folder: str, n: int) -> Model:
     starts = [0]
     for s in range(1 << bits):
         starts.append(starts[-1] + sizes.get(s, 0))
+    if starts[-1] >= UNKNOWN_ID:
+        raise ValueError(f"{starts[-1]} distinct words: their numbers have 32 bits")
     v = Vocabulary(folder, bits, starts, sum(r["tokens"] for r in sums))
     schema = "shard int, kind int, numbers binary, a binary, b binary, c binary, d binary, of1 long, of2 long, of3 long, of4 long"
     parts = cut(met(docs.select("text").mapInArrow(_count_pairs(v), sharded)).mapInArrow(_write_pairs(v), schema))
@@ -520,6 +527,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; a null or empty text is its end, a null doc_id counts as an empty one."""
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     docs = docs.select("doc_id", (fold == HELD_OUT).alias("held_out"), "text")

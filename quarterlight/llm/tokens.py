@@ -14,8 +14,9 @@ _LETTERS = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
 #: These and digits, and ASCII marks without the apostrophe: between the two every pattern parts.
 _WORD, _MARK = f"[{_LETTERS}0-9]", r"[!-&(-/:-@\[-`{-~]"
 _PIECE = rf"{_WORD}++(?={_MARK}|{_BLANK}|\Z)|{_MARK}++(?={_WORD}|{_BLANK}|\Z)|{_SOLID}+"
-#: Pieces that are kept for good, and further ones before these are forgotten: about 200 bytes each.
-KEPT, LATER = 500_000, 150_000
+#: Pieces that are kept for good, and further ones before these are forgotten; those over LONG characters (unbroken runs
+#: of any size) are not kept: about 200 bytes each, 500 at most.
+KEPT, LATER, LONG = 500_000, 150_000, 48
 _open: dict[str, "Encoder"] = {}
 
 
@@ -85,6 +86,10 @@ class Encoder:
         new = [w for w in set().union(*parted) if w not in known]
         if new:
             if len(known) >= KEPT:
-                later += new
+                later += [w for w in new if len(w) <= LONG]
             known.update(self._pieces(new))
-        return [b"".join(map(known.__getitem__, p)) for p in parted]
+        found = [b"".join(map(known.__getitem__, p)) for p in parted]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return found
