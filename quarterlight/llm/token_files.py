@@ -12,6 +12,7 @@ from .tokens import Encoder
 
 END_ID = 2
 SLICE = 64
+_SCHEMA = "doc_id long, file int, row_in_file long, ids array<int>"
 OPTIONS = {
     "compression": "snappy",  # zstd saves a fifth of the space for a tenth of the time
     "orc.bloom.filter.columns": "doc_id",
@@ -23,11 +24,11 @@ OPTIONS = {
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> str:
-    """Writes doc_id, row_in_file and ids of each row of docs (doc_id, text) in ascending doc_id order; gives the folder.
+    """Writes doc_id, file, row_in_file and ids of each row of docs (doc_id, text) in ascending doc_id order; gives the folder.
 
     Files hold successive ranges of doc_id, null first, each ascending; rows of one doc_id stand in order of
-    their texts. A null text has only the end id. Texts are dealt by range once, before they are encoded, and
-    each range is encoded in a stream into its file.
+    their texts' hashes, and where they are many (all without one) they may go on in the next file. A null text has only
+    the end id. Texts are dealt by range once, before they are encoded, and each range is encoded in a stream into its file.
     """
     path = path or scratch(docs.sparkSession, "token-ids")
 
@@ -35,7 +36,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
         import numpy as np
         import pyarrow as pa
 
-        encoder, row, end = Encoder.at(tokenizer), 0, np.array([end_id], "<u4").tobytes()
+        from pyspark import TaskContext
+
+        encoder, row, end, file = Encoder.at(tokenizer), 0, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
@@ -44,17 +47,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 rows = pa.array(np.arange(row, row + part.num_rows, dtype="int64"))
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), rows, pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "row_in_file", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.full(len(ids), file, "int32")), rows, pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "file", "row_in_file", "ids"])
 
-    placed = docs.select("doc_id", "text").repartitionByRange(dealt(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    placed = docs.select("doc_id", "text").repartitionByRange(dealt(docs.sparkSession), *order).sortWithinPartitions(*order)
     with small_batches(docs.sparkSession):
-        placed.mapInArrow(run, "doc_id long, row_in_file long, ids array<int>").write.options(**OPTIONS).orc(path)
+        placed.mapInArrow(run, _SCHEMA).write.options(**OPTIONS).orc(path)
     return path
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, row_in_file and ids; filters on doc_id reach the stripes' indexes and Bloom filters."""
-    return spark.read.schema("doc_id long, row_in_file long, ids array<int>").orc(path)
+    """doc_id, file, row_in_file and ids; filters on doc_id reach the stripes' indexes and Bloom filters."""
+    return spark.read.schema(_SCHEMA).orc(path)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -69,15 +73,16 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             raw = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), "<i4").view("u1")
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype="int64")])
             crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_in_file"), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "row_in_file", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file"), b.column("row_in_file"), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["doc_id", "file", "row_in_file", "n_tokens", "ids_crc32"])
 
-    thin = read_token_files(spark, path).mapInArrow(run, "doc_id long, row_in_file long, n_tokens long, ids_crc32 long")
+    thin = read_token_files(spark, path).mapInArrow(run, "doc_id long, file int, row_in_file long, n_tokens long, ids_crc32 long")
     with small_batches(spark):
         thin = cut(thin)
-    return prefix_sums(thin, ["doc_id", "row_in_file"], {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return prefix_sums(thin, ["file", "row_in_file"], {"start": "n_tokens"}).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids stand in the files; null texts have the end id alone, rows without doc_id come first."""
     import public_tokenizers
 
     return token_index(spark, write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
