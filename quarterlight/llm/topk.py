@@ -20,8 +20,8 @@ EVERY = 100
 BLOCK, PIVOTS = 256, 64
 #: Queries that go to all executors at once: QUERIES x dimensions x 8 bytes, 8 MB at 64 dimensions.
 QUERIES = 16_384
-#: Quantised components beyond this leave the range in which float64 products and sums are exact.
-EXACT = 1 << 22
+#: Sums of products up to this are exact in float64.
+EXACT = 1 << 53
 
 _INDEX = "dims int, ids binary, vectors binary, high binary, low binary"
 
@@ -71,7 +71,8 @@ def _search(blocks, query_ids, queries, k):
     n = len(query_ids)
     worst = np.iinfo(np.int64).min + 1  # so that it can be negated
     scores, ids = np.full((n, k), worst), np.full((n, k), np.iinfo(np.int64).max)
-    exact = max([int(np.abs(queries).max(initial=0)), *(int(np.abs(b[1]).max(initial=0)) for b in blocks)]) <= EXACT
+    largest = max((int(np.abs(b[1]).max(initial=0)) for b in blocks), default=0)
+    exact = queries.shape[1] * int(np.abs(queries).max(initial=0)) * largest <= EXACT
     q = queries.astype(float) if exact else queries
     high, low = np.stack([b[2] for b in blocks]).astype(q.dtype), np.stack([b[3] for b in blocks]).astype(q.dtype)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
@@ -101,8 +102,9 @@ def _search(blocks, query_ids, queries, k):
 def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows of the index but those of its own id.
 
-    Queries (id, v) go out in rounds of at most QUERIES, each round a broadcast of bounded size against all
-    blocks where they lie; a task sends k rows a query at most. Ties go to the smaller id. A query meets
+    Queries (id, v) go out in rounds of about QUERIES, each round a broadcast of bounded size against all
+    blocks where they lie; a task sends k rows a query at most. A round's winners are stored before the next one
+    begins, and its broadcast is given back, so neither the plan nor the driver's memory grows with the queries. Ties go to the smaller id. A query meets
     vectors of its own length only; a query given twice counts once; without candidates it has no rows.
     """
     spark = index.sparkSession
@@ -110,24 +112,27 @@ def search(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     found = None
     for r in sorted(x["_round"] for x in asked.select("_round").distinct().collect()):
         rows = asked.where(F.col("_round") == r).select("id", "v").toArrow()
-        out = _round(spark, index, rows.column("id").to_pylist(), rows.column("v").to_pylist(), k)
+        sent = spark.sparkContext.broadcast(_by_dims(rows.column("id").to_pylist(), rows.column("v").to_pylist()))
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        out = cut(_round(index, sent, k).withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        sent.destroy()
         found = out if found is None else found.unionByName(out)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if found is None else found
 
 
-def _round(spark: SparkSession, index: DataFrame, ids: list[int], vectors: list[list[int]], k: int) -> DataFrame:
+def _by_dims(ids: list[int], vectors: list[list[int]]) -> dict:
     import numpy as np
 
-    by_dims = {}
+    found = {}
     for d in {len(v) for v in vectors}:
         mine = [i for i, v in enumerate(vectors) if len(v) == d]
-        by_dims[d] = (np.array([ids[i] for i in mine], np.int64), np.array([vectors[i] for i in mine], np.int64).reshape(len(mine), d))
-    sent = spark.sparkContext.broadcast(by_dims)
+        found[d] = (np.array([ids[i] for i in mine], np.int64), np.array([vectors[i] for i in mine], np.int64).reshape(len(mine), d))
+    return found
 
+
+def _round(index: DataFrame, sent, k: int) -> DataFrame:
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for b in batches:
@@ -146,6 +151,7 @@ def _round(spark: SparkSession, index: DataFrame, ids: list[int], vectors: list[
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best of every hundredth vector; vectors that are null or hold null or non-finite components take no part."""
     vectors = quantised(table(spark, sf_dir, "embeddings"))
     return search(cut(build_index(vectors)), vectors.where(F.col("id") % EVERY == 0))
 
