@@ -280,4 +280,5 @@ def extract_text(pages: DataFrame, html: str = "html", text: str = "text", n_cha
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages; null and empty ones give an empty text."""
     return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

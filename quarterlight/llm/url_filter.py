@@ -100,6 +100,7 @@ def judge_urls(df: DataFrame, listed: DataFrame, default: str = "allow", url: st
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls; null urls and those without a scheme have no host and are allowed."""
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
 

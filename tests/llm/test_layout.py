@@ -225,3 +225,85 @@ def test_an_empty_corpus_passes_every_stage(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_every_row_is_written_to_a_shard(spark, docs):
+    path = sharding.write_shards(docs, 4)
+    got = spark.read.parquet(path).select("doc_id", "text", "source", "length", "start").collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in docs.select("doc_id", "text", "source", "length", "start").collect())
+    odd = spark.createDataFrame([(None, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
+    assert spark.read.parquet(sharding.write_shards(odd, 2)).count() == 3
+
+
+CLASHING = "doc_id long, text string, source string, _row long, _before long, _range long, _one long, _h long, _first long, _number long, _key long, _times long, sequence_id long, slot long"
+
+
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(i, f"text number {i} " * (i + 1), "s", *[7] * 11) for i in range(30)]
+    df = spark.createDataFrame(rows, CLASHING)
+    own = [c for c in df.columns if c not in ("doc_id", "text", "source", "sequence_id", "slot")]
+    thin = df.withColumns({"size": F.length("text").cast("long"), "text_crc32": F.col("doc_id"), "length": F.length("text") + 1, "piece": F.lit(0), "shard": F.lit("old")})
+    placed = sharding.assign_shards(thin, 4)
+    packed = packing.pack(thin.withColumn("length", F.length("text")))
+    summed = sharding.prefix_sums(thin, ["doc_id"], {"before": "size"}, row="at")
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns
+    for out in (placed, packed, summed, mixed):
+        assert out.count() >= (30 if out is not mixed else 1) and {tuple(r) for r in out.select(*own).collect()} == {(7,) * len(own)}
+    assert sorted(r.at for r in summed.collect()) == list(range(30)) and {r.shard for r in placed.collect()} == {0, 1, 2, 3}
+    back = spark.read.parquet(sharding.write_shards(df, 4))
+    assert back.count() == 30 and {tuple(r) for r in back.select(*own).collect()} == {(7,) * len(own)}
+
+
+def test_mixed_rows_without_ids_and_repeated_ids(spark):
+    rng = np.random.default_rng(13)
+    rows = [(None if i % 2 else i % 40, " ".join(["w"] * int(rng.integers(5, 60))) + f" {i}", ["a", "b", None][i % 3]) for i in range(900)]
+    rows += [(5, "one two three", "a")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    target = brute_targets(sizes)
+    out = mixing.mixed(df).collect()
+    taken = {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    assert all(abs(taken[s] - target[s]) <= 61 for s in sizes)
+
+
+def test_rows_without_ids_go_on_in_the_next_file(spark):
+    rows = [(None, f"text {i}") for i in range(3000)] + [(i, "numbered") for i in range(100)]
+    path = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTE)
+    read = token_files.read_token_files(spark, path)
+    assert read.where("doc_id IS NULL").select("file").distinct().count() > 1
+    got = sorted(token_files.token_index(spark, path).collect(), key=lambda r: r.start)
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False)) and len(got) == 3100
+    assert [r.doc_id for r in got[3000:]] == list(range(100)) and all(r.doc_id is None for r in got[:3000])
+
+
+def rows_scanned(df):
+    df.collect()
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if "Scan" in node.nodeName():
+            found.append(node.metrics().get("numOutputRows").get().value())
+        kids = node.children()
+        nodes += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
+def test_filters_reach_indexes_and_bloom_filters(spark):
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "'a few words' AS text").coalesce(1)
+    path = token_files.write_token_files(docs, BYTE)
+    scanned = lambda where: sum(rows_scanned(token_files.read_token_files(spark, path).where(where)))
+    assert 0 < scanned("doc_id = 20000") <= 1000  # one group of rows
+    assert scanned("doc_id BETWEEN 500 AND 600") <= 1000
+    # No group holds the odd number: its extremes would let it pass, its Bloom filter does not.
+    assert sum(scanned(f"doc_id = {k}") for k in (20001, 20003, 30001)) == 0
+
+
+def test_long_pieces_are_not_kept():
+    e = Encoder(BYTE)
+    e.encode(["x" * 10_000 + " short", "y" * 100])
+    assert all(len(w) <= 48 for w in e.known) and any("short" in w for w in e.known)

@@ -83,9 +83,6 @@ def test_near_duplicates_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id, r.fingerprint) for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
     assert [g[:2] for g in got] == [(3, 3), (5, 3), (7, 7), (7, 7), (8, 8), (9, 8), (None, None), (None, 8)] or {g[:2] for g in got} == {(3, 3), (5, 3), (7, 7), (8, 8), (9, 8), (None, 8), (None, None)}
     assert all(g[2] == "0" * 16 for g in got if g[0] in (3, 5)) and len(got) == 8
-    kept = simhash.keep_first(spark.createDataFrame(rows, DOCS))
-    assert kept.columns == ["doc_id", "text", "fp", "component_id"]
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "8", "None"]
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -126,3 +123,34 @@ def test_search_of_nothing(spark):
     assert topk.search(topk.build_index(v), v).count() == 0
     one = topk.quantised(spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>"))
     assert topk.search(topk.build_index(one), one).count() == 0
+
+
+def test_blocks_that_cannot_matter_are_not_scored():
+    rng = np.random.default_rng(3)
+    scored = []
+
+    class Watched(np.ndarray):
+        @property
+        def T(self):  # noqa: N802
+            scored.append(1)
+            return np.asarray(self).T
+
+    blocks = []
+    for k in range(40):
+        x = (1000 * np.eye(8)[k % 8] * (1 + k // 8) + rng.integers(-20, 20, (64, 8))).astype(np.int64)
+        blocks.append((np.arange(k * 64, k * 64 + 64), x.view(Watched), x.max(axis=0), x.min(axis=0)))
+    query = np.array([[900, 10, 0, 0, 0, 0, 0, 0]], np.int64)
+    scores, ids, _ = topk._search(blocks, np.array([-1]), query, 10)
+    every = sorted(((-int(np.asarray(v) @ query[0]), int(i)) for b in blocks for i, v in zip(b[0], b[1], strict=True)))[:10]
+    assert [(-int(s), int(i)) for s, i in zip(scores[0], ids[0], strict=True)] == every
+    assert len(scored) <= 5
+
+
+def test_large_components_are_multiplied_in_whole_numbers(spark):
+    rows = [(i, [float(2**17 + i), float(-(2**17)) + i * 3]) for i in range(130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = topk.quantised(df)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(topk.build_index(v), v.where("id % 100 = 0")).collect())
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = [(i, r + 1, j, -x) for i, v in whole if i % 100 == 0 for r, (x, j) in enumerate(sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole if j != i)[:10])]
+    assert got == sorted(want)
