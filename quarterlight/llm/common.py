@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +38,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_held: dict[str, object] = {}
+
+
+def release() -> None:
+    """Drops the large thing that this worker holds, and gives its memory back."""
+    import ctypes
+    import gc
+
+    if _held:
+        _held.clear()
+        gc.collect()
+        with suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def once(name: str, make):
+    """What make() gives, made once in a worker; a worker serves many tasks and operators, and holds one such thing."""
+    if name not in _held:
+        release()
+        _held[name] = make()
+    return _held[name]
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
     """What runs inside hands texts to Python in batches of few rows: a batch is held whole on both sides."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared_files
-from .common import cut, dealt, scratch, small_batches, table
+from .common import cut, dealt, once, scratch, small_batches, table
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # no word has white space
@@ -268,23 +268,12 @@ def _pairs(numbers, sizes):
     return _mix(before.astype(np.uint64) << np.uint64(32) | numbers), before
 
 
-_open: dict[str, object] = {}
-
-
-def _once(folder: str, make):
-    """A worker keeps one model open."""
-    if folder not in _open:
-        _open.clear()
-        _open[folder] = make()
-    return _open[folder]
-
-
 def _count_pairs(v: Vocabulary):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        words = _once(v.folder + "/words", lambda: _Words(v))
+        words = once(v.folder + "/words", lambda: _Words(v))
         held, n = [], 0
 
         def flush():
@@ -504,7 +493,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        scorer = _once(model.folder, lambda: _Scorer(model))
+        scorer = once(model.folder, lambda: _Scorer(model))
         for b in batches:
             done = [[], [], [], []]
             numbers, sizes, n = [], [], 0

@@ -7,6 +7,8 @@ import os
 import re
 from array import array
 
+from .common import once
+
 #: White space as the tokenizers' patterns have it: Python's also counts four separators that they don't.
 _BLANK, _SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
 #: Latin letters, without the one that is a letter and a mark in lower case.
@@ -17,7 +19,6 @@ _PIECE = rf"{_WORD}++(?={_MARK}|{_BLANK}|\Z)|{_MARK}++(?={_WORD}|{_BLANK}|\Z)|{_
 #: Pieces that are kept for good, and further ones before these are forgotten; those over LONG characters (unbroken runs
 #: of any size) are not kept: about 200 bytes each, 500 at most.
 KEPT, LATER, LONG = 500_000, 150_000, 48
-_open: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -54,9 +55,7 @@ class Encoder:
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
-        if path not in _open:
-            _open[path] = cls(path)
-        return _open[path]
+        return once(path, lambda: cls(path))
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[bytes]:
