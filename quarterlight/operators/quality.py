@@ -46,19 +46,21 @@ def time_findings(windows: DataFrame) -> DataFrame:
 
 
 def neighbours(windows: DataFrame, *keys: str) -> DataFrame:
-    """windows with the one before in the same cell, by start and end: _start, _end, _well (it is well formed)."""
-    before = F.lag(F.struct("start_min", "end_min")).over(Window.partitionBy(*keys).orderBy("start_min", "end_min"))
+    """windows with the one before in the same cell, by start and end: _start, _end, _well (it is well formed) and _blame."""
+    before = F.lag(F.struct("start_min", "end_min", blame().alias("blame"))).over(Window.partitionBy(*keys).orderBy("start_min", "end_min"))
     out = windows.withColumn("_b", before)
-    return out.withColumns({"_start": F.col("_b.start_min"), "_end": F.col("_b.end_min")}).withColumn("_well", F.col("_start") < F.col("_end")).drop("_b")
+    return out.withColumns({"_start": F.col("_b.start_min"), "_end": F.col("_b.end_min"), "_blame": F.col("_b.blame")}).withColumn("_well", F.col("_start") < F.col("_end")).drop("_b")
 
 
 def neighbour_findings(windows: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
-    """DUPLICATE_WINDOW and OVERLAP of each window with the one before, not of all pairs."""
+    """DUPLICATE_WINDOW and OVERLAP of each window with the one before, not of all pairs. The source is to blame for an
+    overlap if nothing speaks against the reading of either window."""
     n = neighbours(windows, *keys)
     same = (F.col("_start") == F.col("start_min")) & (F.col("_end") == F.col("end_min"))
     over = ~same & (F.col("_end") > F.col("start_min")) & F.col("_well")
     a = n.where(same).select("document_id", *finding("DUPLICATE_WINDOW", "warning", "extract", target(), F.concat(span(), F.lit(" twice"))))
-    b = n.where(over).select("document_id", *finding("OVERLAP", "error", blame(), target(), F.concat(span(), F.lit(" begins before "), hhmm(F.col("_end")))))
+    both = F.when((blame() == "source_document") & (F.col("_blame") == "source_document"), "source_document").otherwise("extract")
+    b = n.where(over).select("document_id", *finding("OVERLAP", "error", both, target(), F.concat(span(), F.lit(" begins before "), hhmm(F.col("_end")))))
     return a.unionByName(b)
 
 
@@ -75,20 +77,30 @@ def grounding_findings(windows: DataFrame, pages: DataFrame) -> DataFrame:
     return union([w.where(c).select("document_id", *f) for c, f in rules])
 
 
-def coverage_findings(listed: DataFrame, windows: DataFrame, empties: DataFrame) -> DataFrame:
-    """COVERAGE_GAP for listed (document_id, level) without windows or an empty cell in a season; LEVEL_NOT_LISTED."""
+def coverage_findings(listed: DataFrame, windows: DataFrame, empties: DataFrame, vision: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """COVERAGE_GAP for listed (document_id, level) without windows or an empty cell in a season; LEVEL_NOT_LISTED.
+
+    vision: the second reading's documents (document_id), windows and empty cells. Where it was read and has no window in a
+    cell either, the cell is empty.
+    """
     cells = listed.select("document_id", "level", F.explode(F.array(*[F.lit(s) for s in SEASONS])).alias("season"))
     there = windows.select(*CELL).unionByName(empties.select(*CELL)).distinct()
     where = F.concat_ws("/", "level", "season")
+    if vision is not None:
+        read, seen, blank = vision
+        unseen = cells.join(read.select("document_id").distinct(), "document_id", "left_semi").join(seen.select(*CELL).distinct(), list(CELL), "left_anti")
+        there = there.unionByName(blank.select(*CELL)).unionByName(unseen.select(*CELL)).distinct()
     gaps = cells.join(there, list(CELL), "left_anti").select("document_id", *finding("COVERAGE_GAP", "warning", "extract", where, F.lit("neither windows nor an empty cell")))
     extra = windows.select("document_id", "level").distinct().join(listed, ["document_id", "level"], "left_anti")
     return gaps.unionByName(extra.select("document_id", *finding("LEVEL_NOT_LISTED", "info", "extract", F.col("level"), F.lit("windows for a level that isn't listed"))))
 
 
 def cap_findings(windows: DataFrame, cap: int = DAY_CAP, keys: tuple[str, ...] = CELL) -> DataFrame:
-    """DAILY_CAP_EXCEEDED where a cell's minutes sum to more than the cap."""
-    total = windows.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0), F.col("end_min") - F.col("start_min"))).alias("minutes"))
-    return total.where(F.col("minutes") > cap).select("document_id", *finding("DAILY_CAP_EXCEEDED", "warning", "source_document", F.concat_ws("/", "level", "season"), F.concat(F.col("minutes").cast("string"), F.lit(" minutes a day"))))
+    """DAILY_CAP_EXCEEDED where a cell's minutes sum to more than the cap; one doubtful window makes it the reading's."""
+    minutes = F.sum(F.greatest(F.lit(0), F.col("end_min") - F.col("start_min"))).alias("minutes")
+    total = windows.groupBy(*keys).agg(minutes, F.bool_and(blame() == "source_document").alias("_printed"))
+    stage = F.when(F.col("_printed"), "source_document").otherwise("extract")
+    return total.where(F.col("minutes") > cap).select("document_id", *finding("DAILY_CAP_EXCEEDED", "warning", stage, F.concat_ws("/", "level", "season"), F.concat(F.col("minutes").cast("string"), F.lit(" minutes a day"))))
 
 
 def cell_sets(readings: DataFrame, name: str, keys: tuple[str, ...] = CELL) -> DataFrame:
@@ -107,23 +119,32 @@ def cross_channel_findings(text: DataFrame, vision: DataFrame, keys: tuple[str,
 def label_findings(raw: DataFrame) -> DataFrame:
     """What could not be mapped: raw has level_label, season_label, level, season, start_min, end_min."""
     rules = [
-        (F.col("level").isNull(), "LEVEL_UNMAPPED", F.col("level_label")),
-        (F.col("level").isNotNull() & F.col("season").isNull(), "SEASON_UNMAPPED", F.col("season_label")),
-        (F.col("level").isNotNull() & F.col("season").isNotNull() & (F.col("start_min").isNull() | F.col("end_min").isNull()), "TIME_UNPARSEABLE", F.concat_ws("/", "level", "season")),
+        (F.col("level").isNull(), "LEVEL_UNMAPPED", "normalize", F.col("level_label")),
+        (F.col("level").isNotNull() & F.col("season").isNull(), "SEASON_UNMAPPED", "normalize", F.col("season_label")),
+        (F.col("level").isNotNull() & F.col("season").isNotNull() & (F.col("start_min").isNull() | F.col("end_min").isNull()), "TIME_UNPARSEABLE", "extract", F.concat_ws("/", "level", "season")),
     ]
-    return union([raw.where(c).select("document_id", *finding(code, "error", "normalize", t, F.lit("its label or time has no meaning here"))) for c, code, t in rules])
+    return union([raw.where(c).select("document_id", *finding(code, "error", stage, t, F.lit("its label or time has no meaning here"))) for c, code, stage, t in rules])
+
+
+def empty_cell_findings(raw: DataFrame) -> DataFrame:
+    """EMPTY_CELL_UNMAPPED: cells said to be empty (level_label, season_label, level, season) that are none of the table's."""
+    lost = raw.where(F.col("level").isNull() | F.col("season").isNull())
+    return lost.select("document_id", *finding("EMPTY_CELL_UNMAPPED", "warning", "normalize", F.concat_ws("/", "level_label", "season_label"), F.lit("an empty cell without a meaning here")))
 
 
 def document_findings(documents: DataFrame) -> DataFrame:
     """Findings on documents: convention, year, name, correction, page and rule state.
 
-    documents: document_id, convention, registry_year, page_year, correction_note, upload, same_name, n_windows, n_empty.
+    documents: document_id, convention, registry_year, page_year, correction_note, upload, same_name, n_windows, n_empty, and
+    year_grounded where the year's quote was looked for: without it on the page the year is the reading's to answer for.
     """
     t = F.col("document_id").cast("string")
+    printed = F.coalesce(F.col("year_grounded"), F.lit(True)) if "year_grounded" in documents.columns else F.lit(True)
     rules = [
         (F.col("convention") == "assumed", finding("CONVENTION_ASSUMED", "warning", "source_document", t, F.lit("the meter's time stamps are not explained"))),
         (F.col("convention") == "interval_end_ambiguous", finding("CONVENTION_AMBIGUOUS", "warning", "source_document", t, F.lit("interval ends without an example"))),
-        (F.col("page_year") != F.col("registry_year"), finding("YEAR_MISMATCH", "error", "source_document", t, F.lit("the page names another year"))),
+        (F.col("page_year") != F.col("registry_year"), finding("YEAR_MISMATCH", "error", F.when(printed, "source_document").otherwise("extract"), t, F.lit("the page names another year"))),
+        (~printed, finding("YEAR_UNGROUNDED", "warning", "extract", t, F.lit("the year's quote is not on the page"))),
         (F.col("upload") & ~F.col("same_name"), finding("DSO_MISMATCH", "warning", "source_document", t, F.lit("the page names another operator"))),
         (F.col("upload") & (F.col("n_windows") + F.col("n_empty") == 0), finding("NO_WINDOW_TABLE", "error", "source_document", t, F.lit("no table was found"))),
         (F.length(F.trim("correction_note")) > 0, finding("CORRECTION_NOTED", "info", "source_document", t, F.col("correction_note"))),
@@ -139,7 +160,7 @@ def page_findings(pages: DataFrame) -> DataFrame:
 def rule_findings(rules: DataFrame) -> DataFrame:
     """rules: document_id, kind, resolved, grounded, problem."""
     named = [
-        (F.col("problem").isNotNull(), finding("RULE_VALUE_INVALID", "warning", "normalize", F.col("kind"), F.col("problem"))),
+        (F.col("problem").isNotNull(), finding("RULE_VALUE_INVALID", "warning", "extract", F.col("kind"), F.col("problem"))),
         (F.col("problem").isNull() & ~F.col("resolved"), finding("RULE_AMBIGUOUS", "warning", "source_document", F.col("kind"), F.lit("the rule can't be turned into dates"))),
         (~F.col("grounded"), finding("RULE_UNGROUNDED", "warning", "extract", F.col("kind"), F.lit("its quote is not on the page"))),
     ]
@@ -148,7 +169,7 @@ def rule_findings(rules: DataFrame) -> DataFrame:
 
 def anomaly_findings(documents: DataFrame) -> DataFrame:
     each = documents.select("document_id", F.explode("anomalies").alias("_a"))
-    return each.select("document_id", *finding("MODEL_ANOMALY", "info", "source_document", F.col("document_id").cast("string"), F.col("_a")))
+    return each.select("document_id", *finding("MODEL_ANOMALY", "info", "extract", F.col("document_id").cast("string"), F.col("_a")))
 
 
 def version_findings(documents: DataFrame, windows: DataFrame) -> DataFrame:
