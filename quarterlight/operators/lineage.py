@@ -28,44 +28,54 @@ def ancestors(edges: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -
 
     One join a level: only nodes new on the last level go on, so cycles end; a level is stored on shared storage.
     """
-    seen = cut(starts.select("node").distinct().select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth")))
-    front, depth = seen, 0
-    while depth < max_depth:
-        depth += 1
+    front = cut(starts.select("node").distinct().select(F.col("node").alias("origin"), "node", F.lit(0).alias("depth")))
+    levels = [front]
+    for depth in range(1, max_depth + 1):
         step = front.join(edges, front["node"] == edges["child"]).select("origin", F.col("parent").alias("node")).distinct()
+        seen = reduce(DataFrame.unionByName, [x.select("origin", "node") for x in levels])
         front = cut(step.join(seen, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        levels.append(front)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def next_hops(generated: DataFrame, activities: DataFrame, used: DataFrame, derived: DataFrame, revisions: DataFrame) -> DataFrame:
     """entity, activity and next: the newest activity that made it, then its predecessor, else the least source it
-    was derived from there, else the first that was used by role."""
+    was derived from there, else the first that was used by role. Without an activity only the predecessor counts."""
     made = generated.join(activities, "activity")
     newest = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("started_at"), F.desc("activity")))
     made = made.withColumn("_r", newest).where("_r = 1").select("entity", "activity")
     was = revisions.groupBy("entity").agg(F.min("previous").alias("_previous"))
     source = derived.groupBy("entity", "activity").agg(F.min("source").alias("_source"))
     tool = used.groupBy("activity").agg(F.min_by("entity", F.struct("role", "entity")).alias("_used"))
-    out = made.join(was, "entity", "left").join(source, ["entity", "activity"], "left").join(tool, "activity", "left")
+    out = made.join(was, "entity", "full_outer").join(source, ["entity", "activity"], "left").join(tool, "activity", "left")
     return out.select("entity", "activity", F.coalesce("_previous", "_source", "_used").alias("next"))
 
 
-def chain(hops: DataFrame, starts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """origin, step, entity, activity along next until it ends or comes back to an entity it has seen."""
+def chain(hops: DataFrame, starts: DataFrame, associated: DataFrame | None = None, used: DataFrame | None = None) -> DataFrame:
+    """origin, step, entity, activity along next until it ends or comes back to an entity it has seen, however long.
+
+    With associated (activity, agent, kind) and used (activity, entity, role) also agents, by kind and name, and used, by role,
+    of each step's activity; empty where it has none.
+    """
     first = starts.select(F.col("node").alias("origin"), F.col("node").alias("entity")).distinct()
     now = cut(first.join(hops, "entity", "left").withColumn("step", F.lit(0)).withColumn("_seen", F.array("entity")))
     out = [now]
-    for step in range(1, max_depth + 1):
+    while True:
         onward = now.where(F.col("next").isNotNull() & ~F.array_contains("_seen", F.col("next")))
         onward = onward.select("origin", F.col("next").alias("entity"), F.concat("_seen", F.array("next")).alias("_seen"))
-        now = cut(onward.join(hops, "entity", "left").withColumn("step", F.lit(step)))
+        now = cut(onward.join(hops, "entity", "left").withColumn("step", F.lit(len(out))))
         if now.isEmpty():
             break
         out.append(now)
-    return reduce(DataFrame.unionByName, out).select("origin", "step", "entity", "activity")
+    steps = reduce(DataFrame.unionByName, out).select("origin", "step", "entity", "activity")
+    for rows, name, order in ((associated, "agents", ("kind", "agent")), (used, "used", ("role", "entity"))):
+        if rows is not None:
+            each = F.array_sort(F.collect_list(F.struct(*order)))
+            of = rows.groupBy("activity").agg(each.alias("_each")).select("activity", F.col(f"_each.{order[1]}").alias(name))
+            steps = steps.join(of, "activity", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return steps.select("origin", "step", "entity", "activity", *(n for n, r in (("agents", associated), ("used", used)) if r is not None))
 
 
 def prov_json(nodes: DataFrame, relations: DataFrame) -> DataFrame:
