@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import locate
 from ..functions.text import plain_key
+from .lineage import cut
 
 THRESHOLD = 90.0
 
@@ -22,12 +23,47 @@ def numbers_in(quote: Column, text: Column) -> Column:
     return F.forall(F.array_distinct(q), lambda x: times(q, x) <= times(t, x))
 
 
+#: Words of an anchor. Quotes with fewer inner words have none: they go to all pages, so many at once.
+ANCHOR, SHORT_QUOTES = 3, 4096
+#: Rows that go to all tasks without a shuffle, if they are counted to be no more.
+FEW_ROWS = 200_000
+
+
+def _anchors(words: Column) -> Column:
+    """Hashes of all runs of ANCHOR words; none for fewer."""
+    n = F.size(words)
+    return F.when(n >= ANCHOR, F.transform(F.sequence(F.lit(1), F.greatest(n - (ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, ANCHOR)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def ground_exact(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """quotes (quote_id, quote) that stand verbatim on a page (page_id, text), as keys. The quotes, a stated query set,
-    are broadcast and every page is searched for all of them where it lies."""
-    q = quotes.select("quote_id", plain_key(F.col("quote")).alias("_q")).where("_q <> ''")
-    p = pages.select("page_id", plain_key(F.col("text")).alias("_t"))
-    return p.join(F.broadcast(q), F.contains(F.col("_t"), F.col("_q"))).select("quote_id", "page_id")
+    """quotes (quote_id, quote) that stand verbatim on a page (page_id, text), as keys; rows of one page_id count as one page each.
+
+    A quote may begin and end inside a word, but its inner words are whole words of the page. So quotes and pages meet on
+    runs of three inner words, of each quote on the run that the fewest pages have, and what meets is verified on the
+    whole texts. A page's own runs are looked up where it lies. Quotes with less than three inner words, which say little,
+    are searched for in all pages in blocks.
+    """
+    q = cut(quotes.select("quote_id", plain_key(F.col("quote")).alias("_q")).where("_q <> ''"))
+    inner = F.split(F.regexp_replace("_q", r"^\S*\s?|\s?\S*$", ""), " ")
+    runs = cut(q.select("quote_id", "_q", F.explode(F.array_distinct(_anchors(inner))).alias("_a")))
+    asked = _sent(runs.select("_a").distinct())
+    p = pages.select("page_id", plain_key(F.col("text")).alias("_t")).withColumn("_p", F.xxhash64("page_id", "_t"))
+    hits = cut(p.select("_p", F.explode(F.array_distinct(_anchors(F.split("_t", " ")))).alias("_a")).join(asked, "_a").distinct())
+    often = hits.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"))
+    known = runs.join(_sent(often), "_a", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rare = cut(known.groupBy("quote_id", "_q").agg(F.min(F.struct("_n", "_a")).alias("_r")).where("_r._n > 0").select("quote_id", "_q", F.col("_r._a").alias("_a")))
+    pairs = cut(hits.join(rare, "_a").select("_p", "quote_id", "_q"))
+    found = p.join(_sent(pairs), "_p").where(F.contains(F.col("_t"), F.col("_q"))).select("quote_id", "page_id")
+    short = cut(q.join(runs.select("quote_id").distinct(), "quote_id", "left_anti").withColumn("_block", F.pmod(F.xxhash64("quote_id", "_q"), F.lit(1 << 30))))
+    blocks = -(-short.count() // SHORT_QUOTES)
+    for i in range(blocks):
+        some = short.where(F.col("_block") % blocks == i).select("quote_id", "_q")
+        found = found.unionByName(p.join(F.broadcast(some), F.contains(F.col("_t"), F.col("_q"))).select("quote_id", "page_id"))
+    return found
 
 
 #: So many quotes are held against a page at once.
