@@ -120,6 +120,37 @@ SELECT document_id, code, severity, stage, count(*) AS n FROM f GROUP BY ALL"""
     out["grid_sanity"] = """WITH s AS (SELECT l_orderkey AS d, CAST(trunc(l_quantity * 20) AS INTEGER) AS a, CAST(trunc(l_quantity * 20 + l_linenumber * 75 - 60) AS INTEGER) AS b, l_linenumber FROM lineitem),
 f AS (SELECT 'TIME_INVALID' AS code, d, l_linenumber FROM s WHERE NOT (a >= 0 AND a < b AND b <= 1440) UNION ALL SELECT 'OFF_GRID', d, l_linenumber FROM s WHERE a % 15 <> 0 OR b % 15 <> 0)
 SELECT code, 'error' AS severity, CASE WHEN l_linenumber < 5 THEN 'source_document' ELSE 'extract' END AS stage, count(*) AS n, count(DISTINCT d) AS documents FROM f GROUP BY 1, 2, 3"""
+    out["finding_stages"] = """WITH s AS (SELECT user_id AS d, event_type AS l, strftime(ts, '%Y-%m-%d') AS s, hour(ts) * 60 + minute(ts) - minute(ts) % 15 AS a,
+  hour(ts) * 60 + minute(ts) - minute(ts) % 15 + 15 * (1 + CAST(floor(abs(value)) AS BIGINT) % 8) AS b, min(event_id) AS id FROM events GROUP BY 1, 2, 3, 4, 5),
+g AS (SELECT *, id % 3 <> 0 AND id % 5 <> 0 AND id % 7 <> 1 AS good FROM s), n AS (SELECT *, lag(a) OVER v AS pa, lag(b) OVER v AS pb, lag(good) OVER v AS pg FROM g WINDOW v AS (PARTITION BY d, l, s ORDER BY a, b)),
+f AS (SELECT d, 'TIME_INVALID' AS code, 'error' AS severity, good FROM g WHERE NOT (a >= 0 AND a < b AND b <= 1440)
+UNION ALL SELECT d, 'OVERLAP', 'error', good AND pg FROM n WHERE pb > a AND pa < pb
+UNION ALL SELECT d, 'DAILY_CAP_EXCEEDED', 'warning', bool_and(good) FROM g GROUP BY d, l, s HAVING sum(greatest(0, b - a)) > 60)
+SELECT code, severity, CASE WHEN good THEN 'source_document' ELSE 'extract' END AS stage, count(*) AS n, count(DISTINCT d) AS documents FROM f GROUP BY 1, 2, 3"""
+    out["document_rules"] = """WITH f AS (SELECT o_orderkey AS t, 'CONVENTION_ASSUMED' AS code, 'warning' AS severity, 'source_document' AS stage FROM orders WHERE o_orderkey % 5 = 4
+UNION ALL SELECT o_orderkey, 'CONVENTION_AMBIGUOUS', 'warning', 'source_document' FROM orders WHERE o_orderkey % 5 = 2
+UNION ALL SELECT o_orderkey, 'YEAR_MISMATCH', 'error', CASE WHEN o_custkey % 4 = 3 THEN 'extract' ELSE 'source_document' END FROM orders WHERE o_custkey % 3 = 0
+UNION ALL SELECT o_orderkey, 'YEAR_UNGROUNDED', 'warning', 'extract' FROM orders WHERE o_custkey % 4 = 3
+UNION ALL SELECT o_orderkey, 'DSO_MISMATCH', 'warning', 'source_document' FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'NO_WINDOW_TABLE', 'error', 'source_document' FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 4 = 0
+UNION ALL SELECT o_orderkey, 'CORRECTION_NOTED', 'info', 'source_document' FROM orders WHERE o_orderkey % 6 = 0)
+SELECT code, severity, stage, count(*) AS n, count(DISTINCT t) AS targets FROM f GROUP BY 1, 2, 3"""
+    out["label_rules"] = """WITH p AS (SELECT *, p_size % 5 > 0 AS lv, p_size % 3 > 0 AS sn FROM part),
+f AS (SELECT p_brand AS t, 'LEVEL_UNMAPPED' AS code, 'error' AS severity, 'normalize' AS stage FROM p WHERE NOT lv
+UNION ALL SELECT p_type, 'SEASON_UNMAPPED', 'error', 'normalize' FROM p WHERE lv AND NOT sn
+UNION ALL SELECT 'NE5/winter', 'TIME_UNPARSEABLE', 'error', 'extract' FROM p WHERE lv AND sn AND p_partkey % 4 = 0
+UNION ALL SELECT p_brand || '/' || p_type, 'EMPTY_CELL_UNMAPPED', 'warning', 'normalize' FROM p WHERE p_size % 2 = 0 AND NOT (lv AND sn)
+UNION ALL SELECT p_brand, 'RULE_VALUE_INVALID', 'warning', 'extract' FROM p WHERE p_size % 11 = 0
+UNION ALL SELECT p_brand, 'RULE_AMBIGUOUS', 'warning', 'source_document' FROM p WHERE p_size % 11 <> 0 AND p_size % 2 <> 0
+UNION ALL SELECT p_brand, 'RULE_UNGROUNDED', 'warning', 'extract' FROM p WHERE p_size % 7 = 0
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'MODEL_ANOMALY', 'info', 'extract' FROM p, (VALUES (1), (2)) v(i) WHERE p_size % 13 = 0)
+SELECT code, severity, stage, count(*) AS n, count(DISTINCT t) AS targets FROM f GROUP BY 1, 2, 3"""
+    out["name_ids"] = """WITH s AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 > 0 THEN 2000 + s_suppkey % 30 END AS y,
+  CASE s_suppkey % 4 WHEN 0 THEN 'Stadtwerke Fürth Netz GmbH & Co. KG' WHEN 1 THEN 'N-ERGIE Netz GmbH' WHEN 2 THEN 'Überlandwerk Groß-Gerau AG' ELSE 'E-Werk und Söhne' END || ' ' || s_name AS name FROM supplier),
+w AS (SELECT *, list_filter(string_split_regex(replace(replace(replace(replace(lower(name), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+'),
+  lambda x: x <> '' AND x NOT IN ('gmbh', 'ag', 'kg', 'co', 'mbh', 'se', 'eg', 'ug', 'und', 'kgaa')) AS words FROM s),
+g AS (SELECT *, trim(left(array_to_string(words, '-'), 48), '-') AS slug FROM w), b AS (SELECT *, CASE WHEN y IS NULL THEN slug ELSE slug || '-' || y END AS base FROM g)
+SELECT s_suppkey, slug, base AS free_id, base || '-' || left(sha256(s_name), 6) AS taken_id FROM b"""
     out["cross_channel"] = """WITH l AS (SELECT DISTINCT l_orderkey AS d, l_returnflag AS f, l_linenumber AS k, l_quantity AS q FROM lineitem),
 a AS (SELECT d, f, list_sort(list(DISTINCT k)) AS s FROM l WHERE q > 5 GROUP BY 1, 2), b AS (SELECT d, f, list_sort(list(DISTINCT k)) AS s FROM l WHERE q < 45 GROUP BY 1, 2)
 SELECT d AS document_id, 'CROSS_CHECK_DISAGREE' AS code, f || '/winter' AS target FROM a FULL JOIN b USING (d, f) WHERE a.s IS DISTINCT FROM b.s"""
@@ -160,9 +191,12 @@ FROM (SELECT event_id, {QUARTER} AS q, {QUARTER} + INTERVAL 45 MINUTE AS e FROM
     key = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(translate({0}, '" + DASHES + "', '" + "-" * len(DASHES) + r"')), '─', ' '), '\buhr\b', ' ', 'g'), '(\d)\s*\.\s*(\d\d)\b', '\1:\2', 'g'), '\s*-\s*', '-', 'g'), '\s*:\s*', ':', 'g'), '\s+', ' ', 'g'))"
     padded = "regexp_replace(regexp_replace({0}, '(^|[^0-9])([0-9]):([0-9][0-9])', '\\10\\2:\\3', 'g'), '(^|[^0-9])([0-9]):([0-9][0-9])', '\\10\\2:\\3', 'g')"
     out["match_key_text"] = f"SELECT doc_id, md5({padded.format(key.format('text'))}) AS key_md5 FROM documents"
+    out["match_key_full"] = out["match_key_text"]
     out["quote_grounding_exact"] = f"SELECT item_id AS quote_id, doc_id AS page_id FROM (SELECT item_id, {key.format('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {key.format('text')} AS t FROM documents) ON contains(t, q) WHERE q <> ''"
     out["lineage_closure"] = f"""WITH RECURSIVE {EDGES}, c(origin, node, depth) AS (SELECT DISTINCT child, child, 0 FROM e WHERE child LIKE 'c%' OR child LIKE 's%'
 UNION SELECT origin, parent, depth + 1 FROM c JOIN e ON child = node) SELECT origin, node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY 1, 2"""
+    out["order_lineage"] = f"""WITH {EDGES}, a AS (SELECT 'o' || o_orderkey AS origin, 'c' || o_custkey AS node FROM orders), b AS (SELECT origin, parent AS node FROM a JOIN e ON child = node), c AS (SELECT origin, parent AS node FROM b JOIN e ON child = node)
+SELECT 'o' || o_orderkey AS origin, 'o' || o_orderkey AS node, 0 AS depth FROM orders UNION ALL SELECT *, 1 FROM a UNION ALL SELECT *, 2 FROM b UNION ALL SELECT *, 3 FROM c"""
     out["lineage_chain"] = f"""WITH RECURSIVE {EDGES}, c(origin, step, entity) AS (SELECT DISTINCT child, 0, child FROM e WHERE child LIKE 's%'
 UNION SELECT origin, step + 1, (SELECT min(parent) FROM e WHERE child = entity) FROM c WHERE entity IN (SELECT child FROM e))
 SELECT origin, step, entity, CASE WHEN entity IN (SELECT child FROM e) THEN 'made-' || entity END AS activity FROM c"""

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions import names
 from ..functions.clock import floor_quarter, minute_of_day, season_of
-from ..functions.text import content_hash, map_level, map_season, parse_time, plain_key, text_health, time_ranges_in, times_in
+from ..functions.text import content_hash, map_level, map_season, match_key, parse_time, plain_key, text_health, time_ranges_in, times_in
 from ..operators import attribution, compare, grounding, lineage, quality, revisions
 from ..operators.calendar import DayRules, classify_days, holiday_days
 from ..operators.membership import answer, evaluate, mask, quarter_hours
@@ -143,6 +144,53 @@ def grid_sanity(spark, d):
     return quality.time_findings(w).groupBy("code", "severity", "stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("documents"))
 
 
+def finding_stages(spark, d):
+    # The events' spans, each once, with flags that say yes, no and nothing.
+    q = floor_quarter(F.col("ts"))
+    start = minute_of_day(q).cast("int")
+    e = _t(spark, d, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("level"), F.date_format("ts", "yyyy-MM-dd").alias("season"), start.alias("start_min"), (start + 15 * (1 + F.floor(F.abs("value")) % 8)).cast("int").alias("end_min"), "event_id")
+    w = e.groupBy("document_id", "level", "season", "start_min", "end_min").agg(F.min("event_id").alias("id"))
+    flags = {"grounded": F.col("id") % 3 != 0, "consistent": F.when(F.col("id") % 5 == 0, False).when(F.col("id") % 5 > 1, True), "aligned": F.when(F.col("id") % 7 > 0, F.col("id") % 7 > 1)}
+    w = w.withColumns(flags)
+    found = quality.union([quality.time_findings(w), quality.neighbour_findings(w), quality.cap_findings(w, 60)])
+    return found.groupBy("code", "severity", "stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("documents"))
+
+
+def _tally(found):
+    return found.groupBy("code", "severity", "stage").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target").alias("targets"))
+
+
+def document_rules(spark, d):
+    o, k, c = _t(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    docs = o.select(
+        k.alias("document_id"), F.get(F.array(*[F.lit(x) for x in CONVENTIONS]), (k % 5).cast("int")).alias("convention"), F.year("o_orderdate").alias("registry_year"),
+        (F.year("o_orderdate") + F.when(c % 3 == 0, 1).otherwise(0)).alias("page_year"), F.when(c % 4 > 0, c % 4 < 3).alias("year_grounded"), F.when(k % 6 == 0, F.lit("corrected")).when(k % 6 == 1, F.lit(" ")).alias("correction_note"),
+        (F.col("o_orderstatus") == "P").alias("upload"), (c % 5 != 0).alias("same_name"), (k % 4).alias("n_windows"), (k % 2).alias("n_empty"),
+    )
+    return _tally(quality.document_findings(docs))
+
+
+def label_rules(spark, d):
+    # Parts stand for cells, rules and notes of a table.
+    p, size = _t(spark, d, "part"), F.col("p_size")
+    raw = p.select(F.col("p_partkey").alias("document_id"), size.alias("_size"), F.col("p_brand").alias("level_label"), F.col("p_type").alias("season_label"), F.when(size % 5 > 0, "NE5").alias("level"), F.when(size % 3 > 0, "winter").alias("season"), F.when(F.col("p_partkey") % 4 > 0, 60).alias("start_min"), F.lit(120).alias("end_min"))
+    rules = p.select(F.col("p_partkey").alias("document_id"), F.col("p_brand").alias("kind"), (size % 2 == 0).alias("resolved"), (size % 7 != 0).alias("grounded"), F.when(size % 11 == 0, F.lit("no number")).alias("problem"))
+    notes = p.select(F.col("p_partkey").alias("document_id"), F.when(size % 13 == 0, F.array("p_type", "p_brand")).alias("anomalies"))
+    return _tally(quality.union([quality.label_findings(raw), quality.empty_cell_findings(raw.where("_size % 2 = 0")), quality.rule_findings(rules), quality.anomaly_findings(notes)]))
+
+
+#: Names as operators print them, before a supplier's own.
+PRINTED = ("Stadtwerke Fürth Netz GmbH & Co. KG", "N-ERGIE Netz GmbH", "Überlandwerk Groß-Gerau AG", "E-Werk und Söhne")
+
+
+def name_ids(spark, d):
+    k = F.col("s_suppkey")
+    s = _t(spark, d, "supplier").select("s_suppkey", F.concat_ws(" ", F.get(F.array(*[F.lit(x) for x in PRINTED]), (k % 4).cast("int")), "s_name").alias("name"), F.when(k % 3 > 0, 2000 + k % 30).cast("int").alias("year"), F.sha2("s_name", 256).alias("sha"))
+    s = s.withColumn("slug", names.slug(F.col("name")))
+    taken = F.array("slug", F.concat_ws("-", "slug", F.col("year").cast("string")))
+    return s.select("s_suppkey", "slug", names.make_id(F.col("name"), F.col("year"), F.col("sha"), F.array(F.lit("x"))).alias("free_id"), names.make_id(F.col("name"), F.col("year"), F.col("sha"), taken).alias("taken_id"))
+
+
 def cross_channel(spark, d):
     li = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_returnflag").alias("level"), F.lit("winter").alias("season"), (F.col("l_linenumber") * 60).alias("start_min"), (F.col("l_linenumber") * 60 + 60).alias("end_min"), "l_quantity")
     return quality.cross_channel_findings(li.where("l_quantity > 5"), li.where("l_quantity < 45")).select("document_id", "code", "target")
@@ -228,6 +276,10 @@ def match_key_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.md5(plain_key(F.col("text"))).alias("key_md5"))
 
 
+def match_key_full(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(match_key(F.col("text"))).alias("key_md5"))
+
+
 def clock_texts(spark, d):
     # Events as printed lines; the documents hold no clock times.
     q = floor_quarter(F.col("ts"))
@@ -270,6 +322,11 @@ def lineage_closure(spark, d):
     return lineage.ancestors(e, starts)
 
 
+def order_lineage(spark, d):
+    o = _t(spark, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("child"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("parent"))
+    return lineage.ancestors(_edges(spark, d).unionByName(o), o.select(F.col("child").alias("node")).distinct())
+
+
 def lineage_chain(spark, d):
     e = _edges(spark, d)
     hops = e.groupBy("child").agg(F.min("parent").alias("next")).select(F.col("child").alias("entity"), F.concat(F.lit("made-"), F.col("child")).alias("activity"), "next")
@@ -312,8 +369,8 @@ def budget_admission(spark, d):
 
 ALL = [
     quarter_hour_counts, season_rollup, day_classes, day_classes_intersection, window_membership, membership_conventions, year_mask, dst_days,
-    latest_version, snapshot_diff, version_drift, coverage_gaps, overlaps_duplicates, daily_cap, grid_sanity, cross_channel, unmapped_labels,
+    latest_version, snapshot_diff, version_drift, coverage_gaps, overlaps_duplicates, daily_cap, grid_sanity, finding_stages, document_rules, label_rules, name_ids, cross_channel, unmapped_labels,
     wilson_rates, majority_reading, verdict_ladder, document_summary, status_derivation, precision_recall, cost_rollup, content_dedupe,
-    text_layer_health, page_text_health, match_key_text, clock_texts, json_shred, quote_grounding_exact, quote_grounding_fuzzy, lineage_closure, lineage_chain,
+    text_layer_health, page_text_health, match_key_text, match_key_full, clock_texts, json_shred, quote_grounding_exact, quote_grounding_fuzzy, lineage_closure, order_lineage, lineage_chain,
     orphan_check, revision_current, stream_quarter_hours, holiday_calendar, budget_admission,
 ]
