@@ -29,10 +29,13 @@ ANCHOR, SHORT_QUOTES = 3, 4096
 FEW_ROWS = 200_000
 
 
-def _anchors(words: Column) -> Column:
-    """Hashes of all runs of ANCHOR words; none for fewer."""
-    n = F.size(words)
-    return F.when(n >= ANCHOR, F.transform(F.sequence(F.lit(1), F.greatest(n - (ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, ANCHOR)))).otherwise(F.array().cast("array<bigint>"))
+def _anchored(df: DataFrame, text: Column) -> DataFrame:
+    """df with _a, hashes of all runs of ANCHOR words of a text; a row each, none for fewer words."""
+    df = df.withColumn("_h", F.transform(F.split(text, " "), lambda w: F.xxhash64(w)))
+    n = F.size("_h")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(n - ANCHOR, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(ANCHOR)]))
+    # An inner explode would be given a filter on the array, which is pushed down and makes all of it anew for each word.
+    return df.withColumn("_a", F.when(n >= ANCHOR, F.array_distinct(runs))).drop("_h").withColumn("_a", F.explode_outer("_a"))
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -48,21 +51,21 @@ def ground_exact(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     are searched for in all pages in blocks.
     """
     q = cut(quotes.select("quote_id", plain_key(F.col("quote")).alias("_q")).where("_q <> ''"))
-    inner = F.split(F.regexp_replace("_q", r"^\S*\s?|\s?\S*$", ""), " ")
-    runs = cut(q.select("quote_id", "_q", F.explode(F.array_distinct(_anchors(inner))).alias("_a")))
+    runs = cut(_anchored(q, F.regexp_replace("_q", r"^\S*\s?|\s?\S*$", ""))).where("_a IS NOT NULL")
     asked = _sent(runs.select("_a").distinct())
-    p = pages.select("page_id", plain_key(F.col("text")).alias("_t")).withColumn("_p", F.xxhash64("page_id", "_t"))
-    hits = cut(p.select("_p", F.explode(F.array_distinct(_anchors(F.split("_t", " ")))).alias("_a")).join(asked, "_a").distinct())
+    p = pages.select("page_id", "text", F.xxhash64("page_id", "text").alias("_p"))
+    text = plain_key(F.col("text"))
+    hits = cut(_anchored(p.select("_p", text.alias("_t")), F.col("_t")).select("_p", "_a").join(asked, "_a").distinct())
     often = hits.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"))
     known = runs.join(_sent(often), "_a", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rare = cut(known.groupBy("quote_id", "_q").agg(F.min(F.struct("_n", "_a")).alias("_r")).where("_r._n > 0").select("quote_id", "_q", F.col("_r._a").alias("_a")))
     pairs = cut(hits.join(rare, "_a").select("_p", "quote_id", "_q"))
-    found = p.join(_sent(pairs), "_p").where(F.contains(F.col("_t"), F.col("_q"))).select("quote_id", "page_id")
+    found = p.join(_sent(pairs), "_p").where(F.contains(text, F.col("_q"))).select("quote_id", "page_id")  # only these are keyed again
     short = cut(q.join(runs.select("quote_id").distinct(), "quote_id", "left_anti").withColumn("_block", F.pmod(F.xxhash64("quote_id", "_q"), F.lit(1 << 30))))
     blocks = -(-short.count() // SHORT_QUOTES)
     for i in range(blocks):
         some = short.where(F.col("_block") % blocks == i).select("quote_id", "_q")
-        found = found.unionByName(p.join(F.broadcast(some), F.contains(F.col("_t"), F.col("_q"))).select("quote_id", "page_id"))
+        found = found.unionByName(p.select("page_id", text.alias("_t")).join(F.broadcast(some), F.contains(F.col("_t"), F.col("_q"))).select("quote_id", "page_id"))
     return found
 
 
