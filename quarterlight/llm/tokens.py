@@ -21,6 +21,33 @@ _PIECE = rf"{_WORD}++(?={_MARK}|{_BLANK}|\Z)|{_MARK}++(?={_WORD}|{_BLANK}|\Z)|{_
 KEPT, LATER, LONG = 500_000, 150_000, 48
 
 
+def _byte_letters() -> list[str]:
+    """The characters by which byte-level models spell the 256 bytes: printable ones stand for themselves, the others follow from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (chr(0x100 + i) for i in range(256))
+    return [chr(b) if b in printable else next(others) for b in range(256)]
+
+
+class _Pieces(dict):
+    """Ids of pieces; a missing one is encoded and, if it is short, remembered: the first ones for good, later ones for a while."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.later = encode, []
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= LONG:
+            if len(self) >= KEPT:
+                if len(self.later) >= LATER:
+                    for old in self.later:
+                        del self[old]
+                    self.later.clear()
+                self.later.append(piece)
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Gives each text's ids as little-endian unsigned 32-bit integers.
 
@@ -32,7 +59,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
@@ -40,18 +67,17 @@ class Encoder:
             said = json.load(f)
         pre, norm = said.get("pre_tokenizer") or {}, said.get("normalizer") or {}
         self.words = None
-        # Latin letters alone, or after one space, are one word to both kinds: for them the patterns can be left out.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Latin letters alone, or after one space, are one word to both kinds: these go to the library's model as they are.
+        self.model, self.lower = self.tokenizer.model, False
+        self.spelling = dict(enumerate(_byte_letters()))
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
             self.words = re.compile(f" ?{_WORD}++(?=[ .,])|{_BLANK}*(?:{_PIECE})|{_BLANK}+").findall
             self.lone = re.compile(f" ?[{_LETTERS}]+").fullmatch
         elif pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("type") == "Split" and pre["pretokenizers"][0].get("invert") and {n["type"] for n in norm.get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"}:
             self.words = re.compile(_PIECE).findall
-            self.letters.normalizer = normalizers.Lowercase()
+            self.lower = True
             self.lone = re.compile(f"[{_LETTERS}]+").fullmatch
-        self.known: dict[str, bytes] = {}
-        self.later: list[str] = []
+        self.known = _Pieces(self._piece)
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -65,30 +91,15 @@ class Encoder:
             found += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         return found
 
-    def _pieces(self, new: list[str]) -> dict[str, bytes]:
-        lone = [w for w in new if self.lone(w)]
-        found = dict(zip(lone, self._ids(self.letters, lone), strict=True))
-        rest = [w for w in new if w not in found]
-        found.update(zip(rest, self._ids(self.tokenizer, rest), strict=True))
-        return found
+    def _piece(self, piece: str) -> bytes:
+        if not self.lone(piece):
+            return self._ids(self.tokenizer, [piece])[0]
+        spelt = (piece.lower() if self.lower else piece).encode().decode("latin-1").translate(self.spelling)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         if self.words is None:
             return self._ids(self.tokenizer, texts)
-        known, later = self.known, self.later
-        if len(later) > LATER:
-            for w in later:
-                del known[w]
-            later.clear()
-        parted = [self.words(t) for t in texts]
-        new = [w for w in set().union(*parted) if w not in known]
-        if new:
-            if len(known) >= KEPT:
-                later += [w for w in new if len(w) <= LONG]
-            known.update(self._pieces(new))
-        found = [b"".join(map(known.__getitem__, p)) for p in parted]
-        for w in new:
-            if len(w) > LONG:
-                del known[w]
-        return found
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self.words(t))) for t in texts]

@@ -307,3 +307,12 @@ def test_long_pieces_are_not_kept():
     e = Encoder(BYTE)
     e.encode(["x" * 10_000 + " short", "y" * 100])
     assert all(len(w) <= 48 for w in e.known) and any("short" in w for w in e.known)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_latin_letter_is_spelt_as_the_library_does(path):
+    plain = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x41, 0x250)]
+    texts = letters + [f"un{c} {c}{c.upper()}s" for c in letters] + ["".join(letters)]
+    got = Encoder(path).encode(texts)
+    assert all(list(np.frombuffer(g, "<u4")) == e.ids for g, e in zip(got, plain.encode_batch(texts, add_special_tokens=False), strict=True))
