@@ -207,4 +207,26 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC)
     out["holiday_calendar"] = f"SELECT strftime(d, '%Y-%m-%d') AS date, n AS name, s AS certain FROM (VALUES {_holidays(2023, 2026, False)}) v(d, n, s)"
     out["budget_admission"] = """SELECT day, count(*) FILTER (run <= 100000) AS admitted, count(*) AS asked FROM (SELECT strftime(ts, '%Y-%m-%d') AS day,
 sum(CAST(round(abs(value) * 100) AS BIGINT)) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS run FROM events) GROUP BY 1"""
+    defined = "'Der Zeitstempel ' || h || ':15 Uhr definiert den Zeitraum von ' || s || ' Uhr bis ' || h || ':15 Uhr.'"
+    mapped = "'Ein Fenster von ' || h || ':00 Uhr bis 23:30 Uhr entspricht den Zeitstempeln von ' || h || ':15 bis 23:30.'"
+    listed = "'Die angegebenen Viertelstunden sind Zeitstempel.'"
+    out["convention_rules"] = rf"""WITH p AS (SELECT p_partkey AS k, p_size AS z, p_name, p_brand, CAST(10 + p_size % 10 AS VARCHAR) AS h, CASE WHEN p_size % 7 = 0 THEN '01:00' ELSE CAST(10 + p_size % 10 AS VARCHAR) || ':00' END AS s FROM part),
+pages AS (SELECT k, 1 AS page, concat_ws(' ', p_name, CASE WHEN z % 2 = 0 THEN {defined} END) AS t FROM p
+UNION ALL SELECT k, 2, concat_ws(' ', CASE WHEN z % 3 = 0 THEN {listed} END, CASE WHEN z % 3 = 0 THEN {defined} END, CASE WHEN k % 7 < 3 THEN {mapped} END) FROM p),
+r AS (SELECT k, 1 + k % 2 AS page, p_brand, k % 4 IN (1, 2) AND k % 3 > 0 AS example, h || ':00' AS a, h || CASE WHEN k % 5 < 3 THEN ':15' ELSE ':00' END AS b,
+CASE WHEN k % 4 = 0 THEN 'interval_start' WHEN k % 4 = 3 THEN 'assumed' WHEN k % 3 = 0 THEN 'interval_end_ambiguous' WHEN k % 5 < 3 THEN 'interval_end_physical' ELSE 'interval_end_labels' END AS was FROM p),
+said AS (SELECT *, regexp_extract(t, 'Zeitstempel (\d\d):15 Uhr definiert den Zeitraum von (\d\d):00 Uhr bis (\d\d):15 Uhr', ['x', 'y', 'z']) AS d FROM pages),
+first AS (SELECT r.k, arg_min(said.page, CASE WHEN said.page = r.page THEN 0 ELSE said.page END) AS page, arg_min(t, CASE WHEN said.page = r.page THEN 0 ELSE said.page END) AS t
+FROM r JOIN said ON said.k = r.k WHERE d.x <> '' AND d.x = d.y AND d.x = d.z GROUP BY r.k),
+maps AS (SELECT r.k, bool_or(regexp_matches(t, a || ' Uhr bis [0-9:]+ Uhr.*Zeitstempeln von ' || b || ' bis ')) AS maps FROM r JOIN said ON said.k = r.k GROUP BY r.k),
+j AS (SELECT r.*, maps, coalesce(contains(f.t, {listed}), false) AS told, f.page AS new_page, f.t FROM r JOIN maps USING (k) LEFT JOIN first f USING (k)),
+c AS (SELECT *, CASE WHEN was = 'interval_start' OR (example AND maps) THEN was WHEN told THEN 'interval_end_labels' WHEN example THEN 'interval_end_ambiguous' ELSE was END AS now FROM j)
+SELECT k AS document_id, was, now AS convention, CAST(CASE WHEN now <> was AND told THEN new_page ELSE page END AS INTEGER) AS page,
+CASE WHEN now <> was AND told THEN {listed} || ' ' || regexp_extract(t, 'Der Zeitstempel [^.]*\.') ELSE p_brand END AS quote, CASE WHEN now = was THEN NULL WHEN example THEN 'warning' ELSE 'info' END AS severity FROM c"""
+    out["rule_values"] = """WITH p AS (SELECT p_partkey AS k, p_size AS z, p_brand, replace(CAST(CAST(floor(p_retailprice * 100) AS BIGINT) AS VARCHAR), '7', '.') AS money FROM part),
+q AS (SELECT *, TRY_CAST(money AS DOUBLE) AS number, ['working_day', 'off_peak', 'off_peak_max_one', 'off_peak_max_one_per_week'][z % 4 + 1] AS b FROM p)
+SELECT k AS document_id, 'de_minimis_eur' AS kind, CAST(NULL AS VARCHAR) AS value, number, number IS NOT NULL AS resolved, number IS NULL AS has_problem FROM q WHERE k % 4 = 0
+UNION ALL SELECT k, 'bridge_days', CASE WHEN z % 3 > 0 THEN b ELSE p_brand END, NULL, z % 3 > 0 AND z % 4 < 2, z % 3 = 0 FROM q WHERE k % 4 = 1
+UNION ALL SELECT k, 'workdays_only', CASE WHEN z % 3 > 0 AND z % 2 = 0 THEN 'false' ELSE 'true' END, NULL, true, false FROM q WHERE k % 4 = 2
+UNION ALL SELECT k, 'christmas_period', NULL, NULL, z % 3 > 0, z % 3 = 0 FROM q WHERE k % 4 = 3"""
     return {k: v for k, v in out.items() if v}

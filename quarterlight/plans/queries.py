@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import names
 from ..functions.clock import floor_quarter, minute_of_day, season_of
 from ..functions.text import content_hash, map_level, map_season, match_key, parse_time, plain_key, text_health, time_ranges_in, times_in
-from ..operators import attribution, compare, grounding, lineage, quality, revisions
+from ..operators import attribution, compare, grounding, lineage, normalize, quality, revisions
 from ..operators.calendar import DayRules, classify_days, holiday_days
 from ..operators.membership import answer, evaluate, mask, quarter_hours
 
@@ -179,6 +179,43 @@ def label_rules(spark, d):
     return _tally(quality.union([quality.label_findings(raw), quality.empty_cell_findings(raw.where("_size % 2 = 0")), quality.rule_findings(rules), quality.anomaly_findings(notes)]))
 
 
+#: What pages say of time stamps; {0}: an hour, {1}: the start of what a stamp is said to stand for.
+SAID = (
+    "Der Zeitstempel {0}:15 Uhr definiert den Zeitraum von {1} Uhr bis {0}:15 Uhr.",
+    "Die angegebenen Viertelstunden sind Zeitstempel.",
+    "Ein Fenster von {0}:00 Uhr bis 23:30 Uhr entspricht den Zeitstempeln von {0}:15 bis 23:30.",
+)
+
+
+def convention_rules(spark, d):
+    # Parts stand for documents of two pages each and for what was read in them.
+    p, k, size = _t(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    hour = (10 + size % 10).cast("string")
+    start = F.when(size % 7 == 0, F.lit("01:00")).otherwise(F.concat(hour, F.lit(":00")))
+    says = lambda i: F.replace(F.replace(F.lit(SAID[i]), F.lit("{0}"), hour), F.lit("{1}"), start)
+    readings = p.select(
+        k.alias("document_id"), F.element_at(F.array(*map(F.lit, ("start", "end", "end", "unstated"))), (k % 4 + 1).cast("int")).alias("meter_label"), F.when(k % 3 > 0, F.concat(hour, F.lit(":00"))).alias("listed_start"),
+        F.concat(hour, F.when(k % 5 < 3, ":15").otherwise(":00")).alias("first_timestamp"), (k % 2 + 1).cast("int").alias("page"), F.col("p_brand").alias("quote"),
+    )
+    one = F.concat_ws(" ", "p_name", F.when(size % 2 == 0, says(0)))
+    two = F.concat_ws(" ", F.when(size % 3 == 0, F.concat_ws(" ", says(1), says(0))), F.when(k % 7 < 3, says(2)))
+    pages = p.select(k.alias("document_id"), F.posexplode(F.array(one, two)).alias("_at", "text")).withColumn("page", F.col("_at") + 1)
+    return normalize.resolve_conventions(readings, pages)
+
+
+def rule_values(spark, d):
+    # Prices, brands and sizes stand for values of rules.
+    p, k, size = _t(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    bridge = F.element_at(F.array(*map(F.lit, normalize.BRIDGE)), (size % 4 + 1).cast("int"))
+    money = F.concat(F.lit('"'), F.replace((F.col("p_retailprice") * 100).cast("long").cast("string"), F.lit("7"), F.lit(",")), F.lit(' €"'))
+    kinds = [("de_minimis_eur", money), ("bridge_days", F.concat(F.lit('"'), F.when(size % 3 > 0, bridge).otherwise(F.col("p_brand")), F.lit('"'))), ("workdays_only", F.when(size % 3 > 0, F.when(size % 2 == 0, "false").otherwise("true"))), ("christmas_period", F.when(size % 3 > 0, F.lit('{"from": "12-24", "to": "01-01"}')).otherwise("7"))]
+    rules = p.select(k.alias("document_id"), F.element_at(F.array(*[F.struct(F.lit(n).alias("kind"), v.alias("value")) for n, v in kinds]), (k % 4 + 1).cast("int")).alias("_r")).select("document_id", "_r.*")
+    told = rules.withColumn("_t", normalize.rule_value(F.col("kind"), F.col("value")))
+    text = F.when(F.col("kind").isin("bridge_days", "workdays_only"), F.col("_t.value"))
+    number = F.when(F.col("kind") == "de_minimis_eur", F.col("_t.value").try_cast("double"))
+    return told.select("document_id", "kind", text.alias("value"), number.alias("number"), "_t.resolved", F.col("_t.problem").isNotNull().alias("has_problem"))
+
+
 #: Names as operators print them, before a supplier's own.
 PRINTED = ("Stadtwerke Fürth Netz GmbH & Co. KG", "N-ERGIE Netz GmbH", "Überlandwerk Groß-Gerau AG", "E-Werk und Söhne")
 
@@ -369,7 +406,7 @@ def budget_admission(spark, d):
 
 ALL = [
     quarter_hour_counts, season_rollup, day_classes, day_classes_intersection, window_membership, membership_conventions, year_mask, dst_days,
-    latest_version, snapshot_diff, version_drift, coverage_gaps, overlaps_duplicates, daily_cap, grid_sanity, finding_stages, document_rules, label_rules, name_ids, cross_channel, unmapped_labels,
+    latest_version, snapshot_diff, version_drift, coverage_gaps, overlaps_duplicates, daily_cap, grid_sanity, finding_stages, document_rules, label_rules, convention_rules, rule_values, name_ids, cross_channel, unmapped_labels,
     wilson_rates, majority_reading, verdict_ladder, document_summary, status_derivation, precision_recall, cost_rollup, content_dedupe,
     text_layer_health, page_text_health, match_key_text, match_key_full, clock_texts, json_shred, quote_grounding_exact, quote_grounding_fuzzy, lineage_closure, order_lineage, lineage_chain,
     orphan_check, revision_current, stream_quarter_hours, holiday_calendar, budget_admission,
