@@ -162,17 +162,18 @@ def slots(runs: list[tuple[int, list[int]]]):
     return np.array(sorted(found), np.int64).reshape(-1, 3).T.copy()
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, keep_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every row of docs (doc_id, text).
 
-    Ids of the whole text (null: none) and the end id; more than `size` of them are cut every `size`.
+    Ids of the whole text (null: none) and the end id; more than `size` of them are cut every `size`. A special
+    token's string in a text gives its id, or with special_as_text is text like any other.
     """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        encoder, end, most = Encoder.at(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * size
+        encoder, end, most = Encoder.at(tokenizer, special_as_text), np.array([end_id], "<u4").tobytes(), 4 * size
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
         for b in batches:
             for i in range(0, b.num_rows, SLICE):

@@ -23,12 +23,12 @@ OPTIONS = {
 }
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID) -> str:
+def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, special_as_text: bool = False) -> str:
     """Writes doc_id, file, row_in_file and ids of each row of docs (doc_id, text) in ascending doc_id order; gives the folder.
 
     Files hold successive ranges of doc_id, null first, each ascending; rows of one doc_id stand in order of
     their texts' hashes, and where they are many (all without one) they may go on in the next file. A null text has only
-    the end id. Texts are dealt by range once, before they are encoded, and each range is encoded in a stream into its file.
+    the end id. A special token's string in a text gives its id, or with special_as_text is text like any other. Texts are dealt by range once, before they are encoded, and each range is encoded in a stream into its file.
     """
     path = path or scratch(docs.sparkSession, "token-ids")
 
@@ -38,7 +38,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
 
         from pyspark import TaskContext
 
-        encoder, row, end, file = Encoder.at(tokenizer), 0, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        encoder, row, end, file = Encoder.at(tokenizer, special_as_text), 0, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)

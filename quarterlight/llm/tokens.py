@@ -55,16 +55,22 @@ class Encoder:
     at the start of the next word, word-end ones drop it. Nor do they join a word and the marks after it. For
     these a text is the sequence of such pieces, so each is encoded once and remembered: the first ones, which
     the common words are among, for good, later ones for a while. Any other tokenizer encodes whole texts.
+
+    The string of an added token (as <|endoftext|>) in a text gives that token's id, as the library does unless told
+    otherwise; with special_as_text such a string is encoded as any other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is text
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path) as f:
             said = json.load(f)
+        # Added tokens may stand across pieces: texts that hold one, in any case, are encoded whole.
+        added = [t["content"] for t in said.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
+        self.added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda text: None
         pre, norm = said.get("pre_tokenizer") or {}, said.get("normalizer") or {}
         self.words = None
         # Latin letters alone, or after one space, are one word to both kinds: these go to the library's model as they are.
@@ -80,8 +86,8 @@ class Encoder:
         self.known = _Pieces(self._piece)
 
     @classmethod
-    def at(cls, path: str) -> "Encoder":
-        return once(path, lambda: cls(path))
+    def at(cls, path: str, special_as_text: bool = False) -> "Encoder":
+        return once(f"{path} {special_as_text}", lambda: cls(path, special_as_text))
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[bytes]:
@@ -102,4 +108,4 @@ class Encoder:
         if self.words is None:
             return self._ids(self.tokenizer, texts)
         ids = self.known.__getitem__
-        return [b"".join(map(ids, self.words(t))) for t in texts]
+        return [self._ids(self.tokenizer, [t])[0] if self.added(t) else b"".join(map(ids, self.words(t))) for t in texts]

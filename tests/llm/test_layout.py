@@ -43,14 +43,17 @@ def test_shards_of_odd_rows(spark, docs):
     assert back.count() == 4
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize("path", [BYTE, WORD])
-def test_cached_encoding_is_the_library_s(path):
+def test_cached_encoding_is_the_library_s(path, as_text):
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    if as_text:
+        plain.encode_special_tokens = True
     rng = np.random.default_rng(4)
     letters = list("İabç Z'sé \u0301\n\t  \x1c\x85!?1٣Σς.，中\u3000\r\u200b\U0001f600_*#|'d12-×—|<>")
-    texts = ["".join(rng.choice(letters, int(rng.integers(0, 40)))) for _ in range(5000)] + ["<|endoftext|> a<|endoftext|>", "", "don't we'll I'M", "x" * 3000]
-    got = Encoder(path).encode(texts)
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 40)))) for _ in range(5000)] + ["<|endoftext|> a<|endoftext|>", "hello <|endoftext|> x", "", "don't we'll I'M", "x" * 3000]
+    texts += [str(rng.choice(["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "<|endoftext|"])).join(texts[i : i + 3]) for i in range(0, 3000, 3)]
+    got = Encoder(path, as_text).encode(texts)
     assert all(list(np.frombuffer(g, "<u4")) == e.ids for g, e in zip(got, plain.encode_batch(texts, add_special_tokens=False), strict=True))
 
 
