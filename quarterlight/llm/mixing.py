@@ -169,12 +169,14 @@ def mix(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     small = sources.select(F.col("source").alias("_s"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_r"))
     side = F.broadcast(small) if small.count() <= BROADCAST_KEYS else small
     rated = rows.join(side, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    drawn = rated.select(F.col("doc_id").alias("_id"), "source", "size", (F.col("_r") - F.floor("_r")).alias("pi"), F.xxhash64("doc_id", "size", F.lit(SEED)).alias("_order"), "source_size", "target", F.floor("_r").alias("_times"))
-    found = balanced_sample(drawn)
-    # Rows that are alike share their hits: a number tells them apart.
-    side = found.groupBy("_id", "source", "size").agg(F.sum(F.round("pi").cast("long")).alias("_hits"))
-    again = drawn.groupBy("_id", "source", "size", "source_size", "target", "_times").agg(F.count(F.lit(1)).alias("_n"))
-    met = again.join(side.select(F.col("_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_hits"), F.col("_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    # Rows that are alike are drawn as one: all but a fraction of one of their hits is certain, so no number of copies makes a chunk large.
+    alike = cut(rated.groupBy(F.col("doc_id").alias("_id"), "source", "size", "source_size", "target", "_r").agg(F.count(F.lit(1)).alias("_n")))
+    part = F.col("_n") * (F.col("_r") - F.floor("_r"))
+    drawn = alike.withColumn("pi", part - F.floor(part)).withColumn("_sure", F.floor(part)).withColumn("_times", F.floor("_r"))
+    found = balanced_sample(drawn.withColumn("_order", F.xxhash64("_id", "size", F.lit(SEED))))
+    side = found.select(F.col("_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.round("pi").cast("long").alias("_drawn"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
+    met = drawn.join(side, same).withColumn("_hits", F.col("_sure") + F.col("_drawn"))
     each = met.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     taken = F.col("size") * (F.col("_times") + F.when(F.col("_k") <= F.col("_hits"), 1).otherwise(0))
     return each.select(F.col("_id").alias("doc_id"), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("_times") + F.when(F.col("_k") <= F.col("_hits"), 1).otherwise(0)).cast("int").alias("times"))

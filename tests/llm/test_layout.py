@@ -319,3 +319,16 @@ def test_every_latin_letter_is_spelt_as_the_library_does(path):
     texts = letters + [f"un{c} {c}{c.upper()}s" for c in letters] + ["".join(letters)]
     got = Encoder(path).encode(texts)
     assert all(list(np.frombuffer(g, "<u4")) == e.ids for g, e in zip(got, plain.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_rows_alike_are_drawn_as_one(spark, monkeypatch):
+    """Rows without id of one size are one row of the flight, however many they are."""
+    seen = []
+    sample = mixing.balanced_sample
+    monkeypatch.setattr(mixing, "balanced_sample", lambda rows: (seen.append(rows.count()), sample(rows))[1])
+    rows = [(None, "a", 10)] * 9000 + [(None, "a", None)] * 50 + [(i, "b", 7) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    assert len(got) == len(rows) and seen == [302]
+    by = got.groupby("source").agg({"taken": "sum", "target": "first"})
+    assert (by["taken"] - by["target"]).abs().max() <= 10
+    assert (got["taken"] <= 2 * got["size"]).all()
