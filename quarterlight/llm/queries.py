@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .divergence import ORACLE as DIVERGENCE_ORACLE
+from .divergence import op13_source_divergence
 from .html_text import op3_html_extraction
 from .lexical import ORACLE as LEXICAL_ORACLE
 from .lexical import op11_lexical_search
@@ -19,9 +21,9 @@ from .url_filter import op8_url_filters
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_sharding, op3_html_extraction, op4_exact_topk, op5_best_fit_packing, op6_lm_scoring, op7_mixing, op8_url_filters, op9_token_files, op10_quality_rules, op11_lexical_search]
+    found = [op1_simhash, op2_sharding, op3_html_extraction, op4_exact_topk, op5_best_fit_packing, op6_lm_scoring, op7_mixing, op8_url_filters, op9_token_files, op10_quality_rules, op11_lexical_search, op13_source_divergence]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": TOPK_ORACLE, "op8_url_filters": URL_ORACLE, "op11_lexical_search": LEXICAL_ORACLE}
+    return {"op4_exact_topk": TOPK_ORACLE, "op8_url_filters": URL_ORACLE, "op11_lexical_search": LEXICAL_ORACLE, "op13_source_divergence": DIVERGENCE_ORACLE}
