@@ -10,6 +10,7 @@ from .lexical import op11_lexical_search
 from .mixing import op7_mixing
 from .ngram import op6_lm_scoring
 from .packing import op5_best_fit_packing
+from .pieces import op12_pieces
 from .quality import op10_quality_rules
 from .sharding import op2_sharding
 from .simhash import op1_simhash
@@ -21,7 +22,7 @@ from .url_filter import op8_url_filters
 
 
 def queries() -> dict:
-    found = [op1_simhash, op2_sharding, op3_html_extraction, op4_exact_topk, op5_best_fit_packing, op6_lm_scoring, op7_mixing, op8_url_filters, op9_token_files, op10_quality_rules, op11_lexical_search, op13_source_divergence]
+    found = [op1_simhash, op2_sharding, op3_html_extraction, op4_exact_topk, op5_best_fit_packing, op6_lm_scoring, op7_mixing, op8_url_filters, op9_token_files, op10_quality_rules, op11_lexical_search, op12_pieces, op13_source_divergence]
     return {f.__name__: f for f in found}
 
 
