@@ -3,15 +3,16 @@
 The standard library's parser streams a page's events once. Each block (a line here) gets the ratio of its text
 to its tags; blocks in containers that say that they are menus, headers, adverts and the like have ratio zero.
 The smoothed ratios that reach the threshold are content lines, their runs the clusters. The clusters choose the region:
-the article or main elements that hold content lines, if these hold most of the clusters' text, else the deepest
-element with nearly all of it. A chosen article is output whole, but for what such containers hold; in any other
-region the lines from the first cluster to the last are, with the headings right before.
+the heaviest article or main element, with those that stand beside it as its equals, if these hold most of the clusters' text, else the
+deepest element with nearly all of it. A chosen article is output whole, but for what such containers hold; of any other
+region the lines that run with the clusters are, short ones too, from its heading on, but for menus.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,14 +47,22 @@ REPLIES = frozenset("comment comments reply replies respond discussion disqus".s
 #: Inside an article these words take out running text too, and the weak ones nothing: its own header and its boxes are its text.
 STRONG = REPLIES | frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies newsletter".split())
 WEAK = frozenset("header masthead alert notification disclaimer".split())
-#: How short lines at the edges of a region without an article element ask for something, instead of telling.
+#: How lines at the edges of a region without an article element ask for something; one that ends as a sentence does stays whatever it says.
 ASKING = re.compile(r"(subscribe|sign up|sign in|log in|follow us|share (this|on)|read more|click here|all rights reserved|copyright|\u00a9|related (posts|articles)|you may also|leave a (comment|reply)|accept (all )?cookies)\b", re.I)
+SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f][\"'\u00bb\u201d\u2019)\]]*$")
+#: Holders that a text runs through: what stands in them runs with what is around them.
+RUNNING = frozenset("ul ol dl blockquote figure details".split()) | TEXTS
 SIGMA, REACH = 1.0, 2
 #: Shares of the clusters' text: that a region must hold, and that article elements must hold to be the region.
 WHOLE, MOST = 0.85, 0.5
 SLICE = 64
 _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+_TAG = re.compile(r"[A-Za-z][^\s/>]*")
+#: The next end of a tag, or attribute with its value; a quote that is never closed is part of a name.
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:(>)|(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?|=)""")
+_COMMENT_END = re.compile(r"--!?>")
+_LONG_NUMBER = re.compile(r"&#([0-9]{8,})")
 
 
 def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool = False) -> bool:
@@ -78,13 +87,75 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]], inside: bool = False)
     return False
 
 
-class _Blocks(HTMLParser):
+class _Events(HTMLParser):
+    """The parser's events of any text, in time in proportion to its length, for texts that are fed whole.
+
+    Markup that never ends (a comment, tag or declaration without its >) takes the rest of the page with it, as in browsers, so nothing
+    is looked at again; declarations of any kind are skipped; a comment also ends at --!>.
+    """
+
+    def parse_starttag(self, i):
+        raw = self.rawdata
+        at = (name := _TAG.match(raw, i + 1)).end()
+        attrs = []
+        while m := _ATTRIBUTE.match(raw, at):
+            at = m.end()
+            if m[1]:
+                break
+            if m[2]:
+                value = next((v for v in m.group(3, 4, 5) if v is not None), None)
+                attrs.append((m[2].lower(), unescape(value) if value else value))
+        else:
+            return len(raw)
+        tag = name[0].lower()
+        if m[0].endswith("/>"):
+            self.handle_startendtag(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
+            if tag in self.CDATA_CONTENT_ELEMENTS:
+                self.set_cdata_mode(tag)
+        return at
+
+    def parse_endtag(self, i):
+        end = self.rawdata.find(">", i + 2)
+        if end < 0:
+            return len(self.rawdata)
+        if self.cdata_elem is not None:
+            self.handle_endtag(self.cdata_elem)
+            self.clear_cdata_mode()
+        elif name := _TAG.match(self.rawdata, i + 2):
+            self.handle_endtag(name[0].lower())
+        return end + 1
+
+    def parse_comment(self, i, report=True):
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.index(">", i) + 1
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def _skip(self, i):
+        end = self.rawdata.find(">", i + 2)
+        return len(self.rawdata) if end < 0 else end + 1
+
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        if self.rawdata.startswith("<![CDATA[", i):
+            end = self.rawdata.find("]]>", i)
+            return len(self.rawdata) if end < 0 else end + 3
+        return self._skip(i)
+
+    parse_pi = _skip
+
+
+class _Blocks(_Events):
     """Blocks as (text, tags, linked characters, number of the holder, outside, heading); work is constant for each event."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.holders: list[tuple[str, int, bool, bool]] = []  # tag, its number, unseen, outside
         self.open: dict[str, int] = {}  # holders by tag
+        self.tag: list[str] = []  # by number
         self.own: list[bool] = []  # by number: article or main
         self.inside: list[bool] = []  # by number: in such an element, or one itself
         self.parent: list[int] = []
@@ -144,6 +215,7 @@ class _Blocks(HTMLParser):
         own_header = tag == "header" and within
         outside = outside or tag in OUTSIDE or tag == "header" and not own_header or not own_header and _marked(tag, attrs, within)
         own = (tag in OWN or any(n == "role" and v in OWN for n, v in attrs)) and not outside
+        self.tag.append(tag)
         self.own.append(own)
         self.inside.append(own or within)
         self.parent.append(up)
@@ -203,19 +275,93 @@ def _content_lines(ratios: list[float]) -> list[bool]:
     return [s >= threshold and r > 0 for s, r in zip(smooth, ratios, strict=True)]
 
 
-def _region(page: _Blocks, content: list[bool]) -> tuple[set[int], bool]:
-    """The holders (numbers, -1 for the page) that the clusters choose, and whether these are article elements."""
-    mass = [0] * (len(page.own) + 1)  # the last is the page's
+def _mass(page: _Blocks, content: list[bool]) -> list[int]:
+    """By number, the clusters' characters inside each element; the last is the page's."""
+    mass = [0] * (len(page.own) + 1)
     for block, is_content in zip(page.blocks, content, strict=True):
         mass[block[3]] += len(block[0]) * is_content
-    total = sum(mass)
+    whole = sum(mass)
     for k in range(len(page.own) - 1, -1, -1):  # holders stand after those around them
         mass[page.parent[k]] += mass[k]
-    own = {k for k, is_own in enumerate(page.own) if is_own and mass[k]}
-    outermost = [k for k in own if page.parent[k] < 0 or not page.inside[page.parent[k]]]
-    if own and sum(mass[k] for k in outermost) >= MOST * total:
-        return own, True
-    return {max((k for k in range(len(page.own)) if mass[k] >= WHOLE * total), default=-1)}, False
+    mass[-1] = whole
+    return mass
+
+
+def _region(page: _Blocks, content: list[bool]) -> tuple[set[int], bool]:
+    """The holders (numbers, -1 for the page) that the clusters choose, and whether these are article elements."""
+    mass = _mass(page, content)
+    outermost = [k for k, is_own in enumerate(page.own) if is_own and mass[k] and (page.parent[k] < 0 or not page.inside[page.parent[k]])]
+    if outermost and sum(mass[k] for k in outermost) >= MOST * mass[-1]:
+        first = max(outermost, key=lambda k: mass[k])
+        named = _named(page, content)
+        return {k for k in outermost if k == first or not _is_teaser(page, mass, named, k, first, mass[first], page.parent[first])}, True
+    return {max((k for k in range(len(page.own)) if mass[k] >= WHOLE * mass[-1]), default=-1)}, False
+
+
+def _is_teaser(page: _Blocks, mass: list[int], named: list[bool], k: int, first: int, heavy: int, beside: int) -> bool:
+    """Whether a light article's title is a link, or it follows the heavy one (element `first`) in another holder than `beside`."""
+    return 2 * mass[k] < heavy and (not named[k] and named[first] or k > first and page.parent[k] != beside)
+
+
+def _teasers(page: _Blocks, content: list[bool]) -> set[int]:
+    """Articles in a chosen one that are other stories' teasers, held against the heaviest there or the text around them."""
+    mass, named = _mass(page, content), _named(page, content)
+    around, nested = [-1] * len(page.own), {}
+    for k, up in enumerate(page.parent):
+        around[k] = up if up >= 0 and page.own[up] else around[up] if up >= 0 else -1
+        if page.own[k] and around[k] >= 0:
+            nested.setdefault(around[k], []).append(k)
+    found = set()
+    for outer, inner in nested.items():
+        first = max(inner, key=lambda k: mass[k])
+        lone = mass[outer] - sum(mass[k] for k in inner)
+        told = (outer, lone, outer) if lone >= mass[first] else (first, mass[first], page.parent[first])
+        found |= {k for k in inner if k != told[0] and _is_teaser(page, mass, named, k, *told)}
+    return found
+
+
+def _named(page: _Blocks, content: list[bool]) -> list[bool]:
+    """By number, whether the first heading in the element is no link but a content line (or there is none)."""
+    found: list[bool | None] = [None] * len(page.own)
+    for (text, _, linked, at, _, heading), is_content in zip(page.blocks, content, strict=True):
+        while heading and at >= 0 and found[at] is None:
+            found[at] = is_content or 2 * linked <= len(text)
+            at = page.parent[at]
+    return [f is not False for f in found]
+
+
+def _running(page: _Blocks, lines: list[int], content: list[bool], chosen: set[int]) -> list[int]:
+    """The lines of a region without an article element that are its text.
+
+    A line runs with the clusters if it stands in the same holder as one of their lines, lists and the like
+    not counted as holders of their own, or between two of their lines. The text begins with the region's first heading, or else the first line that runs.
+    Links alone are text between the clusters, if something else stands in their holder, and as headings; at the edges they are
+    a menu's, as are lines that ask without being a sentence.
+    """
+    blocks, runs_with, holder = page.blocks, {}, []
+    for k, up in enumerate(page.parent):  # holders stand after those around them
+        runs_with[k] = runs_with.get(up, up) if page.tag[k] in RUNNING and k not in chosen else k
+    for i in lines:
+        holder.append(runs_with.get(blocks[i][3], -1))
+    main = {h for h, i in zip(holder, lines, strict=True) if content[i]}
+    first, last = next(k for k, i in enumerate(lines) if content[i]), next(k for k in range(len(lines) - 1, -1, -1) if content[lines[k]])
+    links = [2 * blocks[i][2] > len(blocks[i][0]) for i in lines]
+    told = {blocks[i][3] for k, i in enumerate(lines) if not links[k]}
+    begin = next((k for k in range(first) if blocks[lines[k]][5] and not links[k]), None)
+    kept = []
+    for k, i in enumerate(lines):
+        text, heading = blocks[i][0], blocks[i][5]
+        if links[k]:
+            stays = heading and k == first - 1 or first < k < last and blocks[i][3] in told
+        else:
+            stays = first <= k <= last or holder[k] in main or begin is not None and begin <= k < first
+        if stays or content[i]:
+            kept.append(k)
+    while len(kept) > 1 and kept[-1] > first and _asks(blocks[lines[kept[-1]]][0]):
+        kept.pop()
+    while len(kept) > 1 and kept[0] < last and not blocks[lines[kept[0]]][5] and _asks(blocks[lines[kept[0]]][0]):
+        kept.pop(0)
+    return [lines[k] for k in kept]
 
 
 def main_text(html: str | None) -> str:
@@ -227,7 +373,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = _Blocks()
-    page.feed(html)
+    page.feed(_LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html))  # none is that long, but they must be read as numbers
     page.close()
     page._end_block()
     blocks = page.blocks
@@ -238,24 +384,18 @@ def main_text(html: str | None) -> str:
         ratios = [0.0 if b[4] else float(len(b[0])) for b in blocks]
     content = _content_lines(ratios)
     chosen, whole = _region(page, content)
+    teasers = _teasers(page, content) if whole else ()
     within = [False] * len(page.own) + [-1 in chosen]
     for k, up in enumerate(page.parent):
-        within[k] = k in chosen or within[up]
+        within[k] = (k in chosen or within[up]) and k not in teasers
     lines = [i for i, b in enumerate(blocks) if within[b[3]] and not b[4]]
     if not whole:
-        first, last = next(k for k, i in enumerate(lines) if content[i]), next(k for k in range(len(lines) - 1, -1, -1) if content[lines[k]])
-        while last > first and _asks(blocks[lines[last]][0]):
-            last -= 1
-        while first < last and _asks(blocks[lines[first]][0]):
-            first += 1
-        while first and blocks[lines[first - 1]][5]:
-            first -= 1
-        lines = [i for i in lines[first : last + 1] if content[i] or 2 * blocks[i][2] <= len(blocks[i][0])]
+        lines = _running(page, lines, content, chosen)
     return "\n".join(blocks[i][0] for i in lines)
 
 
 def _asks(text: str) -> bool:
-    return len(text) < 120 and ASKING.match(text) is not None
+    return ASKING.match(text) is not None and SENTENCE.search(text) is None
 
 
 def extract_text(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -129,6 +129,100 @@ def test_the_threshold_chooses_the_region(monkeypatch):
     assert changed[4:7] == [True] * 3
 
 
+LONG = "".join(f"<p>{p}</p>" for p in BODY[:2])
+DEPARTURES = [
+    ("<h1>T</h1><p>One.</p><p>Two.</p><p>Three.</p><p>Four.</p>" + LONG, ["T", "One.", "Two.", "Three.", "Four.", *BODY[:2]]),
+    (f"<div class=x><h1>T</h1>{LONG}<p>Copyright law changed that year.</p></div><footer>f</footer>", ["T", *BODY[:2], "Copyright law changed that year."]),
+    (f"<div><h1>T</h1>{LONG}<ul><li>An item of text</li><li><a href=/>A linked item</a></li><li>More text</li></ul>{LONG}</div>", ["T", *BODY[:2], "An item of text", "A linked item", "More text", *BODY[:2]]),
+    (f"<main><article><h1>T</h1>{LONG}</article><section class=more-stories><article><h3>Other</h3><p>It is another story.</p></article></section></main>", ["T", *BODY[:2]]),
+    (f"<main><h1>T</h1>{LONG}<section><article><h3>Other</h3><p>It is another story.</p></article></section></main>", ["T", *BODY[:2]]),
+    (f"<article><h1>T</h1>{LONG}</article><article><h2><a href=/o>Other</a></h2><p>It is another story.</p></article>", ["T", *BODY[:2]]),
+    (f"<article><h1>T</h1>{LONG}</article><article><h1>U</h1>{LONG}</article>", ["T", *BODY[:2], "U", *BODY[:2]]),
+    (f"<div>{LONG}<p>A last short line</p><ul><li>a</li><li>b</li></ul></div><div><a href=/>x</a> <a href=/>y</a></div>", [*BODY[:2], "A last short line", "a", "b"]),
+]
+
+
+@pytest.mark.parametrize(("page", "lines"), DEPARTURES)
+def test_titles_short_lines_and_teasers(page, lines):
+    assert main_text(page) == "\n".join(lines)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>a</p><![ x", "a"),
+        ("see a[i]<![ and b", "see a[i]"),
+        ("x<![foo[ x ]]>y", "xy"),
+        ("x<![CDATA[ <p>no> ]]>y", "xy"),
+        ("<p>a<!-->b<!--->c<!-- > --!>d", "abcd"),
+        ("<p>a<!-- b", "a"),
+        ("<p>a</p><p class='b", "a"),
+        ("<p title=a'b>c</p><p title='>'>d", "c\nd"),
+        ("<p>&#" + "0" * 6000 + "65;&#" + "9" * 6000 + ";", "A\ufffd"),
+        ("<p><a href=x/>t</a><br/>u<p/>v", "t u\nv"),
+        ("<script>a</p>", ""),
+        ("<p>a < b <? pi > c </ > d </>", "a < b c d"),
+    ],
+)
+def test_markup_that_the_parser_would_refuse(page, text):
+    assert main_text(page) == text
+
+
+def test_no_page_raises():
+    rng = np.random.default_rng(11)
+    bits = ["<", ">", "<!", "<![", "<!--", "-->", "--", "<?", "</", "/>", "<a ", "<p", "<script>", "</script", "<style>", "'", '"', "=", " ", "\x00", "&#", "&#x", "&amp", ";", "99999999", "text", "<article>", "</article>", "<h1>", "<li>", "]]>", "[", "\n", "é", "<body", "<textarea>", "class=ad", "<![CDATA["]
+    for _ in range(10_000):
+        if rng.random() < 0.5:
+            page = "".join(rng.choice(bits, int(rng.integers(1, 40))))
+        else:
+            page, at = PAGE, sorted(rng.integers(0, len(PAGE), 4))
+            page = page[: at[0]] + str(rng.choice(bits)) + page[at[1] : at[2]] + str(rng.choice(bits)) + page[at[3] :]
+        assert isinstance(main_text(page), str)
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<a ", "<![", "</a", "<?", "<!x", "<a b='>' ", '<a b="', "<a b=", "&#1", "<p a=\"'>", "<script></scrip", "<a b\n ="])
+def test_unclosed_markup_takes_no_longer_by_the_page(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    assert isinstance(main_text("<p>x</p>" + page), str)
+    assert time.process_time() - began < 2
+
+
+def test_regions_equal_a_plain_search():
+    """The elements chosen on random trees, against a search of every element for itself."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        page, depth = "", 0
+        for _ in range(int(rng.integers(3, 30))):
+            kind = rng.random()
+            if kind < 0.25:
+                page, depth = page + str(rng.choice(["<div>", "<section>", "<article>", "<main>"])), depth + 1
+            elif kind < 0.4 and depth:
+                page, depth = page + "</div></section></article></main>", 0
+            else:
+                page += f"<p>{'word ' * int(rng.integers(1, 40))}</p>"
+        blocks = html_text._Blocks()
+        blocks.feed(page)
+        blocks.close()
+        blocks._end_block()
+        if not blocks.blocks:
+            continue
+        content = [bool(x) for x in rng.random(len(blocks.blocks)) < 0.6]
+        if not any(content):
+            continue
+        above = lambda k: {k} | (above(blocks.parent[k]) if k >= 0 else set())  # noqa: B023, E731
+        inside = lambda k: sum(len(b[0]) for b, c in zip(blocks.blocks, content, strict=True) if c and k in above(b[3]))  # noqa: B023, E731
+        total, numbers = inside(-1), range(len(blocks.own))
+        outer = [k for k in numbers if blocks.own[k] and inside(k) and not any(blocks.own[u] for u in above(blocks.parent[k]) if u >= 0)]
+        chosen, whole = html_text._region(blocks, content)
+        assert whole == (bool(outer) and sum(map(inside, outer)) >= html_text.MOST * total)
+        if whole:
+            heaviest = max(inside(k) for k in outer)
+            assert {k for k in outer if 2 * inside(k) >= heaviest} <= chosen <= set(outer)
+        else:
+            assert chosen == {max([k for k in numbers if inside(k) >= html_text.WHOLE * total], default=-1)}
+
+
 @pytest.mark.parametrize("page", ["<div>" * 40_000 + "x" + "</p>" * 40_000 + "</div>" * 40_000, "<p><b>t" * 130_000, "<span class=ad>" * 60_000 + "</i>" * 60_000, "<ul><li>a" * 100_000])
 def test_long_malformed_pages_take_no_longer_by_the_tag(page):
     began = time.process_time()
