@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from .plans import oracles
+from .plans import evidence, oracles
 from .plans.queries import ALL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in ALL}
+    return {f.__name__: f for f in [*ALL, *evidence.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | evidence.sql()

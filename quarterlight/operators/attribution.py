@@ -63,7 +63,7 @@ def cross_check_verdicts(stats: DataFrame) -> DataFrame:
     plain = verdicts(stats.withColumn("swap_symptom", F.when(o.isNotNull(), ot)), cross_check=True)
     stage = F.when(alone, F.col("stage")).when(ov & ~ot & settled, "extract").when(ov & ~ot, "parse").when(ot & ~ov, "vision_misread").otherwise("inconclusive")
     keeps = F.coalesce(p >= KEEPS, F.lit(False))
-    strong = F.when(settled, F.col("quorum") & (F.col("ci_high") < 0.5)).when(ov, F.col("quorum") & (~stable | keeps)).otherwise(F.col("quorum") & keeps)
+    strong = F.when(ov & settled, F.col("quorum") & (F.col("ci_high") < 0.5)).when(ov, F.col("quorum") & (~stable | keeps)).otherwise(F.col("quorum") & keeps)
     confidence = F.when(alone, F.col("confidence")).when(stage == "inconclusive", "low").when(strong, "high").otherwise("medium")
     return plain.withColumns({"consensus": ~alone & ov & ~ot, "_s": stage, "_c": confidence}).withColumns({"stage": F.col("_s"), "confidence": F.col("_c")}).drop("_s", "_c")
 

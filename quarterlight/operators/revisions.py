@@ -83,32 +83,26 @@ def reconcile_cells(current_cells: DataFrame, readings: DataFrame, keys: list[st
 
     Values in both are kept; a value that goes and one that comes form a revision if they share a bound or overlap,
     each old value taking the first such new one in order of start; what is left is rejected or added. A cell
-    holds a few windows of one day, so a group is small.
+    holds a few windows of one day: they come together as two arrays, over which the old ones are folded.
     """
-    both = (
-        current_cells.select(*keys, "start_min", "end_min", F.lit(False).alias("new"))
-        .unionByName(readings.select(*keys, "start_min", "end_min", F.lit(True).alias("new")))
-    )
-    fields = current_cells.select(*keys).schema
-    for n, t in (("change", "string"), ("start_min", "integer"), ("end_min", "integer"), ("new_start", "integer"), ("new_end", "integer")):
-        fields = fields.add(n, t)
-
-    def run(key, rows):
-        import pandas as pd
-
-        old = sorted({(a, b) for a, b, n in zip(rows.start_min, rows.end_min, rows.new, strict=True) if not n})
-        new = sorted({(a, b) for a, b, n in zip(rows.start_min, rows.end_min, rows.new, strict=True) if n})
-        out = [("keep", *x, *x) for x in old if x in new]
-        come = [x for x in new if x not in old]
-        for a, b in (x for x in old if x not in new):
-            match = next((x for x in come if x[0] == a or x[1] == b or x[0] < b and a < x[1]), None)
-            if match:
-                come.remove(match)
-            out.append(("revise", a, b, *match) if match else ("reject", a, b, None, None))
-        out += [("add", None, None, *x) for x in come]
-        frame = pd.DataFrame([(*key, *r) for r in out], columns=fields.names)
-        for c in fields.names[-4:]:
-            frame[c] = frame[c].astype("Int32")
-        return frame
-
-    return both.groupBy(*keys).applyInPandas(run, fields)
+    value = F.struct(F.col("start_min").cast("int").alias("a"), F.col("end_min").cast("int").alias("b"))
+    both = current_cells.select(*keys, value.alias("_w"), F.lit(False).alias("_new")).unionByName(readings.select(*keys, value.alias("_w"), F.lit(True).alias("_new")))
+    of = lambda new: F.sort_array(F.collect_set(F.when(F.col("_new") == new, F.col("_w"))))
+    cells = both.groupBy(*keys).agg(of(False).alias("_old"), of(True).alias("_come"))
+    none = F.lit(None).cast("int")
+
+    def row(change, start, end, new_start, new_end):
+        return F.struct(F.lit(change).alias("change"), start.alias("start_min"), end.alias("end_min"), new_start.alias("new_start"), new_end.alias("new_end"))
+
+    def fold(state, x):
+        near = F.filter(state["come"], lambda y: (y["a"] == x["a"]) | (y["b"] == x["b"]) | ((y["a"] < x["b"]) & (x["a"] < y["b"])))
+        first = F.get(near, F.lit(0))
+        out = F.when(F.size(near) > 0, row("revise", x["a"], x["b"], first["a"], first["b"])).otherwise(row("reject", x["a"], x["b"], none, none))
+        return F.struct(F.filter(state["come"], lambda y: ~y.eqNullSafe(first)).alias("come"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    kept = F.transform(F.array_intersect("_old", "_come"), lambda x: row("keep", x["a"], x["b"], x["a"], x["b"]))
+    gone = F.sort_array(F.array_except("_old", "_come"))
+    start = F.struct(F.sort_array(F.array_except("_come", "_old")).alias("come"), F.array().cast("array<struct<change:string,start_min:int,end_min:int,new_start:int,new_end:int>>").alias("out"))
+    cells = cells.select(*keys, kept.alias("_kept"), F.aggregate(gone, start, fold).alias("_s"))
+    added = F.transform("_s.come", lambda y: row("add", none, none, y["a"], y["b"]))
+    return cells.select(*keys, F.explode(F.concat("_kept", "_s.out", added)).alias("_r")).select(*keys, "_r.*")
