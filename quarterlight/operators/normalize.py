@@ -93,33 +93,42 @@ def convention_findings(resolved: DataFrame) -> DataFrame:
 def rule_value(kind: Column, value: Column) -> Column:
     """A rule's value (JSON text) as a struct: value (JSON text in its usual form), resolved, problem.
 
-    Null stands for JSON's null. Kinds that have no rule here keep their value and are resolved.
+    The text is read as a VARIANT, whose own type says what it is: a text, a number, a truth value, an object or a list. Null
+    stands for JSON's null; broken JSON is no value, and a problem for every kind that needs one. Kinds that have no rule here keep their
+    value and are resolved.
     """
-    v = F.trim(F.coalesce(value, F.lit("null")))
-    bare = F.when(v.startswith('"'), F.get_json_object(v, "$")).otherwise(v)
-    empty = v.isin("null", "false", "0", "0.0", '""', "[]", "{}")
+    text = F.trim(F.coalesce(value, F.lit("null")))
+    v = F.try_parse_json(text)
+    type_ = F.coalesce(F.schema_of_variant(v), F.lit("BROKEN"))
+    is_text, is_object = type_ == "STRING", type_.startswith("OBJECT")
+    is_number = type_.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    said = F.try_variant_get(v, "$", "string")
+    number = F.try_variant_get(v, "$", "double")
+    bare = F.when(is_text, said).otherwise(text)
+    # What counts as no value: null, false, zero, and an empty text, list or object.
+    empty = (type_ == "VOID") | (type_ == "BOOLEAN") & ~F.try_variant_get(v, "$", "boolean") | is_number & (number == 0) | is_text & (said == "") | type_.isin("ARRAY<VOID>", "OBJECT<>") & text.rlike(r"^(\[\s*\]|\{\s*\})$")
+    empty = F.coalesce(empty, F.lit(False))
     told = lambda value, resolved, problem=None: F.struct(value.alias("value"), F.coalesce(resolved, F.lit(False)).alias("resolved"), (F.lit(None).cast("string") if problem is None else problem).alias("problem"))
-    unread = told(v, F.lit(False), F.concat(F.lit("cannot read value "), v))
-    as_object = F.when(empty, F.lit("{}")).otherwise(v)
-    readable = empty | (v.startswith("{") & F.get_json_object(v, "$").isNotNull())
+    unread = told(text, F.lit(False), F.concat(F.lit("cannot read value "), text))
+    readable = empty | is_object
 
-    h = F.from_json(as_object, "states array<string>, mode string, exclude array<string>")
+    field = lambda path, type_: F.when(is_object, F.try_variant_get(v, path, type_))
     none = F.array().cast("array<string>")
-    states, mode = F.transform(F.coalesce(h["states"], none), F.upper), F.coalesce(h["mode"], F.lit("unspecified"))
+    states, mode = F.transform(F.coalesce(field("$.states", "array<string>"), none), F.upper), F.coalesce(field("$.mode", "string"), F.lit("unspecified"))
     dated = (F.size(states) == 1) | ((F.size(states) > 0) & mode.isin("union", "intersection"))
-    holidays = told(F.to_json(F.struct(states.alias("states"), mode.alias("mode"), F.coalesce(h["exclude"], none).alias("exclude"))), dated)
-    c = F.from_json(as_object, "`from` string, `to` string")
-    christmas = told(F.to_json(F.struct(c["from"].alias("from"), c["to"].alias("to")), {"ignoreNullFields": "false"}), (F.length(c["from"]) > 0) & (F.length(c["to"]) > 0))
-    plain = F.trim(F.when(v.startswith('"'), F.replace(F.regexp_replace(bare, "[%€]", ""), F.lit(","), F.lit("."))).otherwise(v)).try_cast("double")
+    holidays = told(F.to_json(F.struct(states.alias("states"), mode.alias("mode"), F.coalesce(field("$.exclude", "array<string>"), none).alias("exclude"))), dated)
+    start, end = field("$.from", "string"), field("$.to", "string")
+    christmas = told(F.to_json(F.struct(start.alias("from"), end.alias("to")), {"ignoreNullFields": "false"}), (F.length(start) > 0) & (F.length(end) > 0))
+    plain = F.when(is_text, F.trim(F.replace(F.regexp_replace(said, "[%€]", ""), F.lit(","), F.lit("."))).try_cast("double")).when(is_number, number)
     bridge = F.when(bare.isin(*BRIDGE), told(bare, bare.isin(*BRIDGE[:2]))).otherwise(told(bare, F.lit(False), F.concat(F.lit("unknown bridge_days value "), bare)))
     return (
-        F.when(kind == "workdays_only", told(F.when(empty & (v != "null"), "false").otherwise("true"), F.lit(True)))
+        F.when(kind == "workdays_only", told(F.when(empty & (type_ != "VOID"), "false").otherwise("true"), F.lit(True)))
         .when(kind == "bridge_days", bridge)
         .when((kind == "holiday_handling") & readable, holidays)
         .when((kind == "christmas_period") & readable, christmas)
         .when(kind.isin(*NUMBERS) & plain.isNotNull(), told(plain.cast("string"), F.lit(True)))
         .when(kind.isin("holiday_handling", "christmas_period", *NUMBERS), unread)
-        .otherwise(told(v, F.lit(True)))
+        .otherwise(told(text, F.lit(True)))
     )
 
 
