@@ -1,18 +1,18 @@
 """Day classes: weekend, holiday, christmas, bridge or workday, with days that a document leaves open.
 
-Holidays are a small generated dimension (a few dozen rows a year and rule set), so days of any number meet it
-in a broadcast join.
+Holidays are a small generated dimension (a few dozen rows a year and rule set) that is part of the plan, so days of any number meet it
+in one broadcast join.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import unicodedata
+from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
-
 #: Fixed values of public law: name, day (month-day, or days after Easter, or bettag), states (* for all), from, to.
 HOLIDAYS = [
     ("Neujahr", "01-01", "*", 1900, 9999),
@@ -67,51 +67,79 @@ def easter(year: Column) -> Column:
     return F.make_date(year, whole(n / 31), n % 31 + 1)
 
 
-def state_holidays(spark: SparkSession, first: int, last: int, rows=HOLIDAYS) -> DataFrame:
-    """date, name, state for each year and state; state DE has what all states have."""
-    law = spark.createDataFrame(rows, "name string, day string, states string, since int, until int")
-    years = spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
-    each = years.join(F.broadcast(law), F.col("year").between(F.col("since"), F.col("until")))
-    november = F.make_date(F.col("year"), F.lit(11), F.lit(22))
-    day = (
-        F.when(F.col("day") == "bettag", F.date_sub(november, (F.dayofweek(november) + 3) % 7))  # the Wednesday before 23 November
-        .when(F.col("day").rlike("^-?[0-9]+$"), F.date_add(easter(F.col("year")), F.col("day").try_cast("int")))
-        .otherwise(F.make_date("year", F.left("day", F.lit(2)).try_cast("int"), F.right("day", F.lit(2)).try_cast("int")))
-    )
-    states = F.when(F.col("states") == "*", F.array(*[F.lit(s) for s in [*STATES, "DE"]])).otherwise(F.split("states", " "))
-    return each.select(day.alias("date"), "name", F.explode(states).alias("state"))
+def _easter(year: int) -> date:
+    """The same for one year."""
+    a, b, c = year % 19, year // 100, year % 100
+    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+    k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+    n = h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114
+    return date(year, n // 31, n % 31 + 1)
 
 
-def holiday_days(spark: SparkSession, rules: DayRules, first: int, last: int) -> DataFrame:
-    """date, name, certain: holidays of all (intersection) or any (union) of the rules' states, none twice."""
+def _day(rule: str, year: int) -> date:
+    if rule == "bettag":  # the Wednesday before 23 November
+        last = date(year, 11, 22)
+        return last - timedelta((last.weekday() - 2) % 7)
+    if rule.lstrip("-").isdigit():
+        return _easter(year) + timedelta(int(rule))
+    return date(year, int(rule[:2]), int(rule[3:]))
+
+
+def _folded(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+
+
+def _holidays(rules: DayRules, first: int, last: int) -> dict[date, tuple[str, bool]]:
+    """Name and certainty of each holiday: a few dozen a year."""
     states = list(rules.states or ("DE",))
-    found = state_holidays(spark, first, last).where(F.col("state").isin(states))
+    by_day: dict[date, dict[str, str]] = {}
+    for year in range(first, last + 1):
+        for name, rule, where, since, until in HOLIDAYS:
+            if since <= year <= until:
+                for state in states:
+                    if where == "*" and state in (*STATES, "DE") or state in where.split():
+                        by_day.setdefault(_day(rule, year), {}).setdefault(state, name)
     need = len(set(states)) if rules.mode == "intersection" else 1
-    sure = found.groupBy("date").agg(F.countDistinct("state").alias("n"), F.min_by("name", F.array_position(F.array(*[F.lit(s) for s in states]), F.col("state"))).alias("name")).where(F.col("n") >= need).select("date", "name", F.lit(True).alias("certain"))
+    found = {day: (next(own[s] for s in states if s in own), True) for day, own in by_day.items() if len(own) >= need}
     if "BY" in rules.states and rules.mode != "intersection":
-        local = state_holidays(spark, first, last, LOCAL).select("date", "name", F.lit(False).alias("certain"))
-        sure = sure.unionByName(local.join(sure, "date", "left_anti"))
-    if rules.exclude:
-        names = F.array(*[F.lit(x) for x in rules.exclude])
-        sure = sure.withColumns({"_n": fold("name"), "_x": F.transform(F.split(fold(F.array_join(names, "\x1f")), "\x1f"), lambda x: x)})
-        sure = sure.where(~F.exists("_x", lambda x: (x != "") & (F.contains(F.col("_n"), x) | F.contains(x, F.col("_n"))))).drop("_n", "_x")
-    return sure
+        for year in range(first, last + 1):
+            for name, rule, _, since, until in LOCAL:
+                if since <= year <= until:
+                    found.setdefault(_day(rule, year), (name, False))
+    left_out = [x for x in map(_folded, rules.exclude) if x]
+    return {day: (name, sure) for day, (name, sure) in found.items() if not any(x in _folded(name) or _folded(name) in x for x in left_out)}
+
+
+def _local(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """A few rows as part of the plan: no job makes them, and no worker reads them."""
+    literal = lambda v: f"DATE '{v}'" if isinstance(v, date) else str(v).lower() if isinstance(v, bool) else "NULL" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    names = ", ".join(columns.split())
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in zip(columns.split(), ("DATE", "STRING", "BOOLEAN", "BOOLEAN", "BOOLEAN"), strict=False)) + " WHERE false")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)} AS t({names})")
+
+
+def holiday_days(spark: SparkSession, rules: DayRules, first: int, last: int) -> DataFrame:
+    """date, name, certain: holidays of all (intersection) or any (union) of the rules' states, none twice."""
+    return _local(spark, "date name certain", [(d, n, c) for d, (n, c) in sorted(_holidays(rules, first, last).items())])
 
 
-def classify_days(days: DataFrame, rules: DayRules, first: int, last: int, date: str = "date") -> DataFrame:
+def classify_days(days: DataFrame, rules: DayRules, first: int, last: int, on: str = "date") -> DataFrame:
     """days with day_type, off_peak (null: not to be decided) and holiday (its name).
 
     The first that holds counts: weekend, certain holiday, christmas period, local holiday, bridge day, working
     day. A bridge day lies between a weekend and a certain holiday of the same year. Null days have no class.
     """
     spark = days.sparkSession
-    h = F.broadcast(holiday_days(spark, rules, first, last))
-    near = lambda n, to: h.where("certain").select(F.date_add("date", n).alias("_d"), F.year("date").alias("_y"), F.lit(True).alias(to))
-    d = F.col(date)
-    out = days.join(h.select(F.col("date").alias("_h"), F.col("name").alias("holiday"), F.col("certain").alias("_certain")), d == F.col("_h"), "left")
-    for n, to in ((-1, "_next"), (1, "_before")):
-        side = near(n, to)
-        out = out.join(side, (d == side["_d"]) & (F.year(d) == side["_y"]), "left").drop("_d", "_y")
+    found = _holidays(rules, first, last)
+    sure = {day for day, (_, certain) in found.items() if certain}
+    told = {*found, *(day + timedelta(n) for day in sure for n in (-1, 1) if (day + timedelta(n)).year == day.year)}
+    near = lambda day, n: day + timedelta(n) in sure and (day + timedelta(n)).year == day.year or None
+    rows = [(day, *found.get(day, (None, None)), near(day, 1), near(day, -1)) for day in sorted(told)]
+    h = _local(spark, "_h holiday _certain _next _before", rows)
+    h = h.select("_h", F.col("holiday").cast("string"), *[F.col(c).cast("boolean").alias(c) for c in ("_certain", "_next", "_before")])
+    d = F.col(on)
+    out = days.join(F.broadcast(h), d == F.col("_h"), "left")
     week = F.weekday(d)
     bridge = (week == 0) & F.col("_next").isNotNull() | (week == 4) & F.col("_before").isNotNull()
     md = F.date_format(d, "MM-dd")

@@ -62,7 +62,7 @@ def evaluate(quarters: DataFrame, windows: DataFrame, rules: DayRules, years: tu
     spark = quarters.sparkSession
     first, last = (F.make_date(F.lit(y), F.lit(m), F.lit(d)) for y, m, d in ((years[0], 1, 1), (years[1], 12, 31)))
     days = spark.range(1).select(F.explode(F.sequence(first, last)).alias("_date"))  # a row a day: bounded by the years
-    days = classify_days(days, rules, *years, date="_date")
+    days = classify_days(days, rules, *years, on="_date")
     w = physical_span(windows, F.lit(convention)).select("season", *keys, F.struct(F.col("start_min").alias("start"), "end_min", "window_id").alias("_w"), "certain_from", "upto", "open_from")
     # One row a key: its windows in an array, so that no quarter-hour is multiplied and none has to be grouped again.
     w = w.groupBy("season", *keys).agg(F.sort_array(F.collect_list(F.struct("_w", "certain_from", "upto", "open_from"))).alias("_ws"))
