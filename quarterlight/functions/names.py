@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +19,8 @@ NETWORK = ("netz", "netze")
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 #: Length of a short form, score from which two names are one, and the length of a printed name.
 LONGEST, SAME, LINE = 48, 90.0, 80
+#: Known names that go to all tasks at once.
+KNOWN = 50_000
 ABBREVIATED = r"\.{2,}|…|\("
 
 
@@ -54,27 +59,59 @@ def canonical_names(names: DataFrame, known: DataFrame) -> DataFrame:
     """names (name) with canonical: the known name (name) that differs in case at most, else the only one that is spelled
     alike, else the name itself.
 
-    known has a row for each operator of a registry, some thousands, and goes to all tasks; names may be any number, and each
-    distinct one is held against it once.
+    known has a row for each operator of a registry: KNOWN of them at a time go to all tasks. There each distinct name is held, once,
+    against those that share a word with it, and against those of about its length, as no others can be alike.
     """
     asked = names.select("name").distinct().withColumns({"_k": name_key(F.col("name")), "_l": F.lower(F.trim("name"))})
     have = known.select(F.col("name").alias("_known")).distinct().withColumns({"_kk": name_key(F.col("_known")), "_kl": F.lower(F.trim("_known"))})
     exact = asked.join(have, F.col("_l") == F.col("_kl")).groupBy("name").agg(F.min("_known").alias("_exact"))
-    rows = have.select("_known", "_kk").where("_kk <> ''").toPandas()  # a row an operator
-
-    @F.pandas_udf(StringType())
-    def only(keys: pd.Series) -> pd.Series:
+    keyed = have.where("_kk <> ''").select("_known", "_kk")
+    blocks = max(1, -(-keyed.count() // KNOWN))
+    parts = []
+    for k in range(blocks):
+        rows = [tuple(r) for r in keyed.where(F.pmod(F.xxhash64("_known"), F.lit(blocks)) == k).collect()]  # about KNOWN rows
+        sent = names.sparkSession.sparkContext.broadcast(rows)
+        parts.append(asked.where("_k <> ''").select("name", F.explode(_alike(sent)("_k")).alias("_close")))
+    close = reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.min("_close").alias("_close")).where("_n = 1")
+    found = asked.select("name").join(exact, "name", "left").join(close, "name", "left")
+    return names.join(found.select("name", F.coalesce("_exact", "_close", F.trim("name")).alias("canonical")), "name", "left")
+
+
+def _alike(sent):
+    """Of each key the known names that are spelled alike, two at most."""
+
+    @F.pandas_udf("array<string>")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from .fuzzy import token_set_of
 
-        def one(key):
-            close = [n for n, k in zip(rows["_known"], rows["_kk"], strict=True) if key and token_set_of(key, k) >= SAME]
-            return close[0] if len(close) == 1 else None
-
-        return keys.map(one)
-
-    close = asked.select("name", only("_k").alias("_close"))
-    found = close.join(exact, "name", "left").select("name", F.coalesce("_exact", "_close", F.trim("name")).alias("canonical"))
-    return names.join(found, "name", "left")
+        by_word: dict[str, list[int]] = {}
+        by_size: dict[int, list[int]] = {}
+        for i, (_, key) in enumerate(sent.value):
+            for word in set(key.split()):
+                by_word.setdefault(word, []).append(i)
+            by_size.setdefault(len(key), []).append(i)
+
+        def one(key: str) -> list[str]:
+            words = set(key.split())
+            likely = {i for w in words for i in by_word.get(w, ())}
+            # Without a word in common the whole keys are compared, sorted by words: their lengths differ by a tenth of both at most.
+            size = len(" ".join(sorted(words)))
+            reach = range(int(size * SAME / (200 - SAME)) - 1, int(size * (200 - SAME) / SAME) + 2)
+            likely |= {i for n in reach for i in by_size.get(n, ())} | repeated
+            found = []
+            for i in sorted(likely):
+                if token_set_of(key, sent.value[i][1]) >= SAME:
+                    found.append(sent.value[i][0])
+                    if len(found) == 2:
+                        break
+            return found
+
+        # Keys that say a word twice are longer than their sets of words.
+        repeated = {i for i, (_, key) in enumerate(sent.value) if len(key.split()) != len(set(key.split()))}
+        for keys in batches:
+            yield keys.map(one)
+
+    return score
 
 
 def printed_names(claims: DataFrame, lines: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ def ground_exact(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     return found
 
 
-#: So many quotes are held against a page at once.
-BLOCK = 512
+#: So many quotes are held against a page at once, and sent to all tasks.
+BLOCK, QUOTES = 512, 65_536
 #: Only at such junctions is the key of two lines other than their keys with a space between.
 LINE_END, LINE_START = r"[-:.0-9]$", r"^[-:.0-9]"
 
@@ -103,27 +103,57 @@ def ground_fuzzy(quotes: DataFrame, lines: DataFrame, on: list[str], threshold:
     pages = lines.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").cast("int").alias("n"), F.coalesce("text", F.lit("")).alias("text")))).alias("_l"))
     met = _page_keys(pages).join(quotes.select(*on, "quote_id", plain_key(F.col("quote")).alias("_q")), on).where("_q <> ''")
 
-    @F.udf("array<struct<line_no: int, multiline: boolean, score: double>>")
-    def score(q, k, odd, whole):
-        lines, pairs, _, page = _page({"_k": k, "_odd": odd, "_whole": whole})
-        return locate.places(q, lines, pairs, page, threshold)
+    asked = met.select(*on, "quote_id", "_q", "_k", "_odd", "_whole")
+    schema = met.select(*on, "quote_id").schema.add("line_no", "int").add("multiline", "boolean").add("score", "double")
 
-    return met.select(*on, "quote_id", F.explode(score("_q", "_k", "_odd", "_whole")).alias("p")).select(*on, "quote_id", "p.*")
+    def run(batches):
+        import pyarrow as pa
+
+        types = (pa.int32(), pa.bool_(), pa.float64())
+        for b in batches:
+            at, found = [], []
+            read = [b.column(c).to_pylist() for c in ("_q", "_k", "_odd", "_whole")]
+            for i, (q, k, odd, whole) in enumerate(zip(*read, strict=True)):
+                lines, pairs, _, page = _page({"_k": k, "_odd": odd, "_whole": whole})
+                here = locate.places(q, lines, pairs, page, threshold)
+                at += [i] * len(here)
+                found += here
+            columns = list(zip(*found, strict=True)) or [()] * 3
+            keys = [b.column(c).take(pa.array(at, pa.int64())) for c in schema.names[:-3]]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=schema.names)
+
+    return asked.mapInArrow(run, schema)
 
 
 def ground_everywhere(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """Places of quotes (quote_id, quote) on all pages (page_id, text), as of ground_fuzzy.
 
-    The quotes, a stated query set, go to every task and are taken in blocks; pages lie where they are. Only pages
-    that share enough pieces with a quote are scored, which loses no place of score 90 or more.
+    The quotes, a stated query set, go to every task, at most about QUOTES at a time, and are taken in blocks; pages lie where they
+    are. Only pages that share enough pieces with a quote are scored, which loses no place of score 90 or more. Of
+    several rounds each is stored before the next begins.
     """
-    wanted = [tuple(r) for r in quotes.select("quote_id", plain_key(F.col("quote")).alias("_q")).where("_q <> ''").collect()]
+    spark = pages.sparkSession
+    keyed = cut(quotes.select("quote_id", plain_key(F.col("quote")).alias("_q")).where("_q <> ''"))
+    rounds = max(1, -(-keyed.count() // QUOTES))
+    dealt = keyed.withColumn("_round", F.pmod(F.xxhash64("quote_id", "_q"), F.lit(rounds)))
+    found = None
+    for r in range(rounds):
+        sent = spark.sparkContext.broadcast([tuple(x) for x in dealt.where(F.col("_round") == r).select("quote_id", "_q").collect()])
+        part = _everywhere(sent, pages)
+        if rounds > 1:
+            part = cut(part)
+            sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _everywhere(sent, pages: DataFrame) -> DataFrame:
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.cast("int").alias("n"), x.alias("text")))
 
     def run(batches):
         import pyarrow as pa
 
-        blocks = [locate.Quotes(wanted[i : i + BLOCK]) for i in range(0, len(wanted), BLOCK)]
+        blocks = [locate.Quotes(sent.value[i : i + BLOCK]) for i in range(0, len(sent.value), BLOCK)]
         for b in batches:
             out: list = []
             for i in range(b.num_rows):

@@ -76,3 +76,31 @@ def test_exact_quotes_are_all_found(spark, monkeypatch):
     for most in (4096, 7):
         monkeypatch.setattr(grounding, "SHORT_QUOTES", most)
         assert sorted((str(r.quote_id), str(r.page_id)) for r in grounding.ground_exact(q, p).collect()) == want
+
+
+def test_canonical_names_equal_all_pairs(spark, monkeypatch):
+    """Blocks by words and lengths lose no name that is spelled alike, however the registry is dealt."""
+    import numpy as np
+
+    from quarterlight.functions.fuzzy import token_set_of
+
+    monkeypatch.setattr(names, "KNOWN", 15)
+    rng = np.random.default_rng(3)
+    words = ["stadtwerke", "fuerth", "energie", "nord", "sued", "rhein", "main", "strom", "ab", "kraft", "nord nord"]
+    say = lambda: " ".join(rng.choice(words, int(rng.integers(1, 4))))
+
+    def typo(t):
+        i = int(rng.integers(0, len(t)))
+        return t[:i] + str(rng.choice(list("aex "))) + t[i + int(rng.integers(0, 2)) :]
+
+    known = sorted({say() for _ in range(60)})
+    asked = sorted({typo(str(rng.choice(known))) if rng.random() < 0.7 else say() for _ in range(150)} - {""})
+    have = {r[0]: r[1] for r in spark.createDataFrame([(k,) for k in {*known, *asked}], "name string").select("name", names.name_key(names.F.col("name"))).collect()}
+    want = {}
+    for a in asked:
+        exact = [k for k in known if k.strip().lower() == a.strip().lower()]
+        close = [k for k in known if have[a] and have[k] and token_set_of(have[a], have[k]) >= names.SAME]
+        want[a] = min(exact) if exact else close[0] if len(close) == 1 else a.strip()
+    frame = lambda rows: spark.createDataFrame([(x,) for x in rows], "name string")
+    got = {r.name: r.canonical for r in names.canonical_names(frame(asked), frame(known)).collect()}
+    assert got == want and sum(want[a] != a.strip() for a in asked) >= 10
