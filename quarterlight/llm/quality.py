@@ -8,6 +8,10 @@ the nearest three quarters (COVER) are summed to the next estimate, until no det
 whole numbers, so results don't depend on the order of rows. Two starts are followed, the whole group and the one
 nearest its medians; the smaller determinant wins.
 
+Clean texts have no symbols and no repeats at all, which says nothing of how far a text may stray: a text of n words says it
+within its own sampling error only. So the estimates are made of the vectors with such an error drawn for each (see ERRORS), and hold the
+errors' variance; the vectors that are judged have none. No spread is set by hand but for rounding.
+
 Few documents say little: an estimate counts as many documents as it rests on, and PRIOR_DOCUMENTS more are taken as
 spread like the language's, whose own estimate is filled up in the same way from that of all documents, and this one
 from PRIOR_SPREAD. That holds at every size: a group of one is judged nearly as its language, a large one by itself.
@@ -22,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, scratch, table, word_list
+from .common import BROADCAST_KEYS, cut, row_key, scratch, table, word_list
 
 WINDOW_WORDS = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -30,10 +34,13 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: Statistics are kept in steps of 1/SCALE.
 SCALE = 4096
 STATS = ("z0", "z1", "z2", "z3")
-#: Standard deviations that an estimate can't fall below, in the order of STATS: prose whose counts are all zero has no
-#: scatter, and without a guard any count above zero would be an outlier. Set by trial on the labelled rows of sf0.1 and
-#: the tests (a table of forty words at the end of a text has to stay), not derived; see the README.
-FLOORS = (0.25, 0.065, 0.1, 0.12)
+#: What a text's own length makes each of them scatter by, drawn once a text, in the same steps.
+ERRORS = ("e0", "e1", "e2", "e3")
+#: Standard deviations that an estimate can't fall below: a few steps of rounding, so that no determinant is zero.
+FLOORS = (0.01, 0.01, 0.01, 0.01)
+#: A text's counts are a sample, and scatter for that alone: its words' lengths by this variance; its symbols and its repeated words
+#: as ones that come ten words at a time (in tables, lists and quotes; a repeat is of two such), its words' lengths likewise; its lines one by one.
+LETTERS, CLUMP = 16.0, 10
 #: Ratios are drawn to the prior by this many words (of this length, without symbols or repeats) and lines: short
 #: texts scatter more.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 50, 5, 10
@@ -101,16 +108,24 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def with_vector(stats: DataFrame) -> DataFrame:
-    """Adds the transformed statistics as whole numbers; only ratios, so a long text is no outlier for its length."""
-    words = F.col("n_words") + PRIOR_WORDS
+def with_vector(stats: DataFrame, salt: Column | None = None) -> DataFrame:
+    """Adds the transformed statistics as whole numbers (only ratios, so a long text is no outlier for its length), and their
+    ERRORS: a draw from a normal distribution by a hash of the counts and the salt, so copies differ and reruns agree."""
+    words, lines = F.col("n_words") + PRIOR_WORDS, F.col("_n_lines") + PRIOR_LINES
     z = (
         (F.col("word_chars") + PRIOR_WORDS * PRIOR_CHARS) / words,
-        F.log1p(F.col("n_symbols") / words),
-        F.asin(F.sqrt(F.col("n_dup_lines") / (F.col("_n_lines") + PRIOR_LINES))),
+        F.sqrt(F.col("n_symbols") / words),
+        F.asin(F.sqrt(F.col("n_dup_lines") / lines)),
         F.asin(F.sqrt(F.col("n_repeat_words") / words)),
     )
-    return stats.withColumns({n: F.round(c * SCALE).cast("long") for n, c in zip(STATS, z, strict=True)})
+    # Square roots and arcs of counts have the same variance whatever the rate: a quarter over what was counted.
+    variance = (LETTERS / words, CLUMP / (4 * words), 1 / (4 * lines), 2 * CLUMP / (4 * words))
+    of = [F.lit(0) if salt is None else salt, *map(F.col, ("n_words", "word_chars", "n_symbols", "_n_lines", "n_repeat_words"))]
+    chance = lambda k: (F.shiftrightunsigned(F.xxhash64(*of, F.lit(k)), 12) + 0.5) / float(1 << 52)
+    wave = lambda k: (F.cos if k % 2 else F.sin)(2 * math.pi * chance(k // 2 + 2)) * F.sqrt(-2 * F.log(chance(k // 2)))
+    steps = lambda c: F.round(c * SCALE).cast("long")
+    out = {n: steps(c) for n, c in zip(STATS, z, strict=True)}
+    return stats.withColumns(out | {n: steps(wave(k) * F.sqrt(v)) for k, (n, v) in enumerate(zip(ERRORS, variance, strict=True))})
 
 
 def _sums() -> list[Column]:
@@ -179,14 +194,14 @@ def estimates(rows: DataFrame, fits: bool) -> DataFrame:
     Every document counts in every step. A step shuffles one row for each group, start, task and bin; a hot
     source is summed in the tasks that read it. Medians come from exact counts of the stored whole numbers' bins.
     """
-    # Start 1: the whole group. Start 2: centred at the medians (of bins 1/64 wide), with the floors' scatter.
+    # Start 1: the whole group. Start 2: centred at the medians (of bins 1/64 wide), with the widest prior's scatter.
     whole = _triangle(_moments(rows.groupBy("group").agg(*_sums()), 1.0)).select("group", *_TRIANGLE, F.lit(1).alias("start"))
     bins = rows.select("group", F.explode(F.array(*[F.struct(F.lit(a).alias("z"), F.floor(F.col(a) * 64 / SCALE).alias("v")) for a in STATS])).alias("e")).groupBy("group", "e.z", "e.v").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("group", "z")
     ranked = bins.withColumns({"below": F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
     medians = ranked.where(2 * F.col("below") >= F.col("all")).groupBy("group", "z").agg(F.min("v").alias("v")).groupBy("group").agg(*[(F.max(F.when(F.col("z") == a, F.col("v"))) / 64 + 1 / 128).alias(f"m_{a}") for a in STATS])
-    floors = {f"l_{a}{b}": F.lit(FLOORS[STATS.index(a)] if a == b else 0.0) for a, b in _PAIRS}
-    middle = medians.withColumns(floors).select("group", *_TRIANGLE, F.lit(2).alias("start"))
+    spread = {f"l_{a}{b}": F.lit(PRIOR_SPREAD[STATS.index(a)] if a == b else 0.0) for a, b in _PAIRS}
+    middle = medians.withColumns(spread).select("group", *_TRIANGLE, F.lit(2).alias("start"))
     now, before = cut(whole.unionByName(middle)), None
     for _ in range(STEPS):
         near = _meet(rows, now, fits).withColumn("bin", _bin(_distance())).groupBy("group", "start", "bin").agg(*_sums())
@@ -205,9 +220,11 @@ def estimates(rows: DataFrame, fits: bool) -> DataFrame:
 
 
 def fit(stats: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, bool]:
-    """(group, centre and triangle of the scatter; whether these fit a broadcast) from stored vectors of documents that pass the base rules."""
+    """(group, centre and triangle of the scatter; whether these fit a broadcast) from stored vectors of documents that pass the base rules,
+    with their ERRORS if the columns are there: the estimates hold what the texts' lengths alone make them scatter by."""
     own, wide, every = _keys(lang, source)
-    rows = stats.where(~F.col("base_failed")).select(own.alias("own"), wide.alias("wide"), *STATS)
+    vector = [(F.col(a) + F.col(e)).alias(a) if e in stats.columns else F.col(a) for a, e in zip(STATS, ERRORS, strict=True)]
+    rows = stats.where(~F.col("base_failed")).select(own.alias("own"), wide.alias("wide"), *vector)
     names = cut(rows.select("own", "wide").distinct())
     fits = names.count() <= BROADCAST_KEYS // 4
     each = rows.select(F.explode(F.array("own", "wide", every)).alias("group"), *STATS)
@@ -230,9 +247,9 @@ def judge(stats: DataFrame, best: DataFrame, fits: bool, lang: str = "lang", sou
     return met.withColumn("kept", kept).drop("group", *_TRIANGLE)
 
 
-def measured(df: DataFrame) -> DataFrame:
+def measured(df: DataFrame, salt: Column | None = None) -> DataFrame:
     """Statistics and vector of each text, with base_failed."""
-    return with_vector(word_stats(df).withColumn("base_failed", base_failed()))
+    return with_vector(word_stats(df).withColumn("base_failed", base_failed()), salt)
 
 
 def quality_rules(df: DataFrame) -> DataFrame:
@@ -242,7 +259,7 @@ def quality_rules(df: DataFrame) -> DataFrame:
     rows are judged alike; an empty table gives an empty result; other columns are ignored. Texts are read
     once: their numbers are stored, and the estimates and verdicts come from these.
     """
-    stats = cut(measured(df.select("doc_id", "text", "lang", "source")).drop("text"))
+    stats = cut(measured(df.select("doc_id", "text", "lang", "source"), F.xxhash64("doc_id")).drop("text"))
     return judge(stats, *fit(stats))
 
 
@@ -250,9 +267,10 @@ def keep_good(df: DataFrame) -> DataFrame:
     """The rows of df that pass, with df's columns. Rows are written once with their numbers to shared storage, as texts
     cost more to measure than to store, and judged from there. Odd rows are as in quality_rules."""
     spark, own = df.sparkSession, df.columns
-    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "text", "lang", "source")
+    salt = F.xxhash64("doc_id") if "doc_id" in own else row_key(df)
+    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), salt.alias("_salt"), "text", "lang", "source")
     path = scratch(spark, "measured")
-    measured(inner).drop("text").write.parquet(path)
+    measured(inner, F.col("_salt")).drop("text", "_salt").write.parquet(path)
     stored = spark.read.parquet(path)
     return judge(stored, *fit(stored.drop("_row"))).where("kept").select("_row.*")
 
