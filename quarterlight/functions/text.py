@@ -27,6 +27,7 @@ LEVELS = [
     (r"mittelspannung|\bms\b", "NE5"),
     (r"niederspannung|\bns\b", "NE7"),
 ]
+#: Fixed values, first match wins: words that name a season.
 SEASON_WORDS = [
     (r"winter|januar|dezember|\bdez\b|\bdec\b|\bjan\b|\bfeb", "winter"),
     (r"fr(ü|ue)hling|fr(ü|ue)hjahr|spring|m(ä|ae)rz", "spring"),
@@ -51,6 +52,7 @@ def fold(s: pd.Series) -> pd.Series:
 def plain_key(text: Column) -> Column:
     """The matching key of text that is in NFKC form already: everything but that stays in the JVM."""
     t = F.lower(F.translate(text, DASHES, "-" * len(DASHES)))
+    # Keys have to agree with those of earlier tables.
     for pattern, to in (
         (RULE_LINE, " "),
         (r"(?U)\buhr\b", " "),
