@@ -23,6 +23,9 @@ BROADCAST_KEYS = 200_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; also makes checkpoint() use it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    if ":/" not in where:  # Spark would take it for a folder of the default file system, Python for a local one
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        where = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(where)
     return where

@@ -332,3 +332,14 @@ def test_rows_alike_are_drawn_as_one(spark, monkeypatch):
     by = got.groupby("source").agg({"taken": "sum", "target": "first"})
     assert (by["taken"] - by["target"]).abs().max() <= 10
     assert (got["taken"] <= 2 * got["size"]).all()
+
+
+def test_shared_folders_have_a_scheme(spark):
+    """So that Spark and the workers' own files mean the same place."""
+    from types import SimpleNamespace
+
+    from quarterlight.llm import common
+
+    for named, start in (("/tmp/checkpoints", "file:/tmp/checkpoints/x-"), ("file:///tmp/checkpoints/", "file:///tmp/checkpoints/x-")):
+        session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: named), sparkContext=spark.sparkContext, _jvm=spark._jvm, _jsc=spark._jsc)  # noqa: B023
+        assert common.scratch(session, "x").startswith(start)
