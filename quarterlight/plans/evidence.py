@@ -104,7 +104,8 @@ def finding_verdicts(spark, d):
         F.when(F.col("o_custkey") % 2 == 0, "NE5").otherwise("NE7").alias("level"), F.lit("winter").alias("season"), F.when(window, 120).alias("start_min"), F.when(window, 180).alias("end_min"),
     )
     out = routing.attribute(findings, readings)
-    return out.select("document_id", "code", "route", "stage", "confidence", "method", "consensus", "n", "valid", "persisted", F.round("p_hat", 6).alias("p_hat"), "suggestion")
+    figures = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "valid", "persisted")]
+    return out.select("document_id", "code", "route", "stage", "confidence", "method", "consensus", *figures, F.round("p_hat", 6).alias("p_hat"), "suggestion")
 
 
 def consensus_revisions(spark, d):
@@ -194,7 +195,7 @@ SELECT k AS document_id, code, CASE WHEN xcode THEN 'cross_check' ELSE 'resample
   CASE WHEN full_ OR (p >= 0.6 AND o IS NOT NULL) THEN 'resample+swap' ELSE 'resample' END AS method, full_ AND agreed AS consensus, n, valid, persisted, round(p, 6) AS p_hat,
   CASE WHEN full_ THEN CASE WHEN agreed THEN 'OCR and vision read ' || v END WHEN p < 0.6 THEN 'resamples read ' || said || ' (' || said_n || '/' || valid || ')'
     WHEN o IS NOT NULL AND gone THEN 'OCR reading: ' || CASE WHEN gap THEN CASE WHEN o <> '(empty)' THEN 'windows ' || o WHEN says_empty THEN 'an explicit empty cell' ELSE 'nothing (missing)' END ELSE o END END AS suggestion FROM y
-UNION ALL SELECT k, code, 'agreement', 'source_document', 'high', 'channel_agreement', false, NULL, NULL, NULL, NULL, NULL FROM h WHERE code IN ('OVERLAP', 'DAILY_CAP_EXCEEDED', 'OFF_GRID') AND sourced AND v = t"""
+UNION ALL SELECT k, code, 'agreement', 'source_document', 'high', 'channel_agreement', false, 0, 0, 0, NULL, NULL FROM h WHERE code IN ('OVERLAP', 'DAILY_CAP_EXCEEDED', 'OFF_GRID') AND sourced AND v = t"""
     out["consensus_revisions"] = """WITH w AS (SELECT o_orderkey AS k, 'w' || o_orderkey AS entity, o_custkey % 10 * 60 AS a, o_custkey % 4 AS pick, o_orderkey % 5 AS b, o_orderkey % 2 = 0 AS parse, o_orderkey % 13 > 0 AS consensus FROM orders),
 d AS (SELECT *, consensus AND (pick = 0 OR b < 3 OR parse) AS applied FROM w)
 SELECT k AS document_id, entity, CAST(a AS INTEGER) AS start_min, CAST(a + 120 AS INTEGER) AS end_min, 1 AS revision, 'needs-review' AS status FROM d WHERE NOT applied

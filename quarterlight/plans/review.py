@@ -71,7 +71,7 @@ r AS (SELECT raw.k, count(*) AS n, count(gold.k) AS tp FROM raw LEFT JOIN gold O
 e AS (SELECT cells.k, count(*) AS cells, count(*) FILTER (u.k IS NULL) AS exact FROM cells LEFT JOIN (SELECT DISTINCT k, level FROM v WHERE is_pred <> is_gold) u USING (k, level) GROUP BY cells.k),
 auto AS (SELECT k, count(DISTINCT base) AS n FROM li WHERE p % 10 = 0 GROUP BY k)
 SELECT o_orderkey AS document_id, 'a' AS labeled_by, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 2 = 0 END AS convention_ok, coalesce(windows_gold, 0) AS windows_gold, coalesce(windows_pred, 0) AS windows_pred, coalesce(wrong, 0) AS wrong, coalesce(wrong_flagged, 0) AS wrong_flagged, coalesce(missed, 0) AS missed, coalesce(missed_flagged, 0) AS missed_flagged,
-  coalesce(cells, 0) AS cells, coalesce(exact, 0) AS cells_exact, CASE WHEN o_orderkey % 4 = 0 THEN 0.5 ELSE 0.0 END AS rules_recall, CASE WHEN o_custkey % 4 > 0 THEN 2 ELSE 1 END AS llm_calls, [0.5, 2.0, 4.0, 6.0][o_custkey % 4 + 1] AS cost_usd, [0.0, 0.1, 0.3, 0.5][o_custkey % 4 + 1] AS latency_s,
+  coalesce(cells, 0) AS cells, coalesce(exact, 0) AS cells_exact, CASE WHEN o_orderkey % 4 = 0 THEN 0.5 ELSE 0.0 END AS rules_recall, CAST(CASE WHEN o_custkey % 4 > 0 THEN 2 ELSE 1 END AS BIGINT) AS llm_calls, [0.5, 2.0, 4.0, 6.0][o_custkey % 4 + 1] AS cost_usd, [0.0, 0.1, 0.3, 0.5][o_custkey % 4 + 1] AS latency_s,
   CASE WHEN o_custkey % 2 = 0 THEN 'live' ELSE 'cache' END AS response_source, coalesce(auto.n, 0) AS auto_corrected, round(CASE WHEN windows_pred > 0 THEN c.tp / windows_pred ELSE 0 END, 6) AS precision, round(CASE WHEN windows_gold > 0 THEN c.tp / windows_gold WHEN coalesce(windows_pred, 0) = 0 THEN 1 ELSE 0 END, 6) AS recall,
   round(CASE WHEN r.n > 0 THEN r.tp / r.n ELSE 0 END, 6) AS raw_precision, round(CASE WHEN windows_gold > 0 THEN r.tp / windows_gold WHEN coalesce(r.n, 0) = 0 THEN 1 ELSE 0 END, 6) AS raw_recall, round(CASE WHEN windows_pred > 0 THEN fl / windows_pred ELSE 0 END, 6) AS review_share
 FROM orders LEFT JOIN c ON c.k = o_orderkey LEFT JOIN r ON r.k = o_orderkey LEFT JOIN e ON e.k = o_orderkey LEFT JOIN auto ON auto.k = o_orderkey"""
