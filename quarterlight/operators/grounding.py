@@ -104,7 +104,7 @@ def ground_fuzzy(quotes: DataFrame, lines: DataFrame, on: list[str], threshold:
     met = _page_keys(pages).join(quotes.select(*on, "quote_id", plain_key(F.col("quote")).alias("_q")), on).where("_q <> ''")
 
     asked = met.select(*on, "quote_id", "_q", "_k", "_odd", "_whole")
-    schema = met.select(*on, "quote_id").schema.add("line_no", "int").add("multiline", "boolean").add("score", "double")
+    schema = met.select(*on, "quote_id").schema.add("line_no", "integer").add("multiline", "boolean").add("score", "double")
 
     def run(batches):
         import pyarrow as pa
