@@ -44,7 +44,7 @@ def label_hits(pages: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
     each other hold one that runs over both, if all that stands inside their common box is like it. A label that is nowhere
     has no row. Labels meet the lines of their own page only, and scores are taken of pairs whose lengths allow them.
     """
-    met = labels.select(*on, "label").distinct().withColumn("_key", match_key(F.col("label"))).where("_key <> ''").join(pages, on)
+    met = labels.select(*on, "label").distinct().withColumn("_key", match_key(F.col("label"))).where("_key <> ''").join(pages.hint("merge"), on)
     lone = F.transform("_lines", lambda x: F.struct(x["bbox"].alias("bbox"), x["key"].alias("key"), F.lit(False).alias("two")))
     nexts = F.arrays_zip(F.slice("_lines", 1, F.greatest(F.size("_lines") - 1, F.lit(0))).alias("a"), F.slice("_lines", 2, F.size("_lines")).alias("b"))
     boxes = F.transform(nexts, lambda p: _around(p["a"]["bbox"], p["b"]["bbox"]))
@@ -101,16 +101,18 @@ def align_cells(claims: DataFrame, lines: DataFrame, on: list[str]) -> DataFrame
     line_no, text, bbox. aligned is true if the labels head one of the places (bbox is the first such), false if another
     season heads each of them, else null (bbox: the first place). Without a place or with a label missing it is null too. Claims of a
     page that has no lines stay, undecided. Claims are rows of their own, repeated or not.
+
+    Pages, claims and a page's labels meet sorted by page: how many there are can't be told from their files, which a broadcast would go by.
     """
     pages = page_lines(lines, on)
     asked = claims.withColumn("_id", F.monotonically_increasing_id()).select(*on, "value_id", "places", "level_label", "season_label")
     labels = reduce(DataFrame.unionByName, [asked.select(*on, F.col(c).alias("label")).where(F.col(c).isNotNull()) for c in ("level_label", "season_label")])
-    hits = label_hits(pages, labels, on)
+    # A page's labels come in one row, so all that meets is dealt by page.
+    hits = label_hits(pages, labels, on).groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("label", "hits"))).alias("_hits"))
     none = F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
-    met = asked.join(pages, on, "left")
+    met = asked.join(pages.hint("merge"), on, "left").join(hits.hint("merge"), on, "left")
     for c in ("level", "season"):
-        met = met.join(hits.select(*on, F.col("label").alias(f"{c}_label"), F.col("hits").alias(f"_{c}")), [*on, f"{c}_label"], "left")
-        met = met.withColumn(f"_{c}", F.coalesce(f"_{c}", none))
+        met = met.withColumn(f"_{c}", F.coalesce(F.col("_hits")[F.col(f"{c}_label")], none))
     met = met.withColumns({"_claimed": map_level(F.col("level_label")), "_key": match_key(F.col("season_label"))})
     lines_, levels, seasons = F.coalesce("_lines", F.filter("_lines", lambda x: F.lit(False))), F.col("_level"), F.col("_season")
     good = F.filter("places", lambda b: _aligned(b, lines_, levels, seasons, F.col("_claimed")))
