@@ -41,6 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """What nothing refers to any more leaves the disk now: Spark's cleaner takes shuffle files when the driver collects garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _held: dict[str, object] = {}
 
 

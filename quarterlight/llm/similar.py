@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles: an exact join on the rarest shingles.
+"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash fingerprints that meet by balls, then an
+exact join on the rarest shingles for what these miss.
+
+Texts whose fingerprints (simhash) are linked are held against each other first, on their whole sets: one pair for each
+text, with the smallest that it is linked to. What this joins is one class, within which the exact join tries no pairs.
 
 Two sets of n and m shingles with similarity t or more share at least t / (1 + t) * (n + m) of them. So with all
 shingles in one order, the first n - ceil(t n) + 1 of one set and of the other have one in common, and the places
@@ -19,10 +23,11 @@ from __future__ import annotations
 import math
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, release, small_batches
+from . import simhash
+from .common import BROADCAST_KEYS, cut, release, small_batches, tidy
 from .components import components
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
@@ -31,7 +36,9 @@ SHINGLE, SIMILAR, SEED = 5, 0.8, 42
 #: set the order, so results don't depend on these.
 FLUSH, FEW, LEAST, ENTRIES = 1 << 21, 1 << 16, 16, 1 << 22
 #: Pairs across classes are formed at once up to this many for each member of a shingle.
-PAIRS_EACH = 8
+PAIRS_EACH = 2
+#: Bits in which a set's shingles are marked, so that most unlike pairs are told before their texts meet.
+MARKS = 1024
 SLICE = 128
 #: Texts whose copies a task leaves out when it makes heads: as many keys as it remembers.
 SEEN = 500_000
@@ -108,8 +115,39 @@ def head(found, table):
     return found[np.argsort(often, kind="stable")[:size]]
 
 
+def marks(found) -> bytes:
+    """A bit for each of MARKS remainders that a set's shingles have."""
+    import numpy as np
+
+    bits = np.zeros(MARKS, np.uint8)
+    bits[(found % np.uint64(MARKS)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def possible(n, m, x, y):
+    """Whether sets of n and m shingles with marks x and y (rows of words) can be similar: each mark that only one has is
+    a shingle that the other lacks."""
+    import numpy as np
+
+    apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return apart <= (n + m) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-6
+
+
+def _possible(batches):
+    """The pairs (a, b) of (a, b, n, m, x, y) whose marks leave room."""
+    import numpy as np
+    import pyarrow as pa
+
+    release()
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x", "y"))
+            at = pa.array(possible(b.column("n").to_numpy(), b.column("m").to_numpy(), x, y))
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(at), b.column("b").filter(at)], names=["a", "b"])
+
+
 def _heads(sent):
-    """key, size and head of texts, of copies within a task once."""
+    """key, size, fingerprint, marks and head of texts, of copies within a task once."""
 
     def run(batches):
         import numpy as np
@@ -128,7 +166,9 @@ def _heads(sent):
                     heads = [head(s, sent.value) for s in sets]
                     ends = np.cumsum([0, *map(len, heads)], dtype=np.int32)
                     tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(heads).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), tokens], names=["key", "size", "tokens"])
+                    fp = np.array([simhash._bits_of(s) for s in sets], np.uint64).view(np.int64)
+                    told = [pa.array(list(new), pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), pa.array(map(marks, sets), pa.binary()), tokens]
+                    yield pa.RecordBatch.from_arrays(told, names=["key", "size", "fp", "marks", "tokens"])
 
     return run
 
@@ -170,6 +210,8 @@ def _verified(batches):
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts (key, text) are similar enough. Texts, which compress well, meet their pairs rather
     than sets of hashes. A hub is in many pairs, so the joins may be split but not broadcast."""
+    if "x" in pairs.columns:
+        pairs = pairs.mapInArrow(_possible, "a long, b long")
     with small_batches(pairs.sparkSession, 256):
         pairs = cut(pairs)
         asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -202,6 +244,32 @@ def _open_members(members: DataFrame) -> DataFrame:
     return cut(members.join(of.select("token", "least").hint("merge"), "token").where("most >= least").drop("least"))
 
 
+def _marked(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both sets' sizes n and m and marks x and y."""
+    one, two = (heads.select(F.col("key").alias(k), F.col("size").alias(n), F.col("marks").alias(m)) for k, n, m in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "n", "m", "x", "y")
+
+
+def _fingerprint_pairs(heads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts: those of one fingerprint with the smallest of them, and this one with that of the smallest
+    fingerprint that its own is linked to."""
+    fps = cut(heads.groupBy("fp").agg(F.min("key").alias("first")))
+    near = simhash.links(fps).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("to")).groupBy("fp").agg(F.min("to").alias("to"))
+    to = fps.select(F.col("fp").alias("to"), F.col("first").alias("other"))
+    across = near.join(fps.hint("merge"), "fp").join(to.hint("merge"), "to").select("first", "other")
+    same = heads.select("fp", "key").join(fps.hint("merge"), "fp").select(F.col("key").alias("first"), F.col("first").alias("other"))
+    return across.unionByName(same).where("first <> other").select(F.greatest("first", "other").alias("a"), F.least("first", "other").alias("b")).distinct()
+
+
+def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """members with root, the class that links give their key."""
+    if links is None:
+        return members.withColumn("root", F.col("key"))
+    labels = components(links).withColumnRenamed("root", "_root")
+    labels = cut(labels)
+    return cut(members.join(labels, members["key"] == labels["node"], "left").select("token", "key", "size", "most", F.coalesce("_root", "key").alias("root")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text) and root, which names the class, of every row; the class is what links of
     similarity SIMILAR or more reach. Null and empty texts are copies of each other, and texts without words alike."""
@@ -210,16 +278,20 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(text_key(F.col("text")).alias("key"), "text")
     sent = spark.sparkContext.broadcast(frequent(docs))
     with small_batches(spark):
-        found = texts.mapInArrow(_heads(sent), "key long, size int, tokens array<long>")
-        heads = cut(found.groupBy("key").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens")))
+        found = texts.mapInArrow(_heads(sent), "key long, size int, fp long, marks binary, tokens array<long>")
+        heads = cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "fp", "marks", "tokens")]))
     sent.destroy()
-    heads = heads.select("key", "size", F.posexplode("tokens").alias("at", "token"))
-    heads = heads.select("token", "key", _both_sizes(F.col("size"), _limit(F.col("size"), F.col("at"))).alias("sizes"))
-    shared = heads.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    members = cut(heads.join(shared.hint("merge"), "token").select("token", "key", *_apart("sizes")))
-    links, now, last = None, members.withColumn("root", F.col("key")), False
+    links = _similar(_marked(_fingerprint_pairs(heads), heads), texts)
+    links = links if links.limit(1).count() else None
+    tidy(spark)
+    each = heads.select("key", "size", F.posexplode("tokens").alias("at", "token"))
+    each = each.select("token", "key", _both_sizes(F.col("size"), _limit(F.col("size"), F.col("at"))).alias("sizes"))
+    # One shuffle finds the tokens that several texts have and keeps their rows.
+    shared = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    now, last = _labelled(cut(shared.select("token", "key", *_apart("sizes"))), links), False
     for turn in range(1_000_000):
         now = _open_members(now)
+        tidy(spark)
         fits = F.col("most") >= F.col("size")
         of = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(fits, 1)).alias("f"))
         of = of.groupBy("token").agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum(F.col("n") * F.col("f")).alias("same"))
@@ -234,7 +306,8 @@ def classes(docs: DataFrame) -> DataFrame:
                 own = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(rounds)) == r
                 one = now.where(fits & own).select("token", F.col("key").alias("a"), F.col("root").alias("_root"), F.col("size").alias("_size"), F.col("most").alias("_most"))
                 met = now.join(one.hint("merge"), "token").where((F.col("key") != F.col("a")) & (F.col("root") != F.col("_root")) & F.col("size").between(F.col("_size"), F.col("_most")) & (F.col("_size") <= F.col("most")))
-                new = _similar(met.select(F.greatest("a", "key").alias("a"), F.least("a", "key").alias("b")).distinct(), texts)
+                new = _similar(_marked(met.select(F.greatest("a", "key").alias("a"), F.least("a", "key").alias("b")).distinct(), heads), texts)
+                tidy(spark)
                 if new.limit(1).count():
                     links = new if links is None else links.unionByName(new)
             break
@@ -245,15 +318,14 @@ def classes(docs: DataFrame) -> DataFrame:
         # One hub for each text and round, of those of all its shingles: pairs carry whole sets.
         met = met.groupBy("key").agg(F.min_by("hub.key", "hub.by").alias("hub"))
         pairs = met.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
-        new = _similar(pairs, texts)
+        new = _similar(_marked(pairs, heads), texts)
         none = not new.limit(1).count()
         if not none:
             links = new if links is None else links.unionByName(new)
         # A round without links leaves the rest to all pairs that have room.
         last = none
         if not none:
-            labels = cut(components(links)).withColumnRenamed("root", "_root")
-            now = cut(now.drop("root").join(labels, now["key"] == labels["node"], "left").select("token", "key", "size", "most", F.coalesce("_root", "key").alias("root")))
+            now = _labelled(now.drop("root"), links)
     if links is None:
         return keyed.withColumn("root", F.col("key"))
     labels = components(links)

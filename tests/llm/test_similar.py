@@ -112,3 +112,30 @@ def test_unlike_texts_that_share_a_rare_looking_passage(spark, monkeypatch):
     assert got[5] == got[60] and got[9] == got[61] and len(set(got.values())) == 60
     members = sum(len(similar.head(similar.shingles(t), (np.empty(0, np.uint64), np.empty(0, np.uint8)))) for t in texts)
     assert len(met) > 2 and sum(met) > len(texts) and max(met) <= 2 * members
+
+
+def test_marks_leave_similar_sets_in():
+    rnd = np.random.default_rng(14)
+    told = 0
+    for _ in range(400):
+        pool = rnd.integers(0, 1 << 60, 400).astype(np.uint64)
+        a = np.unique(rnd.choice(pool, int(rnd.integers(1, 400))))
+        b = np.unique(np.concatenate([a[rnd.random(len(a)) < 0.93], rnd.choice(pool, int(rnd.integers(1, 40)))]))
+        words = lambda s: np.frombuffer(similar.marks(s), np.uint64).reshape(1, -1)
+        left = similar.possible(np.array([len(a)]), np.array([len(b)]), words(a), words(b))[0]
+        both = len(np.intersect1d(a, b))
+        alike = both >= 0.8 * (len(a) + len(b) - both)
+        assert left or not alike
+        told += not left
+    assert told
+
+
+def test_fingerprints_bring_near_copies_together_first(spark, monkeypatch):
+    """The method's own step links them, so that the exact join has no pairs left to try."""
+    texts = near_copies(np.random.default_rng(15), 3, 1, 0)
+    texts += [t + " end" for t in texts] + [t + " end." for t in texts]
+    met = []
+    inner = similar._fingerprint_pairs
+    monkeypatch.setattr(similar, "_fingerprint_pairs", lambda heads: met.append(inner(heads).collect()) or inner(heads))
+    got = {r.doc_id: r.root for r in similar.classes(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert len(set(got.values())) == 3 and met[0]
