@@ -40,7 +40,7 @@ def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
         front = cut(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)  # each level is stored once, by itself
     beyond = _doubled(edges, front.select("node").distinct())
     via = front.join(beyond.select(F.col("origin").alias("node"), F.col("node").alias("to"), F.col("depth").alias("more")), "node")
     all_ = seen.unionByName(via.select("origin", F.col("to").alias("node"), (F.col("depth") + F.col("more")).alias("depth")))
@@ -79,11 +79,11 @@ def closure(starts: DataFrame, generated: DataFrame, used: DataFrame, derived: D
     too great and cycles end (see ancestors).
     """
     node = F.struct(F.lit("entity").alias("kind"), F.col("node").cast("string").alias("id"))
-    found = cut(ancestors(relations(generated, used, derived), starts.where("node IS NOT NULL").select(node.alias("node"))))
-    nodes = found.select(F.col("origin.id").alias("origin"), F.col("node.kind").alias("kind"), F.col("node.id").alias("id"), "depth")
-    does = nodes.where("kind = 'activity'").join(associated.select(F.col("activity").alias("id"), "agent").distinct(), "id").where("agent IS NOT NULL")
-    agents = does.groupBy("origin", "agent").agg((F.min("depth") + 1).alias("depth"))
-    return nodes.unionByName(agents.select("origin", F.lit("agent").alias("kind"), F.col("agent").cast("string").alias("id"), "depth"))
+    # Agents are nodes that nothing leads on from, so the closure finds them on its way and is not stored to be joined again.
+    agent = lambda c, kind: F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))
+    does = associated.where("activity IS NOT NULL AND agent IS NOT NULL").select(agent("activity", "activity").alias("child"), agent("agent", "agent").alias("parent"))
+    found = ancestors(relations(generated, used, derived).unionByName(does), starts.where("node IS NOT NULL").select(node.alias("node")))
+    return found.select(F.col("origin.id").alias("origin"), F.col("node.kind").alias("kind"), F.col("node.id").alias("id"), "depth")
 
 
 def next_hops(generated: DataFrame, activities: DataFrame, used: DataFrame, derived: DataFrame, revisions: DataFrame) -> DataFrame:

@@ -119,3 +119,15 @@ def test_documents(spark):
             assert sorted(doc.get(section, {}).values(), key=key) == sorted(rows, key=key)
         blank = [k for sec in ("used", "wasGeneratedBy", "wasAssociatedWith", "wasDerivedFrom") for k in doc.get(sec, {})]
         assert sorted(blank) == sorted(f"_:r{k}" for k in range(1, len(blank) + 1))
+
+
+def test_no_level_and_no_closure_is_stored_twice(spark, monkeypatch):
+    """Stored are the relations, the starts and each level's new nodes, not all that is known so far."""
+    stored = []
+    inner = lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda df: stored.append(inner(df)) or stored[-1])
+    pairs = lambda rows, a, b: spark.createDataFrame(rows, f"{a} string, {b} string")
+    made, took = pairs([("e1", "a1"), ("e2", "a2")], "entity", "activity"), pairs([("a1", "e2")], "activity", "entity")
+    out = lineage.closure(made.select("entity").where("entity = 'e1'").toDF("node"), made, took, pairs([], "entity", "source"), pairs([("a1", "p"), ("a2", "p")], "activity", "agent"))
+    assert sorted((r.kind, r.id, r.depth) for r in out.collect()) == [("activity", "a1", 1), ("activity", "a2", 3), ("agent", "p", 2), ("entity", "e1", 0), ("entity", "e2", 2)]
+    assert sum(df.count() for df in stored) == 5 + 5
