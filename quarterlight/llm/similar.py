@@ -12,8 +12,8 @@ have last, so passages that documents share bring nobody together while a text h
 
 A group of near copies shares heads, so its pairs would grow with its square. Members of a shingle are held
 against one hub first, and what that links is one class. Pairs within a class change nothing and are left out; when
-few enough are left, or a round links nothing, all pairs across classes are held against each other, PAIRS_EACH for each
-member of a shingle at a time. So classes are those of all pairs, whatever the hubs, and no table of pairs grows with a square. The
+few enough are left, or a round of hubs takes away no more than a round of all pairs would hold, all pairs across classes
+are held against each other, PAIRS_EACH for each member of a shingle at a time. So classes are those of all pairs, whatever the hubs, and no table of pairs grows with a square. The
 time does where many texts share a rare-looking passage and yet are unlike: one below the frequent table's share (1/ENTRIES of
 all shingles) that makes up a fifth of them.
 """
@@ -288,7 +288,7 @@ def classes(docs: DataFrame) -> DataFrame:
     each = each.select("token", "key", _both_sizes(F.col("size"), _limit(F.col("size"), F.col("at"))).alias("sizes"))
     # One shuffle finds the tokens that several texts have and keeps their rows.
     shared = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
-    now, last = _labelled(cut(shared.select("token", "key", *_apart("sizes"))), links), False
+    now, last, before = _labelled(cut(shared.select("token", "key", *_apart("sizes"))), links), False, None
     for turn in range(1_000_000):
         now = _open_members(now)
         tidy(spark)
@@ -298,10 +298,13 @@ def classes(docs: DataFrame) -> DataFrame:
         across, held = of.agg(F.sum(F.col("n") * F.col("f") - F.col("same")), F.sum("n")).first()
         if not across:
             break
-        last = last or across <= PAIRS_EACH * held
+        at_once = PAIRS_EACH * int(held)
+        # Each round adds its plans to the driver: hubs go on only while they save more than one round of all pairs.
+        last = last or across <= at_once or (before is not None and before - across <= at_once)
+        before = across
         if last:
             # Blocks of the one side, so that a round forms as many pairs as are formed at once anywhere.
-            rounds = -(-int(across) // (PAIRS_EACH * int(held)))
+            rounds = -(-int(across) // at_once)
             for r in range(rounds):
                 own = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(rounds)) == r
                 one = now.where(fits & own).select("token", F.col("key").alias("a"), F.col("root").alias("_root"), F.col("size").alias("_size"), F.col("most").alias("_most"))

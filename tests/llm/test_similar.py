@@ -139,3 +139,23 @@ def test_fingerprints_bring_near_copies_together_first(spark, monkeypatch):
     monkeypatch.setattr(similar, "_fingerprint_pairs", lambda heads: met.append(inner(heads).collect()) or inner(heads))
     got = {r.doc_id: r.root for r in similar.classes(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert len(set(got.values())) == 3 and met[0]
+
+
+def test_hubs_that_save_little_leave_the_rest_to_all_pairs(spark, monkeypatch):
+    """Groups of unlike texts with one near pair each, which a round of hubs meets by chance only."""
+    monkeypatch.setattr(similar, "LEAST", 1 << 40)
+    rnd = np.random.default_rng(16)
+    word = lambda: "".join(rnd.choice(list("abcdefghij"), 5))
+    texts = []
+    for _ in range(30):
+        passage = " ".join(word() for _ in range(60))
+        own = [[word() for _ in range(30)] for _ in range(12)]
+        own.append([*own[0][:15], word(), *own[0][16:]])
+        texts += [" ".join(o) + " " + passage for o in own]
+    turns = []
+    inner = similar._open_members
+    monkeypatch.setattr(similar, "_open_members", lambda members: turns.append(1) or inner(members))
+    got = {r.doc_id: r.root for r in similar.classes(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    want = brute_roots(texts)
+    assert [got[i] == got[j] for i in range(len(texts)) for j in range(i)] == [want[i] == want[j] for i in range(len(texts)) for j in range(i)]
+    assert len(turns) <= 3
