@@ -58,3 +58,23 @@ def test_a_changed_passage_in_another_document_is_found(spark):
     pages = [(1, "nothing of it\nat all"), (2, "first\nsome words " + quote.replace("therha", "tharha").replace("inwhly", "inwly") + " and on")]
     got = grounding.ground_everywhere(spark.createDataFrame([(5, quote)], "quote_id long, quote string"), spark.createDataFrame(pages, "page_id long, text string"))
     assert [(r.quote_id, r.page_id, r.line_no, r.multiline) for r in got.collect()] == [(5, 2, 1, False)]
+
+
+def test_pieces_of_an_edited_quote_are_a_chain_and_scattered_ones_are_not():
+    rnd = random.Random(5)
+    for _ in range(200):
+        q = [rnd.choice("abcdefghij") for _ in range(rnd.randrange(40, 200))]
+        edits, places, at = int(0.2 * len(q) + 0.1), [], 0
+        kinds = dict.fromkeys(rnd.sample(range(len(q)), rnd.randrange(edits + 1)))
+        for i in range(len(q)):  # each place of kinds is a deletion, or an insertion before it
+            if i in kinds and rnd.random() < 0.5:
+                places.append(None)
+                continue
+            at += i in kinds
+            places.append(at)
+            at += 1
+        whole = [i for i in range(0, len(q) - 3, 4) if places[i] is not None and all(places[i + k] == places[i] + k for k in range(4))]
+        assert locate.chained(whole, [places[i] - i for i in whole], len(q), edits)
+    offsets = list(range(0, 160, 4))
+    assert locate.chained(offsets[::4], [0] * 10, 160, 32)
+    assert not locate.chained(offsets[::4], [0, 28] * 5, 160, 32)
