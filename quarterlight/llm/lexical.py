@@ -9,8 +9,8 @@ split at the document of its heaviest node, which is scored, and intervals that
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,32 +34,47 @@ _INDEX = "first boolean, ids binary, nulls int, terms array<string>, ends binary
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def treaps(heap: list[int], impacts: list[int], starts: list[int], ends: list[int]):
-    """left, right, tops and roots of the treaps over the runs [start, end) of postings in search order: one pass
-    that keeps the right spine on a stack. A place of -1 is no node."""
-    left, right, tops, roots = [-1] * len(heap), [-1] * len(heap), list(impacts), list(starts)
-    for run, (start, end) in enumerate(zip(starts, ends, strict=True)):
-        if end - start == 1:
-            continue
-        spine = []
-        for i in range(start, end):
-            below, h = -1, heap[i]
-            while spine and heap[spine[-1]] < h:
-                done = spine.pop()
-                if below >= 0:  # what was popped before hangs to the right of this one
-                    tops[done] = max(tops[done], tops[below])
-                below = done
-            if below >= 0:
-                left[i] = below
-                tops[i] = max(tops[i], tops[below])
-            if spine:
-                right[spine[-1]] = i
-            spine.append(i)
-        roots[run] = spine[0]
-        while len(spine) > 1:
-            below = spine.pop()
-            tops[spine[-1]] = max(tops[spine[-1]], tops[below])
-    return left, right, tops, roots
+def treaps(heap, impacts, starts, ends):
+    """left, right, tops and roots of the treaps over the runs [start, end) of postings in search order, with different heap
+    values. A place of -1 is no node. A node hangs below the lesser of the nearest higher ones on both sides,
+    and rules all between these."""
+    import numpy as np
+
+    heap, impacts, starts, ends = np.asarray(heap, np.int64), np.asarray(impacts, np.int32), np.asarray(starts, np.int32), np.asarray(ends, np.int32)
+    n = len(heap)
+    first, last = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
+
+    def nearest(step: int, stop):
+        """The nearest higher node on one side, or where the run stops: all between is lower, whatever was jumped over."""
+        near = np.arange(step, n + step, dtype=np.int32)
+        look = np.flatnonzero(near != stop)
+        while len(look):
+            x = near[look]
+            low = heap[x] < heap[look]
+            look, x = look[low], x[low]
+            near[look] = np.where(near[x] != stop[x], near[x], stop[look])
+            look = look[near[look] != stop[look]]
+        return near
+
+    before, after = nearest(-1, first - 1), nearest(1, last)
+    left, right = np.full(n, -1, np.int32), np.full(n, -1, np.int32)
+    no_before, no_after = before < first, after >= last
+    up, down = heap[np.maximum(before, 0)], heap[np.minimum(after, n - 1)]
+    hangs_right = ~no_before & (no_after | (up < down))
+    hangs_left = ~no_after & ~hangs_right
+    node = np.arange(n, dtype=np.int32)
+    right[before[hangs_right]] = node[hangs_right]
+    left[after[hangs_left]] = node[hangs_left]
+    # The largest impact of a stretch is that of two overlapping ones of a power of two; these double step by step.
+    tops, most, size = np.empty(n, np.int32), impacts.copy(), 1
+    wide = after - before - 1
+    while True:
+        at = np.flatnonzero((wide >= size) & (wide < 2 * size))
+        tops[at] = np.maximum(most[before[at] + 1], most[after[at] - size])
+        if not (wide >= 2 * size).any():
+            return left, right, tops, node[no_before & no_after]
+        most[: n - size] = np.maximum(most[: n - size], most[size:])
+        size *= 2
 
 
 class _Shard:
@@ -70,7 +85,8 @@ class _Shard:
         self.clear()
 
     def clear(self):
-        self.vocabulary, self.ids, self.lengths, self.sizes, self.terms, self.counts = {}, [], [], [], [], []
+        self.vocabulary, self.ids, self.lengths, self.sizes = {}, [], [], []
+        self.terms, self.counts = array("i"), array("i")  # four bytes a posting, where lists take forty
         self.filled = 0
 
     def add(self, doc_id, text: bytes | None):
@@ -80,8 +96,8 @@ class _Shard:
             self.ids.append(doc_id)
             self.lengths.append(len(words))
             self.sizes.append(len(found))
-            self.terms.append([number(t, len(self.vocabulary)) for t in found])
-            self.counts.append(list(found.values()))
+            self.terms.extend([number(t, len(self.vocabulary)) for t in found])
+            self.counts.extend(found.values())
             self.filled += len(found)
 
     def row(self, first: bool) -> dict:
@@ -90,28 +106,36 @@ class _Shard:
         order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        term = np.fromiter(chain.from_iterable(self.terms), np.int64, self.filled)
-        tf = np.fromiter(chain.from_iterable(self.counts), np.int64, self.filled)
+        term, tf = (np.array(x, np.int64) for x in (self.terms, self.counts))
         m = 100 - 50 + np.array([50 * n * self.n_docs // self.n_terms for n in self.lengths], np.int64)
         impact = 1_000_000_000 * tf // (1000 * tf + 20 * np.repeat(m, self.sizes))
         at = np.repeat(place, self.sizes)
+        self.terms, self.counts = array("i"), array("i")
         o = np.argsort(term * len(order) + at)
-        at, impact = at[o], impact[o]
+        at, impact = at[o].astype(np.int32), impact[o].astype(np.int32)
         ends = np.cumsum(np.bincount(term, minlength=len(self.vocabulary)))
+        del o, tf, term
         chance = np.arange(len(at)) * 0x9E3779B1 & 0xFFFFFFFF
-        shape = treaps(((impact >> STEP << 32) + chance).tolist(), impact.tolist(), [0, *ends[:-1].tolist()], ends.tolist())
-        left, right, tops, roots = (np.array(x, np.int32).tobytes() for x in shape)
+        left, right, tops, roots = (x.tobytes() for x in treaps((impact.astype(np.int64) >> STEP << 32) + chance, impact, np.append(0, ends[:-1]), ends))
         ids = [self.ids[i] for i in order]
         return {"first": first, "ids": np.array([i or 0 for i in ids], np.int64).tobytes(), "nulls": ids.count(None), "terms": [t.decode() for t in self.vocabulary],
-                "ends": ends.astype(np.int32).tobytes(), "roots": roots, "places": at.astype(np.int32).tobytes(), "impacts": impact.astype(np.int32).tobytes(),
+                "ends": ends.astype(np.int32).tobytes(), "roots": roots, "places": at.tobytes(), "impacts": impact.tobytes(),
                 "tops": tops, "left": left, "right": right}
 
 
 def term_counts(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all terms with repeats."""
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    r = docs.select(n.alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)), F.sum("n")).first()
-    return r[0], r[1] or 0
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = [len((t or b"").translate(_BYTES).split()) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, n))], pa.int64()), pa.array([sum(n)], pa.int64())], names=["docs", "terms"])
+
+    with small_batches(docs.sparkSession):
+        r = docs.select(F.col("text").cast("string")).mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return r[0] or 0, r[1] or 0
 
 
 def build_index(docs: DataFrame, path: str, n_docs: int, n_terms: int) -> None:

@@ -107,3 +107,21 @@ def test_search_leaves_most_documents_alone(monkeypatch):
     assert len(places) == 10 and sum(split) / 3 < 1000
     more, _ = t.search([names.index("common"), names.index("r7")], [10, 5000], 10, int(scores[3]))
     assert list(more) == list(places[: len(more)]) and len(more) >= 4
+
+
+def test_a_full_shard_is_built_in_little_memory():
+    import tracemalloc
+
+    rnd = np.random.default_rng(4)
+    shard = lexical._Shard(2000, 200_000)
+    texts = [" ".join(f"w{x}" for x in rnd.integers(0, 5000, 150)).encode() for _ in range(2000)]
+    tracemalloc.start()
+    try:
+        for i, t in enumerate(texts):
+            shard.add(i, t)
+        n = shard.filled
+        shard.row(True)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 140 * n
