@@ -31,6 +31,9 @@ PAIRS, NODES = 65_536, 1 << 15
 WAVE = 8
 
 _INDEX = "first boolean, ids binary, nulls int, terms array<string>, ends binary, roots binary, places binary, impacts binary, tops binary, left binary, right binary"
+#: A row group for each full shard: Parquet's writer looks at its size every 100 rows by default and would hold so many shards,
+#: and readers take the rows of a group together.
+_EACH = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -164,7 +167,7 @@ def build_index(docs: DataFrame, path: str, n_docs: int, n_terms: int) -> None:
             yield cut_off()
 
     with small_batches(docs.sparkSession):
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _INDEX).write.parquet(path)
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _INDEX).write.options(**_EACH).parquet(path)
 
 
 class _Treaps:

@@ -125,3 +125,15 @@ def test_a_full_shard_is_built_in_little_memory():
     finally:
         tracemalloc.stop()
     assert most < 140 * n
+
+
+def test_shards_are_written_one_by_one(spark, tmp_path, monkeypatch):
+    """Also those of one task; the limit of a group is set low here, as a full shard is over it."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lexical, "POSTINGS", 2000)
+    monkeypatch.setattr(lexical, "_EACH", {**lexical._EACH, "parquet.block.size": "1024"})
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 50), x -> concat('w', x * id % 997))) AS text")
+    lexical.build_index(docs, str(tmp_path / "index"), 400, 20_000)
+    groups = [pq.ParquetFile(f).metadata for f in (tmp_path / "index").glob("*.parquet")]
+    assert sum(m.num_rows for m in groups) > 5 and all(m.num_row_groups >= m.num_rows / 2 for m in groups)
