@@ -7,11 +7,51 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links that a task holds at once to hang them on each other: some 100 bytes each.
+LINKS = 1 << 20
+
 
 def _both(links: DataFrame) -> DataFrame:
     return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def hung(a, b):
+    """The nodes of links (arrays a and b), and for each the smallest node that these links reach from it."""
+    import numpy as np
+
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        p, q = least[x], least[y]
+        unlike = p != q
+        if not unlike.any():
+            return nodes, nodes[least]
+        x, y, p, q = x[unlike], y[unlike], p[unlike], q[unlike]
+        np.minimum.at(least, np.maximum(p, q), np.minimum(p, q))
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def forest(links: DataFrame) -> tuple[DataFrame, bool]:
+    """Stars (a: node, b: the smallest that it reaches, itself too) that join what links (a, b: longs) join, LINKS of these
+    hung on each other in a task; and whether one task had them all, so that b is the component's smallest node."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+        if held:
+            found = hung(*(np.concatenate(side) for side in zip(*held, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b"])
+
+    parts = max(1, -(-links.count() // LINKS))
+    # Fewer parts are put together as they lie; more are dealt anew, as nobody knows how full each is.
+    dealt = links.coalesce(1) if parts == 1 else links.repartition(parts)
+    return cut(dealt.mapInArrow(run, "a long, b long")), parts == 1
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the component's smallest node) for every node of links (a, b: longs; loops and repeats do no harm).
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import BROADCAST_KEYS, cut, release, small_batches, tidy
-from .components import components
+from .components import components, forest
 
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
 #: Shingles that a task sums up before it tells of those it met twice (of all, if they are at most FEW); those with at
@@ -261,12 +261,20 @@ def _fingerprint_pairs(heads: DataFrame) -> DataFrame:
     return across.unionByName(same).where("first <> other").select(F.greatest("first", "other").alias("a"), F.least("first", "other").alias("b")).distinct()
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """members with root, the class that links give their key."""
-    if links is None:
+def _labels(links: DataFrame | None, new: DataFrame) -> DataFrame | None:
+    """node and root, the class that links and new ones (a, b) give a key; none if there are none. Labels are links of their own:
+    what is hung on each other already isn't gone through again."""
+    links = new if links is None else links.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
+    stars, whole = forest(links)
+    found = stars.withColumnsRenamed({"a": "node", "b": "root"}) if whole else cut(components(stars))
+    return found if found.limit(1).count() else None
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with root, the class that labels give their key."""
+    if labels is None:
         return members.withColumn("root", F.col("key"))
-    labels = components(links).withColumnRenamed("root", "_root")
-    labels = cut(labels)
+    labels = labels.withColumnRenamed("root", "_root")
     return cut(members.join(labels, members["key"] == labels["node"], "left").select("token", "key", "size", "most", F.coalesce("_root", "key").alias("root")))
 
 
@@ -281,14 +289,13 @@ def classes(docs: DataFrame) -> DataFrame:
         found = texts.mapInArrow(_heads(sent), "key long, size int, fp long, marks binary, tokens array<long>")
         heads = cut(found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("size", "fp", "marks", "tokens")]))
     sent.destroy()
-    links = _similar(_marked(_fingerprint_pairs(heads), heads), texts)
-    links = links if links.limit(1).count() else None
+    labels = _labels(None, _similar(_marked(_fingerprint_pairs(heads), heads), texts))
     tidy(spark)
     each = heads.select("key", "size", F.posexplode("tokens").alias("at", "token"))
     each = each.select("token", "key", _both_sizes(F.col("size"), _limit(F.col("size"), F.col("at"))).alias("sizes"))
     # One shuffle finds the tokens that several texts have and keeps their rows.
     shared = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
-    now, last, before = _labelled(cut(shared.select("token", "key", *_apart("sizes"))), links), False, None
+    now, last, before = _labelled(cut(shared.select("token", "key", *_apart("sizes"))), labels), False, None
     for turn in range(1_000_000):
         now = _open_members(now)
         tidy(spark)
@@ -309,10 +316,8 @@ def classes(docs: DataFrame) -> DataFrame:
                 own = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(rounds)) == r
                 one = now.where(fits & own).select("token", F.col("key").alias("a"), F.col("root").alias("_root"), F.col("size").alias("_size"), F.col("most").alias("_most"))
                 met = now.join(one.hint("merge"), "token").where((F.col("key") != F.col("a")) & (F.col("root") != F.col("_root")) & F.col("size").between(F.col("_size"), F.col("_most")) & (F.col("_size") <= F.col("most")))
-                new = _similar(_marked(met.select(F.greatest("a", "key").alias("a"), F.least("a", "key").alias("b")).distinct(), heads), texts)
+                labels = _labels(labels, _similar(_marked(met.select(F.greatest("a", "key").alias("a"), F.least("a", "key").alias("b")).distinct(), heads), texts))
                 tidy(spark)
-                if new.limit(1).count():
-                    links = new if links is None else links.unionByName(new)
             break
         # The first hubs are the texts with the fewest shingles of their own before the common ones.
         order = F.struct(F.col("size") - F.col("most") if not turn else F.lit(0), F.xxhash64("key", F.lit(turn)))
@@ -322,16 +327,13 @@ def classes(docs: DataFrame) -> DataFrame:
         met = met.groupBy("key").agg(F.min_by("hub.key", "hub.by").alias("hub"))
         pairs = met.select(F.greatest("key", "hub").alias("a"), F.least("key", "hub").alias("b")).distinct()
         new = _similar(_marked(pairs, heads), texts)
-        none = not new.limit(1).count()
-        if not none:
-            links = new if links is None else links.unionByName(new)
         # A round without links leaves the rest to all pairs that have room.
-        last = none
-        if not none:
-            now = _labelled(now.drop("root"), links)
-    if links is None:
+        last = not new.limit(1).count()
+        if not last:
+            labels = _labels(labels, new)
+            now = _labelled(now.drop("root"), labels)
+    if labels is None:
         return keyed.withColumn("root", F.col("key"))
-    labels = components(links)
     return keyed.join(labels, keyed["key"] == labels["node"], "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 

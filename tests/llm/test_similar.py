@@ -159,3 +159,37 @@ def test_hubs_that_save_little_leave_the_rest_to_all_pairs(spark, monkeypatch):
     want = brute_roots(texts)
     assert [got[i] == got[j] for i in range(len(texts)) for j in range(i)] == [want[i] == want[j] for i in range(len(texts)) for j in range(i)]
     assert len(turns) <= 3
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 16])
+def test_labels_take_no_rounds_where_tasks_hold_the_links(spark, monkeypatch, at_once):
+    """Each round of stars stores its links and deals them out several times; few links are hung on each other in a task."""
+    from quarterlight.llm import components
+
+    texts = near_copies(np.random.default_rng(17), 1, 60, 5)
+    cuts = []
+    inner = components.cut
+    monkeypatch.setattr(components, "LINKS", at_once, raising=False)
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or inner(df))
+    turns, again = [], similar._similar
+    monkeypatch.setattr(similar, "_similar", lambda pairs, texts: turns.append(1) or again(pairs, texts))
+    got = {r.doc_id: r.root for r in similar.classes(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    want = brute_roots(texts)
+    assert [got[i] == got[j] for i in range(len(texts)) for j in range(i)] == [want[i] == want[j] for i in range(len(texts)) for j in range(i)]
+    assert turns and (len(cuts) <= len(turns)) == (at_once > len(texts))
+
+
+def test_links_hung_on_each_other():
+    from quarterlight.llm.components import hung
+
+    rnd = np.random.default_rng(18)
+    for n in (1, 5, 300):
+        a, b = rnd.integers(-n, n, n), rnd.integers(-n, n, n)
+        root = {int(x): int(x) for x in [*a, *b]}
+        for _ in range(n + 1):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                root[x] = root[y] = min(root[x], root[y])
+        nodes, least = hung(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == root
+    chain = np.random.default_rng(19).permutation(2000)
+    assert (hung(chain[1:], chain[:-1])[1] == 0).all()
