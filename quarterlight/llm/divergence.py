@@ -1,7 +1,8 @@
 """How far the sources of a language are from each other and from the language, by their terms.
 
 Terms are found on bytes: a table of 256 entries marks the bytes of terms in the joined texts of a batch, and a term begins
-and ends where the mark changes or a text does. Slices meet by their xxHash and are then compared byte by byte.
+and ends where the mark changes or a text does. Slices of up to eight bytes meet as numbers; longer ones by their xxHash, and are then
+compared byte by byte.
 Sparse matrices (documents by terms, then sources by terms) carry the counts, and sums over runs of rows the divergences.
 """
 
@@ -54,7 +55,23 @@ def slices(data, ends):
 
 
 def same_bytes(data, first, last):
-    """The group of each slice of `data`, and a slice of each group: those of one hash, then each compared with
+    """The group of each slice of `data`, and a slice of each group. Slices of up to eight bytes are numbers, and as terms
+    have no zero byte, equal numbers are equal slices; longer ones meet by hash."""
+    import numpy as np
+
+    size = last - first
+    short, long = np.flatnonzero(size <= 8), np.flatnonzero(size > 8)
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    _, one, mine = np.unique(eight[first[short]].view("<u8")[:, 0] & masks[size[short]], return_index=True, return_inverse=True)
+    other, more = _same_hash(data, first[long], last[long])
+    group = np.empty(len(first), np.int64)
+    group[short], group[long] = mine, len(one) + other
+    return group, np.concatenate([short[one], long[more]])
+
+
+def _same_hash(data, first, last):
+    """As same_bytes, for slices of any length: those of one hash, then each compared with
     the first of its group; what differs in spite of its hash gets a group of its own bytes."""
     import numpy as np
 
@@ -102,14 +119,15 @@ def _counted(lang, source, text):
         return None
     group, shown = same_bytes(data, first, last)
     n_terms = len(shown)
-    pair, tf = _sums(doc * n_terms + group, np.ones(len(group), np.int64))
+    held = np.sort(doc * n_terms + group)
+    at = np.flatnonzero(np.diff(held, prepend=-1))
+    pair, tf = held[at], np.diff(at, append=len(held))
     langs, sources = lang.dictionary_encode(), source.dictionary_encode()
     n_sources = len(sources.dictionary)
     row = langs.indices.to_numpy().astype(np.int64) * n_sources + sources.indices.to_numpy()
     key, n, docs = _sums(row[pair // n_terms] * n_terms + pair % n_terms, tf, np.ones(len(tf), np.int64))
-    row, term = key // n_terms, shown[key % n_terms]
-    out = data.tobytes()
-    words = pa.array([out[a:b] for a, b in zip(first[term].tolist(), last[term].tolist(), strict=True)], pa.binary()).cast(pa.string())
+    row, out = key // n_terms, data.tobytes()
+    words = pa.array([out[a:b] for a, b in zip(first[shown].tolist(), last[shown].tolist(), strict=True)], pa.binary()).cast(pa.string()).take(pa.array(key % n_terms))
     return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(row // n_sources)), sources.dictionary.take(pa.array(row % n_sources)), words, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
 
 

@@ -85,6 +85,18 @@ def test_equal_hashes_are_told_apart_by_bytes(monkeypatch, hash_):
     assert got == want
 
 
+def test_short_terms_take_no_hash(monkeypatch):
+    """Terms of up to eight bytes are numbers; of these and longer ones, up to the end of the data, each is counted once."""
+    hashed = []
+    inner = divergence._hash
+    monkeypatch.setattr(divergence, "_hash", lambda piece: hashed.append(piece) or inner(piece))
+    texts = ["a ab abcdefgh abcdefghi abcdefg", "éééé ABCDEFGH ééééé ab 中中中", "b", "ab", "abcdefgh"]
+    out = divergence._counted(pa.array(["en"] * 5), pa.array(["s"] * 5), pa.array(texts))
+    want, docs = Counter(w for t in texts for w in terms(t)), Counter(w for t in texts for w in set(terms(t)))
+    assert sorted((r["term"], r["n"], r["docs"]) for r in out.to_pylist()) == sorted((w, n, docs[w]) for w, n in want.items())
+    assert sorted(hashed) == sorted(w.encode() for w in ("abcdefghi", "ééééé", "中中中"))
+
+
 def test_texts_do_not_run_together():
     data = np.frombuffer("abécd e".encode(), np.uint8)
     ends = np.array([2, 2, 6, 8])  # ab | nothing | écd is cut in two | the rest
